@@ -27,3 +27,9 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def none(odd):
     return odd.limit(0)
+
+
+@pytest.fixture(scope="session")
+def tiny(spark, sf):
+    """Two hundred documents; small enough for brute force."""
+    return spark.read.parquet(f"{sf}/documents.parquet")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_rules, token_counts
+from . import mixing, packing, quality_rules, simhash, substring_dedup, token_counts
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.query,
     "op3_best_fit_packing": packing.query,
+    "op6_simhash": simhash.query,
     "op7_token_counts": token_counts.query,
     "op9_quality_rules": quality_rules.query,
     "op10_source_mixing": mixing.query,
