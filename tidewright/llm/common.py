@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,3 +73,26 @@ def spread_rank(df: DataFrame, keys: list[str], order: list[str], count: str, ro
     inside = Window.partitionBy(*keys, "_salt").orderBy(*order)
     ranked = salted.withColumn("_place", F.row_number().over(inside)).join(offsets, [*keys, "_salt"], "left")
     return ranked.withColumn("rank", F.col("_before") + F.col("_place") - 1).drop("_salt", "_place", "_before")
+
+
+def smaller(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has no more than `rows` rows; else Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def word_hashes(text: bytes | None, lower: bool = False) -> np.ndarray:
+    """XXH64 of each word, in order."""
+    words = ((text or b"").lower() if lower else text or b"").split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), "u8", len(words))
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: str, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds some `size` bytes of the column at most (a longer text comes alone)."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("i8"))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop

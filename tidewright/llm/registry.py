@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_rules, simhash, substring_dedup, token_counts
+from . import language_model, mixing, packing, quality_rules, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op3_best_fit_packing": packing.query,
+    "op2_bloom_lm": language_model.query,
     "op6_simhash": simhash.query,
     "op7_token_counts": token_counts.query,
     "op9_quality_rules": quality_rules.query,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,17 +37,14 @@ class Batch:
     """The words of some texts in one array of hashes, with the starts of the windows that lie within one text."""
 
     def __init__(self, texts: list[bytes | None], window: int, anchor: int):
-        hashes, lengths = [], []
-        for text in texts:
-            own = (text or b"").split()
-            lengths.append(len(own))
-            hashes.extend(map(xxhash.xxh64_intdigest, own))
-        self.lengths = np.array(lengths, "i8")
+        hashes = [common.word_hashes(text) for text in texts]
+        self.lengths = np.array([len(x) for x in hashes], "i8")
+        hashes = np.concatenate([np.zeros(0, "u8"), *hashes])
         self.first = np.concatenate([[0], np.cumsum(self.lengths)])
         n = len(hashes)
         power, back = np.full(n + 1, BASE, "u8"), np.full(n + 1, INVERSE, "u8")
         power[0] = back[0] = 1
-        self.prefix = np.concatenate([np.zeros(1, "u8"), np.cumsum(np.array(hashes, "u8") * np.cumprod(power)[:n], dtype="u8")])
+        self.prefix = np.concatenate([np.zeros(1, "u8"), np.cumsum(hashes * np.cumprod(power)[:n], dtype="u8")])
         self.back = np.cumprod(back)
         spare = np.maximum(self.lengths - window + 1, 0)
         self.doc = np.repeat(np.arange(len(texts)), spare)
@@ -97,11 +93,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(common.id_key().alias("_id"), F.coalesce(F.crc32(text), F.lit(0)).alias("_sig"), text.cast("binary").alias("text"))
 
 
-def smaller(df: DataFrame, rows: int = MAX_ROWS) -> DataFrame:
-    """df, to be broadcast if it has no more than `rows` rows; else Spark joins it by a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def position() -> Column:
     """Where a window is among those of its id: by its text, then by its start."""
     return F.shiftleft(F.col("_sig"), 31) + F.col("start")
@@ -120,10 +111,10 @@ def duplicate_factors(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, m
     texts = rows.filter(F.length("text") > 0).select("_id", "_sig", digest.alias("_digest"))
     lead = texts.groupBy("_digest").agg(F.min("_id").alias("_lead"), F.max("_id").alias("_last")).filter("_lead < _last")
     copies = common.written(texts.join(lead.drop("_last"), "_digest").filter("_id > _lead").select("_id", "_sig").distinct(), "substring-copies")
-    rest = rows.join(smaller(copies, max_rows), ["_id", "_sig"], "left_anti")
+    rest = rows.join(common.smaller(copies, max_rows), ["_id", "_sig"], "left_anti")
 
     def index(batches):
-        for batch in batches:
+        for batch in common.portions(batches, "text"):
             _, found = Batch(batch.column(0).to_pylist(), window, anchor).anchors()
             anchors, n = np.unique(found, return_counts=True)
             yield pa.record_batch([pa.array(anchors.view("i8")), pa.array(n)], ["anchor", "n"])
@@ -138,7 +129,7 @@ def duplicate_factors(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, m
         known = None
 
         def own(batches):
-            for batch in batches:
+            for batch in common.portions(batches, "text"):
                 b = Batch(batch.column(2).to_pylist(), window, anchor)
                 low, _ = b.anchors()
                 new = np.ones(len(low), bool)
@@ -150,7 +141,7 @@ def duplicate_factors(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, m
         rest = rest.join(mine, ["_id", "_sig"])
 
     def windows(batches):
-        for batch in batches:
+        for batch in common.portions(batches, "text"):
             b = Batch(batch.column(2).to_pylist(), window, anchor)
             low, _ = b.anchors()
             if not len(low):
@@ -177,6 +168,7 @@ def duplicate_factors(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, m
     found = common.written(found.select("gram", "_id", position().alias("at")), "substring-windows")
     first = found.groupBy("gram").agg(F.min(F.struct("_id", "at")).alias("_first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = first.select("gram", F.col("_first._id").alias("source"), F.col("_first.at").alias("source_at"))
+    first = common.written(first, "substring-references")  # so that the join below can split a window found very often
     later = found.join(first, "gram").filter("_id > source or (_id = source and at > source_at)")
     start = lambda c: F.col(c).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
     match = F.struct(start("at").alias("start"), F.col("source"), start("source_at").alias("source_start"))
@@ -207,7 +199,7 @@ def deduplicated(docs: DataFrame, window: int = 20, **bounds: int) -> DataFrame:
     marks = parsed.withColumn("_copy", F.lit(False)).unionByName(copies.withColumn("_copy", F.lit(True)), allowMissingColumns=True)
     text = F.col("_row.text").cast("string")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), common.id_key().alias("_id")).withColumn("_sig", F.coalesce(F.crc32(text), F.lit(0)))
-    rows = rows.join(smaller(marks, limit), ["_id", "_sig"], "left").withColumn("_text", text.cast("binary"))
+    rows = rows.join(common.smaller(marks, limit), ["_id", "_sig"], "left").withColumn("_text", text.cast("binary"))
 
     def cut(batches):
         for batch in batches:
