@@ -11,6 +11,8 @@ from . import common
 
 #: More sources than this are refused: one row per source goes through the driver.
 MAX_SOURCES = 100_000
+#: Beyond so many ids, documents meet their copies by a shuffle join and not by a broadcast.
+MAX_ROWS = 1_000_000
 
 
 def source_targets(sizes: dict[str, int], weights: tuple[float, ...], cap: float) -> dict[str, float]:
@@ -110,7 +112,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
     """The rows of docs, each repeated by its copies (documents with none go)."""
     share = mix(docs, weights, cap).filter("copies > 0").groupBy(common.id_key().alias("_id")).agg(F.max("copies").alias("_copies"))
-    full = docs.select(common.id_key().alias("_id"), F.struct(*docs.columns).alias("_row")).join(share, "_id")
+    full = docs.select(common.id_key().alias("_id"), F.struct(*docs.columns).alias("_row")).join(common.smaller(common.written(share, "mix-copies"), MAX_ROWS), "_id")
     return full.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import language_model, mixing, packing, quality_rules, simhash, substring_dedup, token_counts
+from . import language_id, language_model, mixing, packing, quality_classifier, quality_rules, simhash, spotsigs, substring_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op3_best_fit_packing": packing.query,
     "op2_bloom_lm": language_model.query,
+    "op4_spotsigs": spotsigs.query,
+    "op5_language_id": language_id.query,
     "op6_simhash": simhash.query,
     "op7_token_counts": token_counts.query,
+    "op8_quality_classifier": quality_classifier.query,
     "op9_quality_rules": quality_rules.query,
     "op10_source_mixing": mixing.query,
 }

@@ -15,6 +15,8 @@ from . import common
 #: Buckets of more fingerprints are linked over single-bit neighbours, which grows with the bucket and not its square.
 PAIR_BUCKET = 8
 SEED = 42
+#: Beyond so many kept ids, documents meet them by a shuffle join and not by a broadcast.
+MAX_ROWS = 1_000_000
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -119,7 +121,7 @@ def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
     groups = near_duplicates(docs, **options)
     keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(common.NO_ID)).alias("_keep")).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("_row"), common.id_key().alias("_keep"))
-    return rows.join(keep, "_keep", "left_semi").select("_row.*")
+    return rows.join(common.smaller(keep, MAX_ROWS), "_keep", "left_semi").select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
