@@ -19,6 +19,8 @@ MAX_TRAIN = 4000
 MAX_LANGUAGES = 500
 #: Rows of the table of hashed character sequences.
 TABLE = 1 << 16
+#: Bytes of text looked at together; a word's arrays take some fifty times the text.
+PORTION = 2 << 20
 #: The least and the most a word can tell against a language, and what a change of language costs (nats).
 FLOOR, SWITCH = -8.0, 10.0
 #: First code points of runs of scripts, with the script's number; 0 is any other.
@@ -51,7 +53,7 @@ class Words:
     def __init__(self, texts: list[str]):
         letter, script = code_points()
         lower = [t.lower() for t in texts]
-        codes = np.frombuffer(("  " + "  ".join(lower) + "  ").encode("utf-32-le", "replace"), "<u4").astype("i8")
+        codes = np.frombuffer(("  " + "  ".join(lower) + "  ").encode("utf-32-le", "replace"), "<u4")
         alpha = letter[codes]
         edge = np.flatnonzero(np.diff(alpha.astype("i1")))
         self.first, last = edge[::2] + 1, edge[1::2] + 1
@@ -60,19 +62,19 @@ class Words:
         self.doc = np.searchsorted(starts, self.first, "right") - 1
         self.n = np.bincount(self.doc, minlength=len(texts)).astype("i8")
         self.script = script[codes[self.first]]
-        codes = np.where(alpha, codes, 32)
-        word = np.cumsum(np.bincount(self.first, minlength=len(codes))) - 1  # of each letter, its word
+        codes = np.where(alpha, codes, np.uint32(32))
+        word = np.cumsum(np.bincount(self.first, minlength=len(codes)), dtype="i4") - 1  # of each letter, its word
         features, of = [], []
         for k in (2, 3, 4):  # sequences with at most a word's border at either end
-            mixed = np.zeros(len(codes) - k + 1, "u8")
+            mixed = np.zeros(len(codes) - k + 1, "u4")
             for j in range(k):
-                mixed = (mixed + codes[j : len(codes) - k + 1 + j].astype("u8")) * np.uint64(0x9E3779B97F4A7C15)
-                mixed ^= mixed >> np.uint64(29)
+                mixed = (mixed + codes[j : len(codes) - k + 1 + j]) * np.uint32(0x9E3779B1)
+                mixed ^= mixed >> np.uint32(15)
             inner = alpha[1 : len(alpha) - k + 2].copy() if k > 2 else alpha[: len(alpha) - 1] | alpha[1:]
             for j in range(2, k - 1):
                 inner &= alpha[j : len(alpha) - k + 1 + j]
             at = np.flatnonzero(inner)
-            features.append((mixed[at] >> np.uint64(40)).astype("i8") % TABLE)
+            features.append((mixed[at] >> np.uint32(8)).astype("i4") % TABLE)
             of.append(word[np.where(alpha[at], at, at + 1)])
         self.features, self.of = np.concatenate(features), np.concatenate(of)
 
@@ -144,7 +146,7 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     rows = rows.filter(F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
 
     def count(batches):
-        for batch in common.portions(batches, "text", 8 << 20):
+        for batch in common.portions(batches, "text", PORTION):
             langs = np.array(batch.column(0).to_pylist(), object)
             for lang in sorted(set(langs)):
                 w = Words([str(t) for t in batch.column(1).filter(pa.array(langs == lang)).cast(pa.string()).to_pylist()])
@@ -179,7 +181,7 @@ def identify(docs: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
     def work(batches):
         model = known.value
         names = np.array([*model.languages, "und"], object)
-        for batch in common.portions(batches, "text", 8 << 20):
+        for batch in common.portions(batches, "text", PORTION):
             words = Words([t or "" for t in batch.column(1).cast(pa.string()).to_pylist()])
             size, many = batch.num_rows, len(model.languages)
             pred, score, spans = np.full(size, many), np.zeros(size), [[] for _ in range(size)]
