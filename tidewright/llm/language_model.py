@@ -115,7 +115,7 @@ def learned(train: DataFrame, min_pair: int) -> tuple[DataFrame, int]:
     blocks = max(1, min(1 << 20, -(-size // BLOCK_BYTES)))
 
     def count(batches):
-        for batch in common.portions(batches, "text", 32 << 20):
+        for batch in common.portions(batches, "text", 12 << 20):
             words, lengths = tokens(batch.column(0))
             _, both = pairs(words, lengths)
             for kind, keys in ((0, words), (1, both)):
@@ -238,7 +238,7 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2, prior: float = 300.
     def first_pass(sums):
         def work(batches):
             number = TaskContext.get().partitionId() << 40
-            for batch in common.portions(batches, "text"):
+            for batch in common.portions(batches, "text", 3 << 20):
                 words, lengths = tokens(batch.column("text"))
                 c = exact(words)
                 p, known = sums(words, lengths, c), c >= 0
@@ -262,7 +262,7 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2, prior: float = 300.
         double = spark.sparkContext.broadcast(parts_of(1, group))
 
         def later(batches, sums=model(double, group, False)):
-            for batch in common.portions(batches, "text"):
+            for batch in common.portions(batches, "text", 3 << 20):
                 words, lengths = tokens(batch.column("text"))
                 p, at = sums(words, lengths, exact(words)), np.cumsum(lengths) - lengths
                 yield pa.record_batch([batch.column("_id"), batch.column("_sig"), pa.array(np.add.reduceat(p, at) if len(at) else np.zeros(0))], ["_id", "_sig", "more"])
