@@ -19,9 +19,14 @@ def session(name: str = "tidewright", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+#: Bytes of an Arrow batch for Python workers; rows with whole texts would otherwise fill hundreds of megabytes.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers on any executor import this package, once per context."""
+    """Lets Python workers on any executor import this package, once per context, and bounds their batches by bytes."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if getattr(context, "_tidewright_shipped", False):
         return
     root = Path(__file__).resolve().parent
