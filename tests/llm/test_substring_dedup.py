@@ -38,10 +38,10 @@ def test_against_brute_force(tiny, odd, which, bounds):
 def test_factors_point_at_equal_words(tiny):
     text = {r.doc_id: r.text.split() for r in tiny.collect()}
     seen = 0
-    for r in substring_dedup.deduplicated(tiny).filter("factors is not null").collect():
+    for r in substring_dedup.duplicate_factors(tiny)[0].collect():
         for f in r.factors:
-            assert text[r._row.doc_id][f.start : f.start + f.length] == text[f.source][f.source_start : f.source_start + f.length]
-            assert (f.source, f.source_start) < (r._row.doc_id, f.start) and f.length >= 20
+            assert text[r._id][f.start : f.start + f.length] == text[f.source][f.source_start : f.source_start + f.length]
+            assert (f.source, f.source_start) < (r._id, f.start) and f.length >= 20
             seen += 1
     assert seen
 

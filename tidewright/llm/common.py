@@ -27,6 +27,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def ready(df: DataFrame) -> DataFrame:
+    """df, whose session's Python workers can import this package from here on."""
+    ship(df.sparkSession)
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -96,3 +102,4 @@ def portions(batches: Iterator[pa.RecordBatch], column: str, size: int = 16 << 2
             stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # a worker lives on after its task

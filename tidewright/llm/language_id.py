@@ -136,7 +136,7 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     Naive Bayes over hashed sequences of two to four letters; tasks send a vector of counts for each language, and
     the driver gets one for each.
     """
-    rows = labelled.filter("lang is not null and text is not null")
+    rows = common.ready(labelled).filter("lang is not null and text is not null")
     found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -207,7 +207,7 @@ def identify(docs: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
                     spans[d].append({"lang": names[label[a]], "start": a - begin[d], "words": b - a})
             yield pa.record_batch([batch.column(0), pa.array(names[pred], pa.string()), pa.array(score), pa.array(spans, kind)], [keep, "lang_pred", "score", "spans"])
 
-    rows = docs.select(keep, F.col("text").cast("string").cast("binary").alias("text"))
+    rows = common.ready(docs).select(keep, F.col("text").cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(work, f"{keep} {rows.schema[keep].dataType.simpleString()}, {FOUND}")
 
 

@@ -175,15 +175,15 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2, prior: float = 300.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", common.id_key().alias("_id"), F.coalesce(common.id_remainder(modulus) == held, F.lit(False)).alias("held_out"), F.crc32(text).alias("_sig"), text.cast("binary").alias("text"))
+    rows = common.ready(docs).select("doc_id", common.id_key().alias("_id"), F.coalesce(common.id_remainder(modulus) == held, F.lit(False)).alias("held_out"), F.crc32(text).alias("_sig"), text.cast("binary").alias("text"))
     blocks, n_blocks = learned(rows.filter(~F.col("held_out")), min_pair)
     vocab = common.written(vocabulary(blocks), "lm-vocabulary")
     total, distinct = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     denominator = total + distinct + 1
-    often = vocab.filter(F.col("c") * frequent >= total).toPandas().sort_values("word")  # no more than `frequent` words
-    often_words = often["word"].to_numpy("i8").view("u8")
+    often = vocab.filter(F.col("c") * frequent >= total).select("word", "c").toArrow()  # no more than `frequent` words
+    often_words = often.column("word").to_numpy().astype("i8").view("u8")
     order = np.argsort(often_words)
-    table = spark.sparkContext.broadcast((often_words[order], often["c"].to_numpy("i8")[order]))
+    table = spark.sparkContext.broadcast((often_words[order], often.column("c").to_numpy().astype("i8")[order]))
 
     def parts_of(kind: int, only: list[int] | None) -> Filter:
         chosen = blocks.filter(F.col("kind") == kind).select("block", "bits")

@@ -53,7 +53,7 @@ def extracted(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.record_batch([*batch.columns[:-1], pa.array(x, pa.list_(pa.float64()))], [*keep, "x"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", x array<double>"
-    return docs.select(*keep, F.col("text").cast("string").cast("binary")).mapInArrow(work, schema)
+    return common.ready(docs).select(*keep, F.col("text").cast("string").cast("binary")).mapInArrow(work, schema)
 
 
 @dataclass(frozen=True)
@@ -177,7 +177,7 @@ def scored(docs: DataFrame, model: Additive, threshold: float = 0.3) -> DataFram
             score = known.value.scores(x)
             yield pa.record_batch([batch.column(0), pa.array(score), pa.array((score >= threshold).astype("i4"))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(work, "doc_id long, score double, predicted int")
+    return common.ready(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(work, "doc_id long, score double, predicted int")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -87,10 +87,21 @@ def factors(matches: list[tuple[int, int, int]], window: int) -> list[tuple[int,
     return [tuple(x) for x in out]
 
 
+def spans(parsed: list[tuple[int, int, int, int]]) -> list[int]:
+    """The words that factors cover, as runs (start * 2^31 + length) that do not touch."""
+    out: list[list[int]] = []
+    for start, length, _, _ in parsed:
+        if out and start <= out[-1][0] + out[-1][1]:
+            out[-1][1] = max(out[-1][1], start + length - out[-1][0])
+        else:
+            out.append([start, length])
+    return [(a << 31) + n for a, n in out]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """_id, _sig and text: a document is its id and its text; rows that repeat both are one document."""
     text = F.col("text").cast("string")
-    return docs.select(common.id_key().alias("_id"), F.coalesce(F.crc32(text), F.lit(0)).alias("_sig"), text.cast("binary").alias("text"))
+    return common.ready(docs).select(common.id_key().alias("_id"), F.coalesce(F.crc32(text), F.lit(0)).alias("_sig"), text.cast("binary").alias("text"))
 
 
 def position() -> Column:
@@ -99,7 +110,7 @@ def position() -> Column:
 
 
 def duplicate_factors(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, max_anchors: int = MAX_ANCHORS, max_rows: int = MAX_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(factors of documents with repeated passages: _id, _sig, factors; exact copies of earlier documents: _id, _sig).
+    """(documents with repeated passages: _id, _sig, factors, spans; exact copies of earlier documents: _id, _sig).
 
     1. Later copies of equal texts are whole factors of the first and take no further part.
     2. Every block of the rest is indexed by winnowed anchors; anchors found once cannot lie in a repeated window.
@@ -123,7 +134,7 @@ def duplicate_factors(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, m
     repeated = common.written(counts.filter("n > 1").select("anchor"), "substring-anchors")
 
     if repeated.count() <= max_anchors:
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(repeated.toPandas()["anchor"].to_numpy("i8").view("u8")))
+        known = docs.sparkSession.sparkContext.broadcast(np.sort(repeated.toArrow().column("anchor").to_numpy().astype("i8").view("u8")))
         rest = rest.withColumn("_anchors", F.lit(None).cast("array<long>"))
     else:
         known = None
@@ -176,58 +187,60 @@ def duplicate_factors(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, m
 
     def parse(batches):
         for batch in batches:
-            out = []
+            out, covered = [], []
             for row in batch.column(2):
-                out.append([dict(zip(("start", "length", "source", "source_start"), f, strict=True)) for f in factors(sorted(set((m["start"], m["source"], m["source_start"]) for m in row.as_py())), window)])
+                long = factors(sorted({(m["start"], m["source"], m["source_start"]) for m in row.as_py()}), window)
+                out.append([dict(zip(("start", "length", "source", "source_start"), f, strict=True)) for f in long])
+                covered.append(spans(long))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, kind)], ["_id", "_sig", "factors"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, kind), pa.array(covered, pa.list_(pa.int64()))], ["_id", "_sig", "factors", "spans"])
 
-    parsed = lists.mapInArrow(parse, "_id long, _sig long, factors array<struct<start int, length int, source long, source_start int>>")
+    parsed = lists.mapInArrow(parse, "_id long, _sig long, factors array<struct<start int, length int, source long, source_start int>>, spans array<long>")
     return common.written(parsed, "substring-factors"), copies
 
 
 def deduplicated(docs: DataFrame, window: int = 20, **bounds: int) -> DataFrame:
-    """The rows of docs with kept_text (kept words joined by one space), n_words, n_removed and factors.
+    """The rows of docs (as _row) with kept_text (kept words joined by one space), n_words, n_removed and n_spans.
 
     A word goes if it lies in a window of `window` words whose words also start earlier: in a document of smaller
     id, or in the same one. Windows are judged on the input. Texts are split at ASCII white space only. Null texts
     have no words; a null id counts as the largest; rows that repeat id and text are one document, and texts that
-    share an id come one after the other in a fixed order. Factors of an exact copy are null: it is one whole factor.
+    share an id come one after the other in a fixed order.
     """
     parsed, copies = duplicate_factors(docs, window, **bounds)
     limit = bounds.get("max_rows", MAX_ROWS)
-    marks = parsed.withColumn("_copy", F.lit(False)).unionByName(copies.withColumn("_copy", F.lit(True)), allowMissingColumns=True)
+    marks = parsed.drop("factors").withColumn("_copy", F.lit(False)).unionByName(copies.withColumn("_copy", F.lit(True)), allowMissingColumns=True)
     text = F.col("_row.text").cast("string")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), common.id_key().alias("_id")).withColumn("_sig", F.coalesce(F.crc32(text), F.lit(0)))
     rows = rows.join(common.smaller(marks, limit), ["_id", "_sig"], "left").withColumn("_text", text.cast("binary"))
 
     def cut(batches):
         for batch in batches:
-            texts, n, removed = [], [], []
+            texts, n, removed, runs = [], [], [], []
             at = {name: k for k, name in enumerate(batch.schema.names)}
-            for text, spans, copy in zip(batch.column(at["_text"]), batch.column(at["factors"]), batch.column(at["_copy"]), strict=True):
+            for text, cut_out, copy in zip(batch.column(at["_text"]), batch.column(at["spans"]), batch.column(at["_copy"]), strict=True):
                 own = (text.as_py() or b"").split()
                 n.append(len(own))
+                runs.append(int(bool(copy.as_py()) and len(own) >= window) or len(cut_out.as_py() or ()))
                 if copy.as_py() and len(own) >= window:
                     own = []
-                elif not copy.as_py() and spans.is_valid:
+                elif not copy.as_py() and cut_out.is_valid:
                     keep = np.ones(len(own), bool)
-                    for f in spans.as_py():
-                        keep[f["start"] : f["start"] + f["length"]] = False
+                    for run in cut_out.as_py():
+                        keep[run >> 31 : (run >> 31) + (run & (1 << 31) - 1)] = False
                     own = [own[k] for k in np.flatnonzero(keep)]
                 texts.append(b" ".join(own).decode())
                 removed.append(n[-1] - len(own))
-            yield pa.record_batch([batch.column(at["_row"]), batch.column(at["factors"]), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], ["_row", "factors", "kept_text", "n_words", "n_removed"])
+            yield pa.record_batch([batch.column(at["_row"]), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in (n, removed, runs))], ["_row", "kept_text", "n_words", "n_removed", "n_spans"])
 
-    inner = rows.select("_row", "factors", "_copy", "_text")
-    row, spans = (inner.schema[c].dataType.simpleString() for c in ("_row", "factors"))
-    return inner.mapInArrow(cut, f"_row {row}, factors {spans}, kept_text string, n_words long, n_removed long")
+    inner = rows.select("_row", "spans", "_copy", "_text")
+    return inner.mapInArrow(cut, f"_row {inner.schema['_row'].dataType.simpleString()}, kept_text string, n_words long, n_removed long, n_spans long")
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, n_factors of each row of docs."""
+    """doc_id, n_words, n_removed, kept_sha256, n_spans of each row of docs."""
     out = deduplicated(docs.select("doc_id", "text"))
-    return out.select(F.col("_row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"), F.coalesce(F.size("factors"), F.lit(0)).alias("n_factors"))
+    return out.select(F.col("_row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"), "n_spans")
 
 
 def cleaned_documents(docs: DataFrame) -> DataFrame:

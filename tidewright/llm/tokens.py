@@ -8,8 +8,8 @@ import re
 
 import numpy as np
 
-#: Chunks kept by one Python worker: some 60 MB.
-CACHE_ENTRIES = 200_000
+#: Chunks kept by one Python worker: some 30 MB.
+CACHE_ENTRIES = 100_000
 #: A space before white space or at the end: there a cut before each space is not safe.
 UNSAFE = re.compile(r" (?:\s|\Z)")
 
