@@ -5,17 +5,20 @@ from __future__ import annotations
 import functools
 import json
 import re
+from array import array
 
 import numpy as np
 
-#: Chunks kept by one Python worker: some 30 MB.
-CACHE_ENTRIES = 100_000
+#: Chunks kept by one Python worker: some 50 MB.
+CACHE_ENTRIES = 200_000
+#: Marks that stand alone behind letters, and the first letter whose class may differ between Unicode versions.
+MARKS, PLAIN = frozenset(".,!?;:"), "\u0530"
 #: A space before white space or at the end: there a cut before each space is not safe.
 UNSAFE = re.compile(r" (?:\s|\Z)")
 
 
 class Chunks(dict):
-    """What `work` gives for each chunk, remembered; emptied when full, so that memory stays bounded."""
+    """What `work` gives for each chunk, remembered. When full, the newer half goes: frequent chunks came early."""
 
     def __init__(self, work):
         super().__init__()
@@ -23,7 +26,8 @@ class Chunks(dict):
 
     def __missing__(self, chunk):
         if len(self) >= CACHE_ENTRIES:
-            self.clear()
+            for old in list(self)[CACHE_ENTRIES // 2 :]:
+                del self[old]
         value = self[chunk] = self.work(chunk)
         return value
 
@@ -60,8 +64,23 @@ class ByteBpe:
         first, *rest = text.split(" ")
         return ([first] if first else []) + [" " + x for x in rest]
 
+    def words(self, chunk: str) -> list[str]:
+        """A chunk's pre-tokens in byte-level letters. A space with letters, or those with one mark, need no search."""
+        body, last = (chunk[1:-1], chunk[-1:]) if chunk[-1:] in MARKS else (chunk[1:], "")
+        if chunk[:1] == " " and body.isalpha() and max(body) < PLAIN:
+            word = "\u0120" + body if body.isascii() else (" " + body).encode().decode("latin-1").translate(self.letters)
+            return [word, last] if last else [word]
+        return [word for word, _ in self.split(chunk)]
+
+    @functools.cached_property
+    def letters(self) -> dict[int, str]:
+        """The letter that stands for each byte: itself if it prints, else the next from 256 on."""
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
     def ids_of(self, chunk: str) -> bytes:
-        return np.array([t.id for word, _ in self.split(chunk) for t in self.merge(word)], "<u4").tobytes()
+        return array("I", [t.id for word in self.words(chunk) for t in self.merge(word)]).tobytes()
 
     @functools.cached_property
     def _ids(self) -> Chunks:
@@ -78,7 +97,7 @@ class ByteBpe:
 
     def count_of(self, single: frozenset[str], chunk: str) -> int:
         """Pre-tokens that are whole tokens count 1; only the rest are merged."""
-        return sum(1 if word in single else len(self.merge(word)) for word, _ in self.split(chunk))
+        return sum(1 if word in single else len(self.merge(word)) for word in self.words(chunk))
 
     def counter(self, single: frozenset[str]):
         """A function from text to its number of tokens; its cache is kept between calls."""
