@@ -72,7 +72,8 @@ def spread_rank(df: DataFrame, keys: list[str], order: list[str], count: str, ro
     task sorts much more than `rows` rows of one group; the parts' offsets are running sums over their sizes.
     """
     parts = F.greatest(F.lit(1), F.ceil(F.col(count) / rows)).cast("long")
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), parts))
+    # dealt out by the salt too: what came from a join on the keys would else stay with its group
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), parts)).repartition(*keys, "_salt")
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     offsets = offsets.select(*keys, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
