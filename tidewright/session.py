@@ -20,7 +20,7 @@ def session(name: str = "tidewright", master: str | None = None, **conf: str) ->
 
 
 #: Bytes of an Arrow batch for Python workers; rows with whole texts would otherwise fill hundreds of megabytes.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
