@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -93,7 +94,7 @@ def word_hashes(text: bytes | None, lower: bool = False) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), "u8", len(words))
 
 
-def portions(batches: Iterator[pa.RecordBatch], column: str, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def portions(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds some `size` bytes of the column at most (a longer text comes alone)."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("i8"))
@@ -103,4 +104,11 @@ def portions(batches: Iterator[pa.RecordBatch], column: str, size: int = 16 << 2
             stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
-    pa.default_memory_pool().release_unused()  # a worker lives on after its task
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at a task's end: its Python worker lives on beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)

@@ -169,7 +169,7 @@ FOUND = "lang_pred string, score double, spans array<struct<lang: string, start:
 
 
 def identify(docs: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
-    """A row per row: the column `keep`, lang_pred, score (0 to 1) and spans of (lang, first word, words).
+    """A row per row: the column `keep` (or the struct `_row`, which holds the text), lang_pred, score (0 to 1) and spans of (lang, first word, words).
 
     Words are runs of letters. lang_pred is the language whose spans hold most letters (ties: the first by name);
     score is its share of the letters times how clearly its words tell it from the others. Null texts and texts
@@ -181,6 +181,8 @@ def identify(docs: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
     def work(batches):
         model = known.value
         names = np.array([*model.languages, "und"], object)
+        if keep == "_row":  # the text is in it, and does not come twice
+            batches = (pa.record_batch([b.column(0), b.column(0).field("text").cast(pa.string())], [keep, "text"]) for b in batches)
         for batch in common.portions(batches, "text", PORTION):
             words = Words([t or "" for t in batch.column(1).cast(pa.string()).to_pylist()])
             size, many = batch.num_rows, len(model.languages)
@@ -207,7 +209,7 @@ def identify(docs: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
                     spans[d].append({"lang": names[label[a]], "start": a - begin[d], "words": b - a})
             yield pa.record_batch([batch.column(0), pa.array(names[pred], pa.string()), pa.array(score), pa.array(spans, kind)], [keep, "lang_pred", "score", "spans"])
 
-    rows = common.ready(docs).select(keep, F.col("text").cast("string").cast("binary").alias("text"))
+    rows = common.ready(docs).select(keep, *([] if keep == "_row" else [F.col("text").cast("string").cast("binary").alias("text")]))
     return rows.mapInArrow(work, f"{keep} {rows.schema[keep].dataType.simpleString()}, {FOUND}")
 
 
@@ -225,7 +227,7 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 def with_language(docs: DataFrame) -> DataFrame:
     """The rows of docs that have a letter; those without (and null texts) are `und` and go."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
     return identify(rows, held_out_model(docs), "_row").filter("lang_pred <> 'und'").select("_row.*")
 
 

@@ -148,6 +148,7 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2) -> D
                         col.append(v)
                     start, stop, k = stop, stop + room, k + 1
             yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        common.give_back()
 
     return common.ready(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 

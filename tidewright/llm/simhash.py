@@ -44,6 +44,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], "u8").view("i8")
             yield pa.record_batch([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+        common.give_back()
 
     return common.ready(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(work, "doc_id long, fp long")
 

@@ -27,6 +27,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
             n = pa.array(map(count_text, texts), pa.int64())
             size = pa.array([len(t.encode()) for t in texts], pa.int64())
             yield pa.record_batch([batch.column(0), size, n, pa.compute.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        common.give_back()
 
     return common.ready(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
