@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,8 +20,8 @@ MAX_TRAIN = 4000
 MAX_LANGUAGES = 500
 #: Rows of the table of hashed character sequences.
 TABLE = 1 << 16
-#: Bytes of text looked at together; a word's arrays take some fifty times the text.
-PORTION = 2 << 20
+#: Bytes of text looked at together, and code points whose features are made at a time.
+PORTION, STEP = 2 << 20, 1 << 18
 #: The least and the most a word can tell against a language, and what a change of language costs (nats).
 FLOOR, SWITCH = -8.0, 10.0
 #: First code points of runs of scripts, with the script's number; 0 is any other.
@@ -48,7 +49,7 @@ def code_points() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words (runs of letters, lower case) of some texts: their text, place, letters, script and features."""
+    """The words (runs of letters, lower case) of some texts: their text, place, letters and script."""
 
     def __init__(self, texts: list[str]):
         letter, script = code_points()
@@ -62,21 +63,29 @@ class Words:
         self.doc = np.searchsorted(starts, self.first, "right") - 1
         self.n = np.bincount(self.doc, minlength=len(texts)).astype("i8")
         self.script = script[codes[self.first]]
-        codes = np.where(alpha, codes, np.uint32(32))
-        word = np.cumsum(np.bincount(self.first, minlength=len(codes)), dtype="i4") - 1  # of each letter, its word
-        features, of = [], []
-        for k in (2, 3, 4):  # sequences with at most a word's border at either end
-            mixed = np.zeros(len(codes) - k + 1, "u4")
-            for j in range(k):
-                mixed = (mixed + codes[j : len(codes) - k + 1 + j]) * np.uint32(0x9E3779B1)
-                mixed ^= mixed >> np.uint32(15)
-            inner = alpha[1 : len(alpha) - k + 2].copy() if k > 2 else alpha[: len(alpha) - 1] | alpha[1:]
-            for j in range(2, k - 1):
-                inner &= alpha[j : len(alpha) - k + 1 + j]
-            at = np.flatnonzero(inner)
-            features.append((mixed[at] >> np.uint32(8)).astype("i4") % TABLE)
-            of.append(word[np.where(alpha[at], at, at + 1)])
-        self.features, self.of = np.concatenate(features), np.concatenate(of)
+        self.codes, self.alpha = np.where(alpha, codes, np.uint32(32)), alpha
+
+    def features(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(features, the word of each, ascending) of some code points at a time, so that arrays stay small.
+
+        A feature is a hashed sequence of two to four code points with at most a word's border at either end.
+        """
+        for low in range(0, len(self.codes), STEP):
+            codes, alpha = self.codes[low : low + STEP + 3], self.alpha[low : low + STEP + 3]
+            for k in (2, 3, 4):
+                n = min(STEP, len(codes) - k + 1)
+                if n <= 0:
+                    continue
+                mixed = np.zeros(n, "u4")
+                for j in range(k):
+                    mixed = (mixed + codes[j : n + j]) * np.uint32(0x9E3779B1)
+                    mixed ^= mixed >> np.uint32(15)
+                inner = alpha[1 : n + 1].copy() if k > 2 else alpha[:n] | alpha[1 : n + 1]
+                for j in range(2, k - 1):
+                    inner &= alpha[j : n + j]
+                at = np.flatnonzero(inner)
+                of = np.searchsorted(self.first, np.where(alpha[at], at, at + 1) + low, "right") - 1
+                yield (mixed[at] >> np.uint32(8)).astype("i4") % TABLE, of
 
 
 @dataclass(frozen=True)
@@ -88,9 +97,12 @@ class Model:
     def scores(self, words: Words) -> np.ndarray:
         """Words x languages: how much each word tells against a language, the best one's being 0."""
         n = len(words.first)
-        score = np.empty((n, len(self.languages)), "f4")
-        for k in range(len(self.languages)):
-            score[:, k] = np.bincount(words.of, self.table[words.features, k], minlength=n)
+        score = np.zeros((n, len(self.languages)), "f4")
+        for features, of in words.features():
+            if len(of):
+                low, high = int(of[0]), int(of[-1]) + 1
+                for k in range(len(self.languages)):
+                    score[low:high, k] += np.bincount(of - low, self.table[features, k], minlength=high - low)
         allowed = self.scripts[words.script]
         score[~allowed & allowed.any(axis=1, keepdims=True)] = -np.inf
         score -= score.max(axis=1, keepdims=True, initial=-np.inf) if n else 0
@@ -150,7 +162,7 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
             langs = np.array(batch.column(0).to_pylist(), object)
             for lang in sorted(set(langs)):
                 w = Words([str(t) for t in batch.column(1).filter(pa.array(langs == lang)).cast(pa.string()).to_pylist()])
-                total = np.concatenate([np.bincount(w.features, minlength=TABLE), np.bincount(w.script, w.letters, minlength=N_SCRIPTS)]).astype("f8")
+                total = np.concatenate([sum((np.bincount(f, minlength=TABLE) for f, _ in w.features()), np.zeros(TABLE, "i8")), np.bincount(w.script, w.letters, minlength=N_SCRIPTS)]).astype("f8")
                 yield pa.record_batch([pa.array([lang]), pa.array([total.tobytes()], pa.binary())], ["lang", "counts"])
 
     def add(table):
