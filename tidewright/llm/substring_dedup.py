@@ -15,6 +15,8 @@ ANCHOR = 6
 MAX_ANCHORS = 8_000_000
 #: Beyond so many rows of copies or factors, documents get theirs by a shuffle join and not by a broadcast.
 MAX_ROWS = 1_000_000
+#: Bytes of text looked at together; the arrays over their words take some twenty times as much.
+PORTION = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -125,7 +127,7 @@ def duplicate_factors(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, m
     rest = rows.join(common.smaller(copies, max_rows), ["_id", "_sig"], "left_anti")
 
     def index(batches):
-        for batch in common.portions(batches, "text"):
+        for batch in common.portions(batches, "text", PORTION):
             _, found = Batch(batch.column(0).to_pylist(), window, anchor).anchors()
             anchors, n = np.unique(found, return_counts=True)
             yield pa.record_batch([pa.array(anchors.view("i8")), pa.array(n)], ["anchor", "n"])
@@ -140,7 +142,7 @@ def duplicate_factors(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, m
         known = None
 
         def own(batches):
-            for batch in common.portions(batches, "text"):
+            for batch in common.portions(batches, "text", PORTION):
                 b = Batch(batch.column(2).to_pylist(), window, anchor)
                 low, _ = b.anchors()
                 new = np.ones(len(low), bool)
@@ -152,7 +154,7 @@ def duplicate_factors(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, m
         rest = rest.join(mine, ["_id", "_sig"])
 
     def windows(batches):
-        for batch in common.portions(batches, "text"):
+        for batch in common.portions(batches, "text", PORTION):
             b = Batch(batch.column(2).to_pylist(), window, anchor)
             low, _ = b.anchors()
             if not len(low):
