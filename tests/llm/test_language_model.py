@@ -58,3 +58,20 @@ def test_filter_never_loses_an_entry():
 
 def test_empty(none):
     assert language_model.scored(none).count() == 0
+
+
+def test_score_against_brute_force(tiny):
+    rows = tiny.select("doc_id", "text").collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    train = [tokens(r.text) for r in rows if not held(r.doc_id)]
+    words, both = Counter(t for own in train for t in own), Counter(x for own in train for x in zip([None, *own], own))  # noqa: B905
+    denominator = sum(words.values()) + len(words) + 1
+    lower = lambda c: 1 << c.bit_length() - 1 if c else 0
+
+    def log(v, w):
+        n = min(lower(both[v, w]), words[w], words[v])
+        return math.log10((n + 300 * (words[w] + 1) / denominator) / (words[v] + 300))
+
+    got = {r.doc_id: r for r in language_model.scored(tiny).collect()}
+    over = np.array([(got[r.doc_id].score - sum(map(log, [None, *own], own))) / len(own) for r in rows if len(own := tokens(r.text)) > 50])  # noqa: B905
+    assert over.min() > -1e-6 and over.mean() < 0.02 and over.max() < 0.15  # false positives can only raise a score

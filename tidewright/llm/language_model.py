@@ -161,14 +161,14 @@ def vocabulary(blocks: DataFrame) -> DataFrame:
     return blocks.filter("kind = 0").select("keys", "counts").mapInArrow(unpack, "word long, c long")
 
 
-def scored(docs: DataFrame, modulus: int = 7, held: int = 2, prior: float = 300.0, min_pair: int = 2, max_filter: int = MAX_FILTER, frequent: int = FREQUENT) -> DataFrame:
+def scored(docs: DataFrame, modulus: int = 7, held: int = 2, prior: float = 300.0, min_pair: int = 1, max_filter: int = MAX_FILTER, frequent: int = FREQUENT) -> DataFrame:
     """A row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Training documents are those whose crc32(doc_id as text) mod modulus is not held (a null id trains). score sums
     log10 P(w | v) = (n(v, w) + prior * P(w)) / (n(v) + prior) over each text's words and its end, with
     P(w) = (n(w) + 1) / (N + V + 1): n are counts as the filter has them (the lower end of their level; a context's
     is the upper end, so the sum over words stays at most 1), exact for frequent words. Pairs seen fewer than
-    min_pair times are not entered. base_score takes exact counts: frequent words from the broadcast table, whose
+    min_pair times are not entered (by default all are). base_score takes exact counts: frequent words from the broadcast table, whose
     length is bounded by `frequent`, others by a join.
     Null texts are empty, with the end as their token; an empty training set gives the uniform model over the
     unknown. Repeated rows are scored each; other columns are ignored.
