@@ -75,3 +75,26 @@ def test_one_of_each(tiny, none):
     assert kept.columns == tiny.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in groups.collect()})
     assert simhash.near_duplicates(none).count() == 0
+
+
+@pytest.mark.parametrize("pair_bucket", [0, 8])
+def test_edited_copies_are_alike(spark, pair_bucket, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIR_BUCKET", pair_bucket)
+    rng = np.random.default_rng(3)
+    texts = []
+    for n in rng.integers(100, 600, 60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, n)]
+        texts.append(" ".join(words))
+        for edits in (1, 2, 4, 8):
+            for k in rng.integers(0, n, edits):
+                words[k] = f"e{rng.integers(1 << 30)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):  # copies lie behind their text
+        for b in range(a - a % 5, a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_alike(docs).collect()) == sorted(set(root))

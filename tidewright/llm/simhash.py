@@ -17,6 +17,12 @@ PAIR_BUCKET = 8
 SEED = 42
 #: Beyond so many kept ids, documents meet them by a shuffle join and not by a broadcast.
 MAX_ROWS = 1_000_000
+#: Bands of minima and the minima in each: texts of Jaccard likeness 0.8 share a band with probability 0.9996.
+BANDS, WIDTH = 20, 5
+#: Odd multipliers and masks of the BANDS * WIDTH orders of shingles.
+ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * WIDTH)).astype("u8") * np.uint64(2) + np.uint64(1)
+#: Texts of large buckets are compared with so many of theirs, which differ from bucket to bucket.
+HUBS = 2
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -125,6 +131,106 @@ def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
     return rows.join(common.smaller(keep, MAX_ROWS), "_keep", "left_semi").select("_row.*")
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def shingles(text: bytes | None, n: int = 5) -> tuple[np.ndarray, int]:
+    """Distinct 64-bit hashes of the text's runs of n words (of all its words if they are fewer), and a hash of the words."""
+    words = common.word_hashes(text, True)
+    long = max(1, len(words) - n + 1)
+    out = np.zeros(long, "u8")
+    for j in range(min(n, len(words))):
+        out = mixed(out + np.uint64(0x9E3779B97F4A7C15)) + words[j : j + long]
+    return np.unique(mixed(out)), xxhash.xxh64_intdigest(words.tobytes(), SEED)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: a hash of the band's minima."""
+    least = np.full(BANDS * WIDTH, ~np.uint64(0))
+    for k in range(0, len(hashes), 4096):
+        part = (hashes[None, k : k + 4096] ^ ORDERS[1][:, None]) * ORDERS[0][:, None]
+        least = np.minimum(least, (part ^ (part >> np.uint64(29))).min(axis=1))
+    key = np.arange(BANDS, dtype="u8")
+    for j in range(WIDTH):
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least[j::WIDTH])
+    return key
+
+
+def row_ties(docs: DataFrame) -> DataFrame:
+    """docs with _id and _tie (a hash of the row's columns): rows that agree in both are repeats of one row."""
+    hashed = [F.xxhash64(F.col(f"`{f.name}`")) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), common.id_key().alias("_id"), F.xxhash64(*hashed).alias("_tie"))
+
+
+def first_rows(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Of each component of members (_id, _tie, component; a row per row of docs) one row: the least by _id and _tie."""
+    counted = members.groupBy("component", "_id", "_tie").agg(F.count(F.lit(1)).alias("_n"))
+    least = counted.groupBy("component").agg(F.min(F.struct("_id", "_tie", "_n")).alias("x")).select("x.*")
+    least = common.written(least, "simhash-kept")
+    rows, none = row_ties(docs), least.filter("_n > 1").isEmpty()
+    out = rows.join(common.smaller(least.filter("_n = 1"), MAX_ROWS), ["_id", "_tie"], "left_semi").select("_row")
+    if not none:  # rows repeated as a whole
+        again = rows.join(common.smaller(least.filter("_n > 1"), MAX_ROWS), ["_id", "_tie"], "left_semi")
+        out = out.unionByName(again.groupBy("_id", "_tie").agg(F.first("_row").alias("_row")).select("_row"))
+    return out.select("_row.*")
+
+
+def alike_links(docs: DataFrame, prints: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Links (a, b) between nodes whose sets of shingles have Jaccard likeness `threshold` or more.
+
+    Candidates share a band. All pairs of a small bucket are compared, and in a large one each text with HUBS of
+    the bucket's, so pairs grow with the texts and not with a bucket's square. prints: node, bands, _id, a row per row.
+    """
+    classes = common.written(prints.groupBy("node").agg(F.min("_id").alias("_id"), F.first("bands").alias("bands")), "alike-classes")
+    rows = classes.select("node", F.posexplode("bands").alias("k", "key"))
+    order = lambda h: F.min(F.struct(F.xxhash64("node", "k", F.lit(h)).alias("o"), "node")).alias(f"h{h}")
+    sizes = rows.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n"), *map(order, range(HUBS))).filter("n > 1")
+    rows = common.written(rows.join(sizes.select("k", "key", "n", F.array(*[f"h{h}.node" for h in range(HUBS)]).alias("hubs")), ["k", "key"]), "alike-buckets")
+    small = rows.filter(F.col("n") <= PAIR_BUCKET)
+    a, b = small.select("k", "key", F.col("node").alias("a")), small.select("k", "key", F.col("node").alias("b"))
+    pairs = a.join(b, ["k", "key"]).filter("a < b").select("a", "b")
+    stars = rows.filter(F.col("n") > PAIR_BUCKET).select("node", F.explode("hubs").alias("hub")).filter("node <> hub")
+    pairs = common.written(pairs.unionByName(stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct(), "alike-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = classes.select("node", "_id").join(asked, "node", "left_semi")
+
+    def work(batches):
+        for batch in common.portions(batches, "text"):
+            found = [shingles(t.as_py(), shingle) for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array([x[1] for x in found], pa.uint64()).view(pa.int64()), pa.array([x[0].view("i8") for x in found], pa.list_(pa.int64()))], ["_id", "node", "own"])
+
+    texts = docs.select(common.id_key().alias("_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    texts = texts.join(common.smaller(asked.select("_id").distinct(), MAX_ROWS), "_id", "left_semi")
+    own = texts.mapInArrow(work, "_id long, node long, own array<long>").join(common.smaller(asked, MAX_ROWS), ["_id", "node"], "left_semi")
+    own = common.written(own.groupBy("node").agg(F.first("own").alias("own")), "alike-shingles")
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("own").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("sb")), "b")
+    same = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(same >= threshold * (F.size("sa") + F.size("sb") - same)).select("a", "b")
+
+
+def one_of_alike(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """One row of docs of each component of texts whose sets of shingles have likeness `threshold` or more.
+
+    Texts with the same words, lower case, are one node. The least id stays (null is the largest), then the least
+    hash of the row's columns. Links are verified exactly; candidates share a band of minima over the shingles,
+    because SimHash at a radius that a join can afford misses most copies near the threshold.
+    """
+
+    def work(batches):
+        for batch in common.portions(batches, "text"):
+            found = [shingles(t.as_py(), shingle) for t in batch.column(2)]
+            keys = np.array([bands(x[0]) for x in found]).reshape(len(found), BANDS)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([x[1] for x in found], pa.uint64()).view(pa.int64()), pa.array(list(keys.view("i8")), pa.list_(pa.int64()))], ["_id", "_tie", "node", "bands"])
+
+    rows = row_ties(common.ready(docs)).select("_id", "_tie", F.col("_row.text").cast("string").cast("binary").alias("text"))
+    prints = common.written(rows.mapInArrow(work, "_id long, _tie long, node long, bands array<long>"), "alike-prints")
+    named = components(alike_links(docs, prints, shingle, threshold)).groupBy("node").agg(F.min("component").alias("component"))
+    members = prints.select("node", "_id", "_tie").join(named, "node", "left").select("_id", "_tie", F.coalesce("component", "node").alias("component"))
+    return first_rows(docs, members)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op6: shingles of 3 words, links at 2 bits or fewer."""
     return near_duplicates(common.documents(spark, sf_dir))
