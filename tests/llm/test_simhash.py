@@ -98,3 +98,13 @@ def test_edited_copies_are_alike(spark, pair_bucket, monkeypatch):
                 root = [new if r == old else r for r in root]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.one_of_alike(docs).collect()) == sorted(set(root))
+
+
+@pytest.mark.parametrize("one_of", [simhash.one_of_each, simhash.one_of_alike])
+def test_rows_without_or_with_repeated_ids(spark, one_of):
+    long = " ".join(f"word{k}" for k in range(300))
+    rows = [(1, long, "a"), (None, long, "b"), (None, "quite another text than that one there", "c"), (None, "a third text that is unlike the others", "d"), (7, "rows that are repeated as a whole", "e"), (7, "rows that are repeated as a whole", "e"), (7, "a text of its own under a repeated id", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r.source for r in one_of(docs).collect()) == ["a", "c", "d", "e", "f"]
+    groups = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert groups == {(1, 1), (None, 1), (None, None), (7, 7)}

@@ -43,16 +43,16 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long), a row per row."""
+def fingerprints(docs: DataFrame, shingle: int = 3, *carry: str) -> DataFrame:
+    """doc_id, the columns `carry` (longs) and fp (the fingerprint as a signed long), a row per row."""
 
     def work(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], "u8").view("i8")
-            yield pa.record_batch([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], "u8").view("i8")
+            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", *carry)), pa.array(fps)], ["doc_id", *carry, "fp"])
         common.give_back()
 
-    return common.ready(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(work, "doc_id long, fp long")
+    return common.ready(docs).select(F.col("doc_id").cast("long"), *carry, F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(work, ", ".join(f"{c} long" for c in ("doc_id", *carry, "fp")))
 
 
 def near_links(classes: DataFrame, bits: int = 2, blocks: int = 4, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
@@ -111,24 +111,31 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links), a row per row.
 
-    Rows with the same fingerprint are one class, whose least id is its node, so copies never form pairs. Texts
-    without words share the fingerprint zero and are linked. A null id counts as larger than any; a component of
-    null ids alone has a null id. Other columns are ignored; an empty table gives no row.
+    Rows with the same fingerprint are one class, and the fingerprint its node, so copies never form pairs and rows
+    without an id, or with another's, stay apart. Texts without words share the fingerprint zero and are linked. A
+    null id counts as larger than any; a component of null ids alone has a null id. Other columns are ignored; an
+    empty table gives no row.
     """
     prints = common.written(fingerprints(docs, shingle).select("doc_id", common.id_key().alias("_id"), "fp"), "simhash-prints")
-    classes = common.written(prints.groupBy("fp").agg(F.min("_id").alias("node")), "simhash-classes")
-    named = components(near_links(classes, bits)).groupBy("node").agg(F.min("component").alias("component"))
-    final = classes.join(named, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    final = grouped(prints, bits)
     out = prints.join(final, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif(F.col("component_id"), F.lit(common.NO_ID)).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of docs whose id is the least of their component (where all ids are null, all of them)."""
-    groups = near_duplicates(docs, **options)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(common.NO_ID)).alias("_keep")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), common.id_key().alias("_keep"))
-    return rows.join(common.smaller(keep, MAX_ROWS), "_keep", "left_semi").select("_row.*")
+def grouped(prints: DataFrame, bits: int) -> DataFrame:
+    """fp, component (its least fingerprint) and component_id (its least _id) of each fingerprint."""
+    classes = common.written(prints.groupBy("fp").agg(F.min("_id").alias("_id")), "simhash-classes")
+    named = components(near_links(classes.select("fp", F.col("fp").alias("node")), bits)).groupBy("node").agg(F.min("component").alias("component"))
+    of = classes.join(named.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_id", F.coalesce("component", "fp").alias("component"))
+    of = common.written(of, "simhash-components")
+    return of.join(of.groupBy("component").agg(F.min("_id").alias("component_id")), "component").select("fp", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
+    """One row of docs of each component: the one of least id, and among those of least hash of the row's columns."""
+    rows = row_ties(docs).select(F.col("_id").alias("doc_id"), "_tie", F.col("_row.text").alias("text"))
+    prints = common.written(fingerprints(rows, shingle, "_tie").select(F.col("doc_id").alias("_id"), "_tie", "fp"), "simhash-prints")
+    return first_rows(docs, prints.join(grouped(prints, bits), "fp").select("_id", "_tie", "component"))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
