@@ -55,6 +55,16 @@ def test_language_odd(odd, none):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 3
 
 
+def test_language_is_filled_and_none_is_needed(spark):
+    texts = {"en": "hello good morning world", "ru": "привет доброе утро мир"}
+    rows = [(k, texts[lang], lang, k) for k, lang in enumerate(["en", "ru"] * 20)] + [(100, texts["ru"], None, 1), (101, "12 !", None, 1), (102, None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n long")
+    kept = {r.doc_id: r.lang for r in language_id.with_language(docs).collect()}
+    assert kept == {r[0]: r[2] for r in rows[:40]} | {100: "ru"}
+    unlabelled = language_id.with_language(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert unlabelled.columns == docs.columns and sorted(r.doc_id for r in unlabelled.collect()) == [*range(40), 100]
+
+
 def auc(y, s):
     order = np.argsort(s)
     rank = np.empty(len(s))

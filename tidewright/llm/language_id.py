@@ -238,9 +238,15 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs that have a letter; those without (and null texts) are `und` and go."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"))
-    return identify(rows, held_out_model(docs), "_row").filter("lang_pred <> 'und'").select("_row.*")
+    """The rows of docs that have a letter, a null lang filled with the predicted one; those without (and null texts) go.
+
+    Where no language could be learned, lang stays as it is.
+    """
+    rows, model = docs.select(F.struct(*docs.columns).alias("_row")), held_out_model(docs)
+    if not model.languages:
+        return rows.filter(F.col("_row.text").cast("string").rlike(r"\p{L}")).select("_row.*")
+    found = identify(rows, model, "_row").filter("lang_pred <> 'und'")
+    return found.select(F.col("_row").withField("lang", F.coalesce("_row.lang", "lang_pred")).alias("_row")).select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
