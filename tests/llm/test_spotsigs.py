@@ -68,3 +68,11 @@ def test_search_finds_all(tiny):
     queries = tiny.filter("doc_id % 10 = 0")
     want = {(a, b) for a, s in rows if a % 10 == 0 for b, t in rows if a != b and jaccard(s, t) >= 0.8}
     assert {(r.query_id, r.doc_id) for r in spotsigs.search(queries, tiny).collect()} == want
+
+
+def test_ranges_are_even_for_any_ids(spark):
+    ids = [*range(300), *range(10**9, 10**9 + 300), *[(1 << 63) - 1] * 300]
+    df = spark.createDataFrame([(i, k * 7919 % 911) for k, i in enumerate(ids)], "_id long, _tie long")
+    rows = sorted(tuple(r) for r in df.select("_id", "_tie", spotsigs.range_of(df, 30)).collect())
+    buckets = [b for _, _, b in rows]
+    assert buckets == sorted(buckets) and len(set(buckets)) > 20 and max(map(buckets.count, buckets)) <= 90

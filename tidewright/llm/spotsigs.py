@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,28 +82,34 @@ def search(queries: DataFrame, docs: DataFrame, threshold: float = 0.8) -> DataF
     return found.select("query_id", "doc_id", likeness("a", "b").alias("likeness")).filter(F.col("likeness") >= threshold)
 
 
+def range_of(df: DataFrame, buckets: int) -> Column:
+    """The range of (_id, _tie), from 0, that a row lies in: ranges hold about as many rows, as Spark samples them.
+
+    Rows of one id are dealt out by _tie; those equal in both stay together. A bound is looked up in two steps.
+    """
+    ranges = df.select("_id", "_tie").repartitionByRange(buckets, "_id", "_tie").withColumn("k", F.spark_partition_id())
+    ends = sorted((r["m"]["_id"], r["m"]["_tie"]) for r in ranges.groupBy("k").agg(F.max(F.struct("_id", "_tie")).alias("m")).collect())[:-1]  # a row a range
+    step = math.isqrt(len(ends)) + 1
+    inner = [ends[k : k + step] for k in range(0, len(ends), step)] or [[]]
+    entry = lambda e: {"i": e[0], "t": e[1]}
+    literal = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+    below = lambda ends: F.size(F.filter(ends, lambda e: (e["i"] < F.col("_id")) | ((e["i"] == F.col("_id")) & (e["t"] < F.col("_tie")))))
+    outer = below(literal([entry(x[-1]) for x in inner[:-1]], "array<struct<i: bigint, t: bigint>>"))
+    within = F.get(literal([[entry(e) for e in x] for x in inner], "array<array<struct<i: bigint, t: bigint>>>"), outer)
+    return (outer * step + below(within)).cast("int")
+
+
 def beside_next(df: DataFrame, carry: list[str]) -> DataFrame:
     """Adds next_<column> for `carry`: the values of the next row in descending (_id, _tie); the last row's is the first.
 
-    Rows are dealt into ranges of ids with about BUCKET_ROWS rows (counted over even cells first), so each task
-    orders one range; the first row of a range is copied to the range before it in the order.
+    Rows are dealt into ranges with about BUCKET_ROWS rows, so each task orders one range; the first row of a range is
+    copied to the range before it in the order.
     """
-    ids = df.select("_id")
-    low, high, rows = ids.agg(F.min("_id"), F.max("_id"), F.count(F.lit(1))).first()
+    rows = df.count()
     if not rows:
         return df.withColumns({f"next_{c}": F.col(c) for c in carry})
-    buckets = max(1, min(MAX_BUCKETS, -(-rows // BUCKET_ROWS)))
-    cells = buckets * 8
-    span = (high - low) // cells + 1  # integers, so that a cell is a whole range of ids
-    cell = F.expr(f"(_id - {low}) div {span}")
-    counts = sorted((r["cell"], r["count"]) for r in ids.groupBy(cell.alias("cell")).count().collect())  # no more rows than cells
-    of, seen = [], 0
-    for k, n in counts:
-        of.append((k, seen * buckets // rows))
-        seen += n
-    spark = df.sparkSession
-    deal = F.broadcast(spark.createDataFrame(of, "cell long, bucket int"))
-    dealt = df.withColumn("cell", cell).join(deal, "cell").drop("cell")
+    spark, buckets = df.sparkSession, max(1, min(MAX_BUCKETS, -(-rows // BUCKET_ROWS)))
+    dealt = df.withColumn("bucket", range_of(df, buckets))
     heads = {r["bucket"]: r["m"] for r in dealt.groupBy("bucket").agg(F.max(F.struct("_id", "_tie")).alias("m")).collect()}  # a row a bucket
     order = sorted(heads)
     above = [(heads[b]["_id"], heads[b]["_tie"], order[(k + 1) % len(order)]) for k, b in enumerate(order)]
