@@ -63,3 +63,20 @@ def test_rates_tilt_exponentially(spark, sf):
     for r in rows:
         by[r.source].add(round(math.log(r.rate) / r["size"], 9))
     assert all(max(v) - min(v) < 1e-8 for v in by.values())
+
+
+def test_rows_under_one_id_take_their_own_copies(spark):
+    rows = [(None if k % 2 else 5, f"{'word ' * (1 + k % 7)}{k // 40}", "abc"[k % 3]) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = defaultdict(int), defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        want[r.source] += r.taken
+    for r in mixing.mixed_documents(docs).collect():
+        got[r.source] += len(r.text.split())
+    assert got == want and len(set(want.values())) > 1
+
+
+def test_sources_that_do_not_settle_are_refused(spark):
+    hist = spark.createDataFrame([("=a", 10, 5), ("=a", 90, 5)], "_src string, size long, n long")
+    with pytest.raises(RuntimeError, match="did not settle"):
+        mixing.balance(hist, {"=a": 500}, {"=a": 300.0}, 3.0, rounds=1)

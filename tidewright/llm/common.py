@@ -55,6 +55,12 @@ def id_key() -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(NO_ID))
 
 
+def row_ties(docs: DataFrame) -> DataFrame:
+    """docs with _id and _tie (a hash of the row's columns): rows that agree in both are repeats of one row."""
+    hashed = [F.xxhash64(F.col(f"`{f.name}`")) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), id_key().alias("_id"), F.xxhash64(*hashed).alias("_tie"))
+
+
 def id_remainder(modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus; a null id has a null remainder."""
     return F.crc32(F.col("doc_id").cast("string")) % modulus
@@ -66,8 +72,8 @@ def once(column: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, column)
 
 
-def spread_rank(df: DataFrame, keys: list[str], order: list[str], count: str, rows: int = 500) -> DataFrame:
-    """Adds rank: each row's place, from 0, among the rows of its keys, in an order fixed by the columns `order`.
+def spread_rank(df: DataFrame, keys: list[str], order: list[str], count: str, rows: int = 500, ties: list[str] | None = None) -> DataFrame:
+    """Adds rank: each row's place, from 0, among the rows of its keys, in an order fixed by the columns `order` (then `ties`).
 
     `count` holds the number of rows of the keys. A large group is split by a hash of the order columns, so that no
     task sorts much more than `rows` rows of one group; the parts' offsets are running sums over their sizes.
@@ -78,7 +84,7 @@ def spread_rank(df: DataFrame, keys: list[str], order: list[str], count: str, ro
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     offsets = offsets.select(*keys, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    inside = Window.partitionBy(*keys, "_salt").orderBy(*order, *(ties or []))
     ranked = salted.withColumn("_place", F.row_number().over(inside)).join(offsets, [*keys, "_salt"], "left")
     return ranked.withColumn("rank", F.col("_before") + F.col("_place") - 1).drop("_salt", "_place", "_before")
 

@@ -50,7 +50,7 @@ def balance(hist: DataFrame, sizes: dict[str, int], targets: dict[str, float], c
     lam = {s: math.log(targets[s] / sizes[s]) for s in open_}
     low, high = dict.fromkeys(open_, -math.inf), dict.fromkeys(open_, math.inf)
     scale = {s: means[s] or 1.0 for s in open_}
-    todo = set(open_)
+    todo, off = set(open_), {}
     for _ in range(rounds):
         if not todo:
             break
@@ -64,16 +64,20 @@ def balance(hist: DataFrame, sizes: dict[str, int], targets: dict[str, float], c
             if abs(miss) <= tolerance * targets[s]:
                 todo.discard(s)
                 continue
+            off[s] = abs(miss)
             (high if miss > 0 else low)[s] = lam[s]
             step = lam[s] - miss / r["h"] if r["h"] else math.nan
             if not low[s] < step < high[s]:
                 step = (low[s] + high[s]) / 2 if math.isfinite(low[s] + high[s]) else (lam[s] * 2 - 1 if miss > 0 else lam[s] * 2 + 1)
             lam[s] = step
+    # sums are rounded to a millionth, so a small target may stay a little off
+    if wrong := sorted(s for s in todo if off.get(s, math.inf) > max(tolerance * targets[s], 0.01)):
+        raise RuntimeError(f"{len(wrong)} sources did not settle in {rounds} rounds, such as {wrong[0][1:]!r}")
     return out | {s: (lam[s], scale[s]) for s in open_}
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """A row per document: doc_id, source, size, source_size, target, rate, copies, taken.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, carry: list[str] | None = None) -> DataFrame:
+    """A row per document: doc_id, source, size, source_size, target, rate, copies, taken, and the columns `carry`.
 
     Size is the number of words (null text: 0). The dual's rates are the same for all documents of a source with the
     same size; their sums are rounded along falling size, so a source's taken words miss its target by at most half
@@ -85,7 +89,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     spark = docs.sparkSession
     source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("~"))
     size = F.coalesce(F.regexp_count("text", F.lit(rf"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = common.written(docs.select("doc_id", "source", source.alias("_src"), size.alias("size")), "mix-sizes")
+    sized = common.written(docs.select("doc_id", "source", source.alias("_src"), size.alias("size"), *(carry or [])), "mix-sizes")
     hist = common.written(sized.groupBy("_src", "size").agg(F.count(F.lit(1)).alias("n")), "mix-histogram")
     rows = hist.groupBy("_src").agg(F.sum(F.col("n") * F.col("size")).alias("tokens")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
@@ -101,18 +105,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     groups = hist.join(per, "_src").withColumn("rate", rate).withColumn("_upto", F.floor(upto + 0.5))
     whole = F.least(F.col("_upto") - F.coalesce(F.lag("_upto").over(falling), F.lit(0)), F.floor(F.col("n") * cap))
     groups = groups.withColumn("_whole", whole).drop("lam", "scale", "_upto")
-    ranked = common.spread_rank(sized.join(groups, ["_src", "size"]), ["_src", "size"], ["doc_id"], "n")
+    ranked = common.spread_rank(sized.join(groups, ["_src", "size"]), ["_src", "size"], ["doc_id"], "n", ties=carry)
     # the extra copies start at a hashed place, so that low ids are not favoured
     place = F.pmod(F.col("rank") + F.pmod(F.xxhash64("_src", "size"), F.col("n")), F.col("n"))
     copies = (F.floor(F.col("_whole") / F.col("n")) + F.when(place < F.col("_whole") % F.col("n"), 1).otherwise(0)).cast("int")
     ranked = ranked.withColumn("copies", copies)
-    return ranked.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return ranked.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(carry or []))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """The rows of docs, each repeated by its copies (documents with none go)."""
-    share = mix(docs, weights, cap).filter("copies > 0").groupBy(common.id_key().alias("_id")).agg(F.max("copies").alias("_copies"))
-    full = docs.select(common.id_key().alias("_id"), F.struct(*docs.columns).alias("_row")).join(common.smaller(common.written(share, "mix-copies"), MAX_ROWS), "_id")
+    """The rows of docs, each repeated by its own copies (those with none go); equal rows share their copies."""
+    rows = common.row_ties(docs)
+    own = mix(rows.select("_row.doc_id", "_row.source", "_row.text", "_id", "_tie"), weights, cap, ["_id", "_tie"])
+    share = own.groupBy("_id", "_tie").agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_n")).filter("_copies > 0")
+    share = common.written(share, "mix-copies")
+    full = rows.join(common.smaller(share.filter("_n = 1").drop("_n"), MAX_ROWS), ["_id", "_tie"]).select("_row", "_copies")
+    if not (repeated := share.filter("_n > 1").drop("_n")).isEmpty():
+        again = rows.join(common.smaller(repeated, MAX_ROWS), ["_id", "_tie"]).groupBy("_id", "_tie").agg(F.first("_row").alias("_row"), F.first("_copies").alias("_copies"))
+        full = full.unionByName(again.select("_row", "_copies"))
     return full.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 

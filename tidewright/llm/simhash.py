@@ -133,7 +133,7 @@ def grouped(prints: DataFrame, bits: int) -> DataFrame:
 
 def one_of_each(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
     """One row of docs of each component: the one of least id, and among those of least hash of the row's columns."""
-    rows = row_ties(docs).select(F.col("_id").alias("doc_id"), "_tie", F.col("_row.text").alias("text"))
+    rows = common.row_ties(docs).select(F.col("_id").alias("doc_id"), "_tie", F.col("_row.text").alias("text"))
     prints = common.written(fingerprints(rows, shingle, "_tie").select(F.col("doc_id").alias("_id"), "_tie", "fp"), "simhash-prints")
     return first_rows(docs, prints.join(grouped(prints, bits), "fp").select("_id", "_tie", "component"))
 
@@ -165,18 +165,12 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
-def row_ties(docs: DataFrame) -> DataFrame:
-    """docs with _id and _tie (a hash of the row's columns): rows that agree in both are repeats of one row."""
-    hashed = [F.xxhash64(F.col(f"`{f.name}`")) for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), common.id_key().alias("_id"), F.xxhash64(*hashed).alias("_tie"))
-
-
 def first_rows(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Of each component of members (_id, _tie, component; a row per row of docs) one row: the least by _id and _tie."""
     counted = members.groupBy("component", "_id", "_tie").agg(F.count(F.lit(1)).alias("_n"))
     least = counted.groupBy("component").agg(F.min(F.struct("_id", "_tie", "_n")).alias("x")).select("x.*")
     least = common.written(least, "simhash-kept")
-    rows, none = row_ties(docs), least.filter("_n > 1").isEmpty()
+    rows, none = common.row_ties(docs), least.filter("_n > 1").isEmpty()
     out = rows.join(common.smaller(least.filter("_n = 1"), MAX_ROWS), ["_id", "_tie"], "left_semi").select("_row")
     if not none:  # rows repeated as a whole
         again = rows.join(common.smaller(least.filter("_n > 1"), MAX_ROWS), ["_id", "_tie"], "left_semi")
@@ -231,7 +225,7 @@ def one_of_alike(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> D
             keys = np.array([bands(x[0]) for x in found]).reshape(len(found), BANDS)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([x[1] for x in found], pa.uint64()).view(pa.int64()), pa.array(list(keys.view("i8")), pa.list_(pa.int64()))], ["_id", "_tie", "node", "bands"])
 
-    rows = row_ties(common.ready(docs)).select("_id", "_tie", F.col("_row.text").cast("string").cast("binary").alias("text"))
+    rows = common.row_ties(common.ready(docs)).select("_id", "_tie", F.col("_row.text").cast("string").cast("binary").alias("text"))
     prints = common.written(rows.mapInArrow(work, "_id long, _tie long, node long, bands array<long>"), "alike-prints")
     named = components(alike_links(docs, prints, shingle, threshold)).groupBy("node").agg(F.min("component").alias("component"))
     members = prints.select("node", "_id", "_tie").join(named, "node", "left").select("_id", "_tie", F.coalesce("component", "node").alias("component"))
