@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,16 +15,19 @@ from pyspark.sql import functions as F
 from . import common
 
 #: At most so many words have a relative frequency of one in as many; their exact counts are broadcast.
-FREQUENT = 200_000
+FREQUENT = 2_000_000
 #: Text bytes for each of the filter's blocks of n-grams.
 BLOCK_BYTES = 8 << 20
-#: Bytes of the filter broadcast at once; a larger one is scored in as many passes as it takes.
-MAX_FILTER = 192 << 20
-#: Hash functions, and bits for each of the filter's entries: some 2.4 % false positives a level.
-PROBES, BITS = 4, 8
+#: Bytes of the filter that are broadcast; a larger one stays in its blocks, and the n-grams are sent to them.
+MAX_FILTER = 256 << 20
+#: Bits set for an entry, all in one 64-bit word, and bits for each of the filter's entries: some 2 % false positives a level.
+PROBES, BITS = 4, 10
+#: Counts that a word's share in all tokens (then the pair model's probability) weighs in the pair (triple) model.
+PRIOR, TRIPLE_PRIOR = 300.0, 10.0
 #: Stands for a text's end, and for what comes before its first word. No word has this hash: no word is empty.
 END = np.uint64(xxhash.xxh64_intdigest(b""))
 ODD = np.uint64(0x9E3779B97F4A7C15)
+WORDS, PAIRS, TRIPLES = range(3)
 
 
 def stir(x: np.ndarray) -> np.ndarray:
@@ -38,12 +42,18 @@ def tokens(texts, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, "u8"), *own]), np.array([len(x) for x in own], "i8")
 
 
-def pairs(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token the word before it (the end, for a first one), and the hash of the two."""
-    before = np.empty_like(words)
+def grams(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token the hash of it and the one before (the end, for a first one), that of it and the two before,
+    and whether it is a text's first, which has no triple."""
+    before, pairs = np.empty_like(words), np.empty_like(words)
+    first = np.zeros(len(words), bool)
     if len(words):
+        first[np.cumsum(lengths) - lengths] = True
         before[1:], before[0] = words[:-1], END  # each text ends with END, so a first word has END before it
-    return before, stir(stir(before) * ODD + words)
+        both = stir(stir(before) * ODD + words)
+        pairs[1:], pairs[0] = both[:-1], END
+        return both, stir(stir(pairs) * ODD + words), first
+    return before, pairs, first
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -51,45 +61,61 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype("f8"))[1]
 
 
-def slots(keys: np.ndarray, q: int, bits: np.ndarray):
-    """The bits of an entry (key, level q) in a block of `bits` bits, one array for each hash function."""
-    a = stir(keys + np.uint64(q) * ODD)
-    b = stir(a) | np.uint64(1)
-    for k in range(PROBES):
-        yield (a + np.uint64(k) * b) % bits
+def least(q: np.ndarray) -> np.ndarray:
+    """The smallest count of a level."""
+    return np.where(q > 0, 1 << np.maximum(q - 1, 0).astype("i8"), 0)
+
+
+def most(q: np.ndarray) -> np.ndarray:
+    """The largest count of a level."""
+    return (1 << q.astype("i8")) - 1
+
+
+def entry(keys: np.ndarray, q: int, size: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where an n-gram of level q is entered: the word of `size` words, and the places of its bits there."""
+    a = stir(keys + np.uint64(q * int(ODD) & (1 << 64) - 1))
+    return (a >> np.uint64(32)) * size >> np.uint64(32), [(a >> np.uint64(6 * k)) & np.uint64(63) for k in range(PROBES)]
 
 
 def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) * np.uint64(blocks) >> np.uint64(24)).astype("i8")
 
 
+def runs(keys: np.ndarray, blocks: int) -> list[tuple[int, slice]]:
+    """The blocks of ascending keys, with the run of each."""
+    at = np.searchsorted(block_of(keys, blocks), np.arange(blocks + 1))
+    return [(int(b), slice(at[b], at[b + 1])) for b in np.flatnonzero(np.diff(at))]
+
+
 class Filter:
     """Blocks of a log-frequency Bloom filter, side by side: an n-gram of level q is entered at levels 1 to q."""
 
-    def __init__(self, blocks: int, parts: dict[int, bytes]):
-        self.blocks = blocks
-        size = np.zeros(blocks, "i8")
-        for k, part in parts.items():
-            size[k] = len(part)
-        self.base = np.concatenate([[0], np.cumsum(size)[:-1]]).astype("u8") * np.uint64(8)
-        self.bits = np.maximum(size, 1).astype("u8") * np.uint64(8)
-        self.here = size > 0
-        self.data = np.frombuffer(b"".join(parts[k] for k in sorted(parts)) or b"\0", "u1")
+    def __init__(self, blocks: int, parts):
+        """parts: (block, its bytes), each block once at most."""
+        self.blocks, own = blocks, []
+        self.size, self.base = np.zeros(blocks, "u8"), np.zeros(blocks, "u8")
+        used = 0
+        for k, part in parts:
+            own.append(np.frombuffer(part, "<u8"))
+            self.size[k], self.base[k] = len(own[-1]), used
+            used += len(own[-1])
+        self.data = np.concatenate([np.zeros(0, "u8"), *own])
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Each key's level by probing 1, 2, ... until one is absent: 0 if its block is not here or lacks it."""
+        """Each key's level by probing 1, 2, ... until one is absent: 0 if the first is."""
         out = np.zeros(len(keys), "i4")
-        block = block_of(keys, self.blocks)
-        alive = np.flatnonzero(self.here[block])
-        q = 0
+        block = np.zeros(len(keys), "i8") if self.blocks == 1 else block_of(keys, self.blocks)
+        size, base = self.size[block], self.base[block]
+        alive = np.flatnonzero(size > 0)
+        keys, size, base, q = keys[alive], size[alive], base[alive], 0
         while len(alive):
             q += 1
-            bits, base = self.bits[block[alive]], self.base[block[alive]]
-            hit = np.ones(len(alive), bool)
-            for slot in slots(keys[alive], q, bits):
-                at = base + slot
-                hit &= self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype("u1") & 1 > 0
-            alive = alive[hit]
+            word, bits = entry(keys, q, size)
+            mask = np.zeros(len(keys), "u8")
+            for b in bits:
+                mask |= np.uint64(1) << b
+            hit = np.flatnonzero(self.data[base + word] & mask == mask)
+            alive, keys, size, base = alive[hit], keys[hit], size[hit], base[hit]
             out[alive] = q
         return out
 
@@ -97,19 +123,20 @@ class Filter:
 def built(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """A filter block of these n-grams."""
     q = level(counts)
-    size = max(1, -(-int(q.sum()) * BITS // 8))
-    data = np.zeros(size * 8, bool)
+    size = max(1, -(-int(q.sum()) * BITS // 64))
+    data = np.zeros(size * 64, bool)
     for k in range(1, int(q.max(initial=0)) + 1):
-        for slot in slots(keys[q >= k], k, np.uint64(size * 8)):
-            data[slot] = True
+        word, bits = entry(keys[q >= k], k, np.uint64(size))
+        for b in bits:
+            data[word * np.uint64(64) + b] = True
     return np.packbits(data, bitorder="little").tobytes()
 
 
-def learned(train: DataFrame, min_pair: int) -> tuple[DataFrame, int]:
-    """The filter's blocks (kind 0: words, 1: pairs; block; bits; and words' hashes and counts), and their number.
+def learned(train: DataFrame) -> tuple[DataFrame, int]:
+    """The filter's blocks (kind; block; bits; and words' hashes and counts), and how many there are of a kind.
 
-    Each portion of texts counts its n-grams first and sends one packed row a block, so a frequent n-gram costs a
-    few bytes a portion. Pairs keep every word's hash bits that matter to the filter.
+    Every n-gram seen is entered. Each portion of texts counts its n-grams first and sends one packed row a block,
+    so a frequent n-gram costs a few bytes a portion.
     """
     size = train.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, min(1 << 20, -(-size // BLOCK_BYTES)))
@@ -117,20 +144,21 @@ def learned(train: DataFrame, min_pair: int) -> tuple[DataFrame, int]:
     def count(batches):
         for batch in common.portions(batches, "text", 12 << 20):
             words, lengths = tokens(batch.column(0))
-            _, both = pairs(words, lengths)
-            for kind, keys in ((0, words), (1, both)):
-                keys, n = np.unique(keys, return_counts=True)  # ascending, so a block's keys are a run
-                at = np.searchsorted(block_of(keys, blocks), np.arange(blocks + 1))
-                some = np.flatnonzero(np.diff(at))
+            both, three, first = grams(words, lengths)
+            three = three[~first]
+            for kind, keys in ((WORDS, words), (PAIRS, both), (TRIPLES, three)):
+                keys, n = np.unique(keys, return_counts=True)
+                some = runs(keys, blocks)
                 packed, counts = [], []
-                for b in some:
-                    own, times = keys[at[b] : at[b + 1]], n[at[b] : at[b + 1]]
+                for _, run in some:
+                    own, times = keys[run], n[run]
                     more = np.argsort(times == 1, kind="stable")  # those found more than once come first
                     packed.append(own[more].tobytes())
                     counts.append(times[times > 1].astype("<u4").tobytes())
+                at = np.array([b for b, _ in some], "i8")
                 for k in range(0, len(some), 64):
                     part = slice(k, k + 64)
-                    yield pa.record_batch([pa.array(np.full(len(some[part]), kind, "i4")), pa.array(some[part]), pa.array(packed[part], pa.binary()), pa.array(counts[part], pa.binary())], ["kind", "block", "keys", "counts"])
+                    yield pa.record_batch([pa.array(np.full(len(at[part]), kind, "i4")), pa.array(at[part]), pa.array(packed[part], pa.binary()), pa.array(counts[part], pa.binary())], ["kind", "block", "keys", "counts"])
 
     def build(table):
         kind, block = table.column("kind")[0].as_py(), table.column("block")[0].as_py()
@@ -141,9 +169,8 @@ def learned(train: DataFrame, min_pair: int) -> tuple[DataFrame, int]:
             counts.append(np.concatenate([more, np.ones(len(own) - len(more), "<u4")]).astype("i8"))
         keys, of = np.unique(np.concatenate(keys), return_inverse=True)
         counts = np.bincount(of, np.concatenate(counts)).astype("i8")
-        kept = counts >= (min_pair if kind else 1)
-        bits = built(keys[kept], counts[kept])
-        return pa.table({"kind": pa.array([kind], pa.int32()), "block": pa.array([block], pa.int64()), "bits": pa.array([bits], pa.binary()), "keys": pa.array([b"" if kind else keys.tobytes()], pa.binary()), "counts": pa.array([b"" if kind else counts.tobytes()], pa.binary())})
+        exact = [b"", b""] if kind else [keys.tobytes(), counts.tobytes()]
+        return pa.table({"kind": pa.array([kind], pa.int32()), "block": pa.array([block], pa.int64()), "bits": pa.array([built(keys, counts)], pa.binary()), "keys": pa.array(exact[:1], pa.binary()), "counts": pa.array(exact[1:], pa.binary())})
 
     packed = train.select("text").mapInArrow(count, "kind int, block long, keys binary, counts binary")
     made = packed.groupBy("kind", "block").applyInArrow(build, "kind int, block long, bits binary, keys binary, counts binary")
@@ -158,117 +185,166 @@ def vocabulary(blocks: DataFrame) -> DataFrame:
             for keys, counts in zip(batch.column(0), batch.column(1), strict=True):
                 yield pa.record_batch([pa.array(np.frombuffer(keys.as_py(), "<i8")), pa.array(np.frombuffer(counts.as_py(), "<i8"))], ["word", "c"])
 
-    return blocks.filter("kind = 0").select("keys", "counts").mapInArrow(unpack, "word long, c long")
+    return blocks.filter(F.col("kind") == WORDS).select("keys", "counts").mapInArrow(unpack, "word long, c long")
+
 
+@dataclass(frozen=True)
+class Smoothing:
+    """log10 of the probability of each token, from levels that `look(kind, keys)` finds."""
 
-def scored(docs: DataFrame, modulus: int = 7, held: int = 2, prior: float = 300.0, min_pair: int = 1, max_filter: int = MAX_FILTER, frequent: int = FREQUENT) -> DataFrame:
+    denominator: int
+    often: np.ndarray  # frequent words, ascending, and their exact counts
+    counts: np.ndarray
+    prior: float
+    triple_prior: float
+
+    def exact(self, words: np.ndarray) -> np.ndarray:
+        """Counts of frequent words; -1 for others."""
+        if not len(self.often):
+            return np.full(len(words), -1, "i8")
+        at = np.minimum(np.searchsorted(self.often, words), len(self.often) - 1)
+        return np.where(self.often[at] == words, self.counts[at], -1)
+
+    def logs(self, words: np.ndarray, lengths: np.ndarray, look) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 P of each token, exact counts of the frequent ones)."""
+        c = self.exact(words)
+        low, high = c.copy(), c.copy()
+        rare = np.flatnonzero(c < 0)
+        q = look(WORDS, words[rare])
+        low[rare], high[rare] = least(q), most(q)
+        both, three, first = grams(words, lengths)
+        context = np.empty_like(high)
+        context[1:], context[:1] = high[:-1], high[-1:]  # the last token is an end too
+        q = np.zeros(len(words), "i4")
+        seen = np.flatnonzero((low > 0) & (context > 0))
+        q[seen] = look(PAIRS, both[seen])
+        n = np.minimum(least(q), np.minimum(low, context))  # a pair is no more frequent than its words
+        p = (n + self.prior * (low + 1) / self.denominator) / (context + self.prior)
+        wide = np.zeros_like(context)
+        wide[1:] = np.minimum(most(q), np.minimum(high, context))[:-1]
+        wide[first] = 0
+        triples = np.zeros_like(n)
+        seen = np.flatnonzero((n > 0) & (wide > 0))
+        triples[seen] = np.minimum(least(look(TRIPLES, three[seen])), np.minimum(n[seen], wide[seen]))
+        p = np.where(first, p, (triples + self.triple_prior * p) / (wide + self.triple_prior))
+        return np.log10(p), c
+
+
+SCORES = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>, times array<long>"
+
+
+def sums(row: int, ids: pa.Array, held: pa.Array, words: np.ndarray, lengths: np.ndarray, model: Smoothing, look) -> pa.RecordBatch:
+    """A row per text, in the columns of SCORES: what its frequent words add to the base score, and its rare words."""
+    p, c = model.logs(words, lengths, look)
+    known, at = c >= 0, np.cumsum(lengths) - lengths
+    add = lambda x: np.add.reduceat(x, at) if len(at) else np.zeros(0, x.dtype)
+    of, rare = np.repeat(np.arange(len(lengths)), lengths)[~known], words[~known]
+    order = np.lexsort((rare, of))
+    of, rare = of[order], rare[order]
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(of)), bool), (of[1:] != of[:-1]) | (rare[1:] != rare[:-1])]))
+    times, ends = np.diff(np.append(new, len(of))), np.searchsorted(of[new], np.arange(len(lengths) + 1)).astype("i4")
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (rare[new].view("i8"), times.astype("i8"))]
+    cols = [pa.array(row + np.arange(len(lengths))), ids, held, pa.array(lengths), pa.array(add(known.astype("i8"))), pa.array(add(np.where(known, np.log10(np.maximum(c, 0) + 1), 0.0))), pa.array(add(p)), *lists]
+    return pa.record_batch(cols, ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare", "times"])
+
+
+def scored_by_broadcast(rows: DataFrame, blocks: DataFrame, n_blocks: int, model) -> DataFrame:
+    """The columns of SCORES; workers hold the whole filter, of MAX_FILTER bytes at most."""
+    parts = lambda kind: ((r["block"], r["bits"]) for r in blocks.filter(F.col("kind") == kind).select("block", "bits").toLocalIterator())
+    known = rows.sparkSession.sparkContext.broadcast([Filter(n_blocks, parts(kind)) for kind in (WORDS, PAIRS, TRIPLES)])
+
+    def work(batches):
+        row, look = TaskContext.get().partitionId() << 40, lambda kind, keys: known.value[kind].levels(keys)
+        for batch in common.portions(batches, "text", 3 << 20):
+            words, lengths = tokens(batch.column("text"))
+            yield sums(row, batch.column("doc_id"), batch.column("held_out"), words, lengths, model.value, look)
+            row += len(lengths)
+
+    return rows.mapInArrow(work, SCORES)
+
+
+def asked(words: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """By kind, the distinct n-grams whose levels a portion needs."""
+    both, three, first = grams(words, lengths)
+    return [np.unique(words), np.unique(both), np.unique(three[~first])]
+
+
+def scored_by_shuffle(rows: DataFrame, blocks: DataFrame, n_blocks: int, model) -> DataFrame:
+    """The columns of SCORES; each portion of texts sends its n-grams to the filter's blocks and gets their levels back."""
+
+    def cut(batches):
+        part = TaskContext.get().partitionId() << 30
+        for batch in common.portions(batches, "text", 6 << 20):
+            words, lengths = tokens(batch.column("text"))
+            yield pa.record_batch([pa.array([part]), *(pa.array([batch.column(c).to_pylist()], pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()))), *(pa.array([x.tobytes()], pa.binary()) for x in (words, lengths))], ["part", "ids", "held", "words", "lengths"])
+            part += 1
+
+    portions = common.written(rows.mapInArrow(cut, "part long, ids array<long>, held array<boolean>, words binary, lengths binary"), "lm-portions")
+    unpacked = lambda batch, k: (np.frombuffer(batch.column("words")[k].as_py(), "u8"), np.frombuffer(batch.column("lengths")[k].as_py(), "i8"))
+
+    def ask(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                for kind, keys in enumerate(asked(*unpacked(batch, k))):
+                    for b, run in runs(keys, n_blocks):
+                        yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([b]), batch.column("part").slice(k, 1), pa.array([keys[run].tobytes()], pa.binary())], ["kind", "block", "part", "keys"])
+
+    def answer(asks, own):
+        if not asks.num_rows:
+            return pa.table({"part": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "levels": pa.array([], pa.binary())})
+        block = Filter(1, [(0, b.as_py()) for b in own.column("bits")])
+        levels = [block.levels(np.frombuffer(k.as_py(), "<u8")).astype("u1").tobytes() for k in asks.column("keys")]
+        return pa.table({"part": asks.column("part"), "kind": asks.column("kind"), "block": asks.column("block"), "levels": pa.array(levels, pa.binary())})
+
+    asks = portions.select("part", "words", "lengths").mapInArrow(ask, "kind int, block long, part long, keys binary").groupBy("kind", "block")
+    answers = asks.cogroup(blocks.select("kind", "block", "bits").groupBy("kind", "block")).applyInArrow(answer, "part long, kind int, block long, levels binary")
+    found = answers.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("kind", "block", "levels"))).alias("found"))
+
+    def work(batches):
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for k in range(batch.num_rows):
+                words, lengths = unpacked(batch, k)
+                levels = {kind: [] for kind in (WORDS, PAIRS, TRIPLES)}
+                for x in batch.column("found")[k]:
+                    levels[x["kind"].as_py()].append(np.frombuffer(x["levels"].as_py(), "u1"))
+                levels = {kind: np.concatenate([np.zeros(0, "u1"), *x]).astype("i4") for kind, x in levels.items()}
+                keys = asked(words, lengths)
+                look = lambda kind, some: levels[kind][np.searchsorted(keys[kind], some)]  # noqa: B023, E731
+                yield sums(row, *(pa.array(batch.column(c)[k].as_py(), t) for c, t in (("ids", pa.int64()), ("held", pa.bool_()))), words, lengths, model.value, look)
+                row += len(lengths)
+
+    return portions.join(found, "part").mapInArrow(work, SCORES)
+
+
+def scored(docs: DataFrame, modulus: int = 7, held: int = 2, prior: float = PRIOR, triple_prior: float = TRIPLE_PRIOR, max_filter: int = MAX_FILTER, frequent: int = FREQUENT) -> DataFrame:
     """A row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Training documents are those whose crc32(doc_id as text) mod modulus is not held (a null id trains). score sums
-    log10 P(w | v) = (n(v, w) + prior * P(w)) / (n(v) + prior) over each text's words and its end, with
-    P(w) = (n(w) + 1) / (N + V + 1): n are counts as the filter has them (the lower end of their level; a context's
-    is the upper end, so the sum over words stays at most 1), exact for frequent words. Pairs seen fewer than
-    min_pair times are not entered (by default all are). base_score takes exact counts: frequent words from the broadcast table, whose
-    length is bounded by `frequent`, others by a join.
-    Null texts are empty, with the end as their token; an empty training set gives the uniform model over the
-    unknown. Repeated rows are scored each; other columns are ignored.
+    log10 P(w | u v) over each text's words and its end, where
+      P(w | u v) = (n(u, v, w) + triple_prior * P(w | v)) / (n(u, v) + triple_prior); P(w | v) for a first word,
+      P(w | v) = (n(v, w) + prior * P(w)) / (n(v) + prior), and P(w) = (n(w) + 1) / (N + V + 1).
+    n are counts as the filter has them (the lower end of their level; a context's is the upper end, so sums over
+    words stay at most 1), exact for frequent words. Every n-gram of the training texts is entered. The priors do best
+    of those tried on held-out texts. base_score takes exact counts: frequent words from the broadcast table, whose
+    length is bounded by `frequent`, others by a join. A filter beyond max_filter bytes is not broadcast; results are
+    the same. Null texts are empty, with the end as their token; an empty training set gives the uniform model over
+    the unknown. Repeated rows are scored each; other columns are ignored; an empty table gives no row.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = common.ready(docs).select("doc_id", common.id_key().alias("_id"), F.coalesce(common.id_remainder(modulus) == held, F.lit(False)).alias("held_out"), F.crc32(text).alias("_sig"), text.cast("binary").alias("text"))
-    blocks, n_blocks = learned(rows.filter(~F.col("held_out")), min_pair)
+    rows = common.ready(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(common.id_remainder(modulus) == held, F.lit(False)).alias("held_out"), text.cast("binary").alias("text"))
+    blocks, n_blocks = learned(rows.filter(~F.col("held_out")))
     vocab = common.written(vocabulary(blocks), "lm-vocabulary")
     total, distinct = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     denominator = total + distinct + 1
     often = vocab.filter(F.col("c") * frequent >= total).select("word", "c").toArrow()  # no more than `frequent` words
     often_words = often.column("word").to_numpy().astype("i8").view("u8")
     order = np.argsort(often_words)
-    table = spark.sparkContext.broadcast((often_words[order], often.column("c").to_numpy().astype("i8")[order]))
-
-    def parts_of(kind: int, only: list[int] | None) -> Filter:
-        chosen = blocks.filter(F.col("kind") == kind).select("block", "bits")
-        chosen = chosen if only is None else chosen.filter(F.col("block").isin(only))
-        return Filter(n_blocks, {r["block"]: bytes(r["bits"]) for r in chosen.toLocalIterator()})
-
-    sizes = blocks.select("kind", "block", F.length("bits").alias("size")).orderBy("kind", "block").collect()  # a row a block
-    if sum(r["size"] for r in sizes if r["kind"] == 0) > max_filter:
-        raise ValueError("the words alone exceed max_filter")
-    groups: list[list[int]] = [[]]
-    room = max_filter
-    for r in (r for r in sizes if r["kind"] == 1):
-        if groups[-1] and r["size"] > room:
-            groups.append([])
-            room = max_filter
-        groups[-1].append(r["block"])
-        room -= r["size"]
-    singles = spark.sparkContext.broadcast(parts_of(0, None))
-
-    def model(double, group: list[int], whole: bool):
-        """For a batch: per text the sum of log10 P over the tokens whose pair's block is in the group."""
-        mine = np.zeros(n_blocks, bool)
-        mine[group] = True
-
-        def sums(words, lengths, c):
-            known = c >= 0
-            q = singles.value.levels(np.where(known, END, words))
-            low = np.where(known, c, np.where(q > 0, 1 << np.maximum(q - 1, 0), 0))
-            high = np.where(known, c, (1 << q) - 1)
-            before, both = pairs(words, lengths)
-            context = np.empty_like(high)
-            end = np.searchsorted(table.value[0], END)
-            ends = table.value[1][end] if end < len(table.value[0]) and table.value[0][end] == END else (1 << int(singles.value.levels(np.array([END]))[0])) - 1
-            context[1:], context[:1] = high[:-1], ends
-            context[before == END] = ends
-            n = double.value.levels(both)
-            n = np.where(n > 0, 1 << np.maximum(n - 1, 0), 0)
-            n = np.minimum(n, np.minimum(low, context))  # a pair is no more frequent than its words
-            p = np.log10((n + prior * (low + 1) / denominator) / (context + prior))
-            return p if whole else np.where(mine[block_of(both, n_blocks)], p, 0.0)
-
-        return sums
-
-    def exact(words):
-        """Counts of frequent words; -1 for others."""
-        keys, counts = table.value
-        if not len(keys):
-            return np.full(len(words), -1, "i8")
-        at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
-        return np.where(keys[at] == words, counts[at], -1)
-
-    def first_pass(sums):
-        def work(batches):
-            number = TaskContext.get().partitionId() << 40
-            for batch in common.portions(batches, "text", 3 << 20):
-                words, lengths = tokens(batch.column("text"))
-                c = exact(words)
-                p, known = sums(words, lengths, c), c >= 0
-                at = np.cumsum(lengths) - lengths
-                add = lambda x: np.add.reduceat(x, at) if len(at) else np.zeros(0)  # noqa: B023, E731
-                rare = [words[a : a + n][~known[a : a + n]] for a, n in zip(at, lengths, strict=True)]
-                values, times = zip(*(np.unique(r, return_counts=True) for r in rare), strict=True) if rare else ((), ())
-                yield pa.record_batch([
-                    pa.array(number + np.arange(len(lengths))), *(batch.column(x) for x in ("doc_id", "_id", "_sig", "held_out")),
-                    pa.array(lengths), pa.array(add(known.astype("i8"))), pa.array(add(np.where(known, np.log10(np.maximum(c, 0) + 1), 0.0))), pa.array(add(p)),
-                    pa.array([v.view("i8") for v in values], pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64())),
-                ], ["row", "doc_id", "_id", "_sig", "held_out", "n_tokens", "known", "logs", "score", "rare", "times"])
-                number += len(lengths)
-
-        return work
-
-    double = spark.sparkContext.broadcast(parts_of(1, groups[0]))
-    schema = "row long, doc_id long, _id long, _sig long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>, times array<long>"
-    done = common.written(rows.select(F.col("doc_id").cast("long"), "_id", "_sig", "held_out", "text").mapInArrow(first_pass(model(double, groups[0], len(groups) == 1)), schema), "lm-scores")
-    for group in groups[1:]:
-        double = spark.sparkContext.broadcast(parts_of(1, group))
-
-        def later(batches, sums=model(double, group, False)):
-            for batch in common.portions(batches, "text", 3 << 20):
-                words, lengths = tokens(batch.column("text"))
-                p, at = sums(words, lengths, exact(words)), np.cumsum(lengths) - lengths
-                yield pa.record_batch([batch.column("_id"), batch.column("_sig"), pa.array(np.add.reduceat(p, at) if len(at) else np.zeros(0))], ["_id", "_sig", "more"])
-
-        more = rows.select("_id", "_sig", "text").mapInArrow(later, "_id long, _sig long, more double").groupBy("_id", "_sig").agg(F.max("more").alias("more"))
-        done = common.written(done.join(more, ["_id", "_sig"]).withColumn("score", F.col("score") + F.col("more")).drop("more"), "lm-scores")
+    model = spark.sparkContext.broadcast(Smoothing(denominator, often_words[order], often.column("c").to_numpy().astype("i8")[order], prior, triple_prior))
+    size = blocks.agg(F.sum(F.length("bits"))).first()[0] or 0
+    score = scored_by_broadcast if size <= max_filter else scored_by_shuffle
+    done = common.written(score(rows, blocks, n_blocks, model), "lm-scores")
 
     tail = done.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     tail = tail.join(vocab.filter(F.col("c") * frequent < total), "word")  # words without a count add log10(1)
