@@ -28,6 +28,10 @@ PRIOR, TRIPLE_PRIOR = 300.0, 10.0
 END = np.uint64(xxhash.xxh64_intdigest(b""))
 ODD = np.uint64(0x9E3779B97F4A7C15)
 WORDS, PAIRS, TRIPLES = range(3)
+#: Bytes that tell the n-grams of a block apart; the bits above choose the block, so blocks of a bounded size keep
+#: about one pair in a million n-grams from being told apart, whatever the corpus.
+KEY_BYTES = 5
+LOW = np.uint64((1 << 8 * KEY_BYTES) - 1)
 
 
 def stir(x: np.ndarray) -> np.ndarray:
@@ -73,10 +77,20 @@ def most(q: np.ndarray) -> np.ndarray:
 
 def entry(keys: np.ndarray, q: int, size: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Where an n-gram of level q is entered: the word of `size` words, and the places of its bits there."""
-    a = stir(keys + np.uint64(q * int(ODD) & (1 << 64) - 1))
+    a = stir((keys & LOW) + np.uint64(q * int(ODD) & (1 << 64) - 1))
     return (a >> np.uint64(32)) * size >> np.uint64(32), [(a >> np.uint64(6 * k)) & np.uint64(63) for k in range(PROBES)]
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view("u1").reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), "u1")
+    out[:, :KEY_BYTES] = np.frombuffer(data, "u1").reshape(-1, KEY_BYTES)
+    return out.view("<u8").ravel()
+
+
 def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) * np.uint64(blocks) >> np.uint64(24)).astype("i8")
 
@@ -153,7 +167,7 @@ def learned(train: DataFrame) -> tuple[DataFrame, int]:
                 for _, run in some:
                     own, times = keys[run], n[run]
                     more = np.argsort(times == 1, kind="stable")  # those found more than once come first
-                    packed.append(own[more].tobytes())
+                    packed.append(packed_keys(own[more]) if kind else own[more].tobytes())
                     counts.append(times[times > 1].astype("<u4").tobytes())
                 at = np.array([b for b, _ in some], "i8")
                 for k in range(0, len(some), 64):
@@ -164,7 +178,7 @@ def learned(train: DataFrame) -> tuple[DataFrame, int]:
         kind, block = table.column("kind")[0].as_py(), table.column("block")[0].as_py()
         keys, counts = [], []
         for k, n in zip(table.column("keys"), table.column("counts"), strict=True):
-            own, more = np.frombuffer(k.as_py(), "<u8"), np.frombuffer(n.as_py(), "<u4")
+            own, more = unpacked_keys(k.as_py()) if kind else np.frombuffer(k.as_py(), "<u8"), np.frombuffer(n.as_py(), "<u4")
             keys.append(own)
             counts.append(np.concatenate([more, np.ones(len(own) - len(more), "<u4")]).astype("i8"))
         keys, of = np.unique(np.concatenate(keys), return_inverse=True)
