@@ -1,4 +1,4 @@
-"""A transport for offline use: canned answers by the field q."""
+"""A transport for the tests: canned answers by the field q."""
 
 from __future__ import annotations
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +12,10 @@ from pyspark.sql import functions as F
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
+#: Fixed value: the white space that lines and fields are trimmed of.
+WHITE = " \t\n\x0b\x0c\r"
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -39,13 +46,23 @@ def falsy_coalesce(first: Column | str, second: Column | str) -> Column:
 def key_value(c: Column | str) -> tuple[Column, Column, Column]:
     """(whether a line holds one, key, value) of `key = value` lines: split at the first =, trimmed; # starts a comment."""
     line = col(c)
-    at = F.instr(line, "=")
-    return (at > 0) & ~F.startswith(F.trim(line), F.lit("#")), F.trim(F.split_part(line, F.lit("="), F.lit(1))), F.trim(F.substring(line, at + 1, F.length(line)))
+    at, bare = F.instr(line, "="), lambda x: F.btrim(x, F.lit(WHITE))
+    return (at > 0) & ~F.startswith(bare(line), F.lit("#")), bare(F.split_part(line, F.lit("="), F.lit(1))), bare(F.substring(line, at + 1, F.length(line)))
 
 
 def contains_any_case(c: Column | str, part: str) -> Column:
     return F.coalesce(F.lower(col(c)).contains(part.lower()), F.lit(False))
 
 
+def holds_none(c: Column | str, parts: Iterable[str]) -> Column:
+    """Whether a text has none of the parts in it."""
+    return reduce(lambda a, b: a & b, [~col(c).contains(p) for p in parts], F.lit(True))
+
+
+def json_value(c: Column | str, name: str, kind: str) -> Column:
+    """A field of a JSON object; null if it is not there or is of another kind."""
+    return F.from_json(col(c), f"struct<`{name}`: {kind}>")[name]
+
+
 def stamp(now: Column | None = None) -> Column:
     return F.date_format(F.current_timestamp() if now is None else now, "yyyy-MM-dd HH:mm")

@@ -24,12 +24,16 @@ def request_days(planned: DataFrame) -> DataFrame:
     return months.select("y", "name", "out_file", "m", F.explode(F.sequence(F.lit(1), F.col("days"))).alias("d")).select("y", "name", two("m").alias("mm"), two("d").alias("dd"), "out_file")
 
 
+def expanded(df: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
+    """A row for each combination of the values of the arrays `dimensions` of a row."""
+    for d in dimensions:
+        df = df.withColumn(d, F.explode(d))
+    return df
+
+
 def combinations(constraints: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
     """The valid combinations: each record stands for the cross product of its arrays."""
-    out = constraints.select(*dimensions)
-    for d in dimensions:
-        out = out.withColumn(d, F.explode(d))
-    return out.distinct()
+    return expanded(constraints.select(*dimensions), dimensions).distinct()
 
 
 def remaining(planned: DataFrame, existing: DataFrame, key: str = "out_file") -> DataFrame:
@@ -55,5 +59,5 @@ def plan_requests(spark: SparkSession, constraints: DataFrame | None = None, exi
     valid = combinations(constraints.filter(F.array_contains("product_type", "consolidated")), ("year", "month", "day"))
     days = request_days(planned).withColumn("year", F.col("y").cast("string"))
     real = days.filter(F.try_to_date(F.concat_ws("-", "year", "mm", "dd")).isNotNull())
-    short = real.join(valid.select("year", F.col("month").alias("mm"), F.col("day").alias("dd")), ["year", "mm", "dd"], "left_anti").select("out_file").distinct().withColumn("_short", F.lit(True))
-    return planned.join(short, "out_file", "left").withColumn("product_type", F.when(F.col("_short"), F.lit("intermediate")).otherwise(F.lit("consolidated"))).drop("_short")
+    short = real.join(valid.select("year", F.col("month").alias("mm"), F.col("day").alias("dd")), ["year", "mm", "dd"], "left_anti").select("out_file").distinct()
+    return with_product(planned, remaining(planned, short), ["out_file"])

@@ -43,6 +43,12 @@ def mean_of_means(df: DataFrame, file: str, keys: list[str], date_col: str, valu
     return one.groupBy(*keys, MONTH).agg(F.avg("_mean").alias(out))
 
 
-def spatial_mean(cells: DataFrame, value: str, time: str = "time", by: list[str] = ()) -> DataFrame:
-    """Mean of a gridded value over its cells at each time, NaN skipped."""
-    return cells.groupBy(*by, time).agg(F.avg(F.nanvl(F.col(value), F.lit(None).cast("double"))).alias(value))
+def spatial_mean(cells: DataFrame, value: str, time: str = "time", by: list[str] = (), single: bool = False, decimals: int | None = None) -> DataFrame:
+    """Mean of a gridded value over its cells at each time, NaN skipped.
+
+    With single, the mean is held in single precision, as grids of that precision have it; with decimals, sums are of
+    exact decimals.
+    """
+    good = cells.select(*by, time, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias(value))
+    mean = _measure(value, "mean", decimals)
+    return good.groupBy(*by, time).agg((mean.cast("float").cast("double") if single else mean).alias(value))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.columns import contains_any_case, falsy_coalesce
 
 #: Kilometres in a degree, for planar distances.
 KM = 111
-#: More stations than this are not broadcast but found through grid cells.
-MAX_STATIONS = 10_000
 
 
 def planar_km(dlat: Column, dlon: Column) -> Column:
@@ -32,18 +34,55 @@ def box_join(stations: DataFrame, targets: DataFrame, at: tuple[str, str], to: t
 
 
 def best_target(stations: DataFrame, targets: DataFrame, station: str, at: tuple[str, str], to: tuple[str, str], preferred: Column, order: str, keep: list[str]) -> DataFrame:
-    """Per station the nearest of its preferred targets, or of all if it has no preferred one; ties by `order`.
+    """Per station the nearest of the preferred targets, or of all if none is preferred; ties by `order`.
 
-    Each task reduces its targets to one for each station before anything is shuffled. Stations are a short list,
-    whose length is checked before it is broadcast.
+    Both sides are dealt into square cells, and a station is compared with the targets of the nine cells around it.
+    What it finds there within a cell's width is the nearest; stations that find nothing so near go on with wider
+    cells. The first width is chosen so that a cell holds some targets. Rows with a null in a coordinate are left out.
     """
-    if stations.count() > MAX_STATIONS:
-        raise ValueError(f"more than {MAX_STATIONS} stations: narrow the targets with box_join first")
-    pairs = targets.withColumn("_preferred", preferred.cast("int")).crossJoin(F.broadcast(stations))
-    distance = planar_km(F.col(to[0]) - F.col(at[0]), F.col(to[1]) - F.col(at[1]))
-    rank = F.struct((-F.col("_preferred")).alias("p"), distance.alias("dist_km"), F.col(order).alias("o"), *[F.col(c).alias(f"k_{c}") for c in keep])
-    best = pairs.groupBy(station).agg(F.min(rank).alias("b"))
-    return best.select(station, *[F.col(f"b.k_{c}").alias(c) for c in keep], F.col("b.dist_km").alias("dist_km"))
+    spark = stations.sparkSession
+    places = stations.select(station, F.col(at[0]).cast("double").alias("_a"), F.col(at[1]).cast("double").alias("_b")).dropna()
+    offers = targets.filter(preferred)
+    offers = (targets if offers.isEmpty() else offers).select(F.col(to[0]).cast("double").alias("_x"), F.col(to[1]).cast("double").alias("_y"), F.col(order).alias("_o"), *[F.col(c).alias(f"k_{c}") for c in keep])
+    offers = offers.dropna(subset=["_x", "_y"])
+    bounds = [F.least(F.min("_x"), F.min("_a")), F.greatest(F.max("_x"), F.max("_a")), F.least(F.min("_y"), F.min("_b")), F.greatest(F.max("_y"), F.max("_b"))]
+    n, low, high, left, right = offers.unionByName(places.withColumn("_o", F.lit(None)), allowMissingColumns=True).agg(F.count("_x"), *bounds).first()
+    if not n or low is None:
+        return spark.createDataFrame([], StructType([stations.schema[station], *[targets.schema[c] for c in keep], StructField("dist_km", DoubleType())]))
+    extent = max(high - low, right - left, 1e-9) * (1 + 1e-9)
+    width = max(extent / max(1.0, math.sqrt(n) / 4), 1e-9)
+    found, final = [], False
+    while not final:
+        final = width >= extent  # then nothing lies outside the nine cells
+        cell = lambda c: F.floor(F.col(c) / width)  # noqa: B023, E731
+        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        near = places.withColumn("_n", around).withColumn("_i", cell("_a") + F.col("_n.i")).withColumn("_j", cell("_b") + F.col("_n.j"))
+        pairs = near.join(offers.withColumn("_i", cell("_x")).withColumn("_j", cell("_y")), ["_i", "_j"])
+        rank = F.struct(planar_km(F.col("_x") - F.col("_a"), F.col("_y") - F.col("_b")).alias("dist_km"), "_o", *[f"k_{c}" for c in keep])
+        best = pairs.groupBy(station).agg(F.min(rank).alias("b")).select(station, *[F.col(f"b.k_{c}").alias(c) for c in keep], F.col("b.dist_km").alias("dist_km"))
+        best = best if final else best.filter(F.col("dist_km") <= width * KM * (1 - 1e-9))
+        found.append(best)
+        if not final:
+            places = places.join(best, station, "left_anti")
+            width, final = width * 4, places.isEmpty()
+    return reduce(DataFrame.unionByName, found)
+
+
+def public(targets: DataFrame, access: str = "public") -> DataFrame:
+    """The targets with open water levels; a missing coordinate is 0, a missing or zero id is taken from `id`."""
+    about = [c for c in ("station", "input_pos") if c in targets.columns]
+    return targets.filter(F.col("data_access.water_level_altimetry") == access).select(
+        *about, falsy_coalesce("dahiti_id", "id").alias("dahiti_id"), F.coalesce("target_name", F.lit("")).alias("target_name"), "type",
+        F.coalesce("latitude", F.lit(0.0)).alias("latitude"), F.coalesce("longitude", F.lit(0.0)).alias("longitude"),
+    )
+
+
+def best_of_lists(stations: DataFrame, targets: DataFrame, prefer: str = "river") -> DataFrame:
+    """As select_best_target, where each target was listed for one station (column station)."""
+    pairs = public(targets).join(stations, "station")
+    distance = planar_km(F.col("latitude") - F.col("lat"), F.col("longitude") - F.col("lon"))
+    rank = F.struct((~contains_any_case("type", prefer)).alias("p"), distance.alias("dist_km"), "input_pos", "dahiti_id", "target_name")
+    return pairs.groupBy("station").agg(F.min(rank).alias("b")).select("station", "b.dahiti_id", "b.target_name", "b.dist_km")
 
 
 def select_best_target(stations: DataFrame, targets: DataFrame, prefer: str = "river", access: str = "public") -> DataFrame:
@@ -52,11 +91,7 @@ def select_best_target(stations: DataFrame, targets: DataFrame, prefer: str = "r
     stations: station, lat, lon; targets: input_pos, dahiti_id, id, target_name, type, latitude, longitude and
     data_access.water_level_altimetry; a missing coordinate is 0, a missing or zero id is taken from `id`.
     """
-    ready = targets.filter(F.col("data_access.water_level_altimetry") == access).select(
-        "input_pos", falsy_coalesce("dahiti_id", "id").alias("dahiti_id"), F.coalesce("target_name", F.lit("")).alias("target_name"), "type",
-        F.coalesce("latitude", F.lit(0.0)).alias("latitude"), F.coalesce("longitude", F.lit(0.0)).alias("longitude"),
-    )
-    return best_target(stations, ready, "station", ("lat", "lon"), ("latitude", "longitude"), contains_any_case("type", prefer), "input_pos", ["dahiti_id", "target_name"])
+    return best_target(stations, public(targets, access), "station", ("lat", "lon"), ("latitude", "longitude"), contains_any_case("type", prefer), "input_pos", ["dahiti_id", "target_name"])
 
 
 def with_fallback(stations: DataFrame, chosen: DataFrame, nearest: DataFrame) -> DataFrame:

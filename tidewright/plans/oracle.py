@@ -95,4 +95,17 @@ ORACLE_SQL = {
         "select page_id, trim(split_part(url, '=', 1)) as k, trim(substring(url, instr(url, '=') + 1)) as v from pages where instr(url, '=') > 0 and not "
         "starts_with(trim(url), '#')"
     ),
+    "valid_combinations": "select distinct label as l, cast(floor(x * 10) as int) as x from (select label, cast(unnest(embedding) as double) as x from embeddings)",
+    "spatial_mean_by_time": "select l_shipdate as time, cast(sum(cast(l_quantity as decimal(18,2))) as double) / count(l_quantity) as value from lineitem group by 1",
+    "first_and_last_date": "select cast(min(o_orderdate) as date) as first, cast(max(o_orderdate) as date) as last, count(*) as n from orders",
+    "table_shapes": (
+        "select 'nation' as name, (select count(*) from nation) as n_rows, cast(3 as int) as n_columns union all select 'region', (select count(*) from region), 2 "
+        "union all select 'supplier', (select count(*) from supplier), 4"
+    ),
+    "stacked_sources": "select c_name as name, c_acctbal as balance, c_mktsegment as segment from customer union all select s_name, s_acctbal, null from supplier",
+    "target_or_nearest": (
+        "with c as (select s_nationkey as k, min(s_suppkey) as id from supplier where s_acctbal < -900 group by 1), f as (select s_nationkey as k, min(s_suppkey) as id "
+        "from supplier where s_acctbal > 9000 group by 1) select n_name as station, cast(coalesce(c.id, f.id) as int) as dahiti_id, case when c.id is not null then "
+        "'chosen' else 'nearest' end as target_name from nation left join c on n_nationkey = c.k left join f on n_nationkey = f.k where coalesce(c.id, f.id) is not null"
+    ),
 }

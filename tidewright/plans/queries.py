@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import contains_any_case, falsy_coalesce, key_value, month_floor, month_number
+from ..functions.columns import contains_any_case, falsy_coalesce, holds_none, json_value, key_value, month_floor, month_number
 from ..operators import align, features, report, requests, rollup, targets
+from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -24,7 +25,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query
 def scan_project_rename(spark, folder):
-    return table(spark, folder, "customer").select(F.col("c_custkey").alias("station_id"), F.col("c_name").alias("station"), F.col("c_acctbal").alias("water_level_m"))
+    return files.renamed(table(spark, folder, "customer"), {"c_custkey": "station_id", "c_name": "station", "c_acctbal": "water_level_m"})
 
 
 @query
@@ -40,7 +41,7 @@ def month_floor_and_part(spark, folder):
 @query
 def exclude_by_substring(spark, folder):
     part = table(spark, folder, "part").select("p_partkey", "p_name")
-    return part.filter(~F.col("p_name").contains("small") & ~F.col("p_name").contains("ring"))
+    return part.filter(holds_none("p_name", ("small", "ring")))
 
 
 def by_flag(spark, folder):
@@ -180,15 +181,52 @@ def request_grid(spark, folder):
 
 @query
 def explode_cross_product(spark, folder):
-    return table(spark, folder, "embeddings").select("vec_id", "label", F.explode("embedding").alias("x"))
+    return requests.expanded(table(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding").alias("x")), ("x",))
 
 
 @query
 def json_field(spark, folder):
-    return table(spark, folder, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return table(spark, folder, "events").select("event_id", json_value("props", "k", "int").alias("k"))
 
 
 @query
 def key_value_split(spark, folder):
     holds, k, v = key_value("url")
     return table(spark, folder, "pages").filter(holds).select("page_id", k.alias("k"), v.alias("v"))
+
+
+@query
+def valid_combinations(spark, folder):
+    vectors = table(spark, folder, "embeddings").select(F.col("label").alias("l"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 10).cast("int")).alias("x"))
+    return requests.combinations(vectors.select(F.array("l").alias("l"), "x"), ("l", "x"))
+
+
+@query
+def spatial_mean_by_time(spark, folder):
+    cells = table(spark, folder, "lineitem").select(F.col("l_shipdate").alias("time"), F.col("l_quantity").alias("value"))
+    return rollup.spatial_mean(cells, "value", decimals=2)
+
+
+@query
+def first_and_last_date(spark, folder):
+    return report.date_range(table(spark, folder, "orders"), "o_orderdate")
+
+
+@query
+def table_shapes(spark, folder):
+    return report.shapes({name: table(spark, folder, name) for name in ("nation", "region", "supplier")})
+
+
+@query
+def stacked_sources(spark, folder):
+    customers = files.renamed(table(spark, folder, "customer"), {"c_name": "name", "c_acctbal": "balance", "c_mktsegment": "segment"})
+    return align.stack([customers, files.renamed(table(spark, folder, "supplier"), {"s_name": "name", "s_acctbal": "balance"})])
+
+
+@query
+def target_or_nearest(spark, folder):
+    stations = table(spark, folder, "nation").select(F.col("n_name").alias("station"))
+    cheap, near = (table(spark, folder, "supplier").filter(f).join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")) for f in ("s_acctbal < -900", "s_acctbal > 9000"))
+    chosen = cheap.groupBy(F.col("n_name").alias("station")).agg(F.min("s_suppkey").cast("int").alias("dahiti_id")).withColumn("target_name", F.lit("chosen"))
+    spare = near.groupBy(F.col("n_name").alias("station")).agg(F.min("s_suppkey").cast("int").alias("id")).select("station", F.lit(200).alias("code"), F.struct("id", F.lit("nearest").alias("target_name")).alias("data"))
+    return targets.with_fallback(stations, chosen, spare)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import rename_synonyms, resolve_date
-
-SYNONYMS = {"wse": "water_level_m", "water_level": "water_level_m", "wse_u": "water_level_err_m", "error": "water_level_err_m"}
+LEVEL, ERROR = ("wse", "water_level"), ("wse_u", "error")
+SYNONYMS = dict.fromkeys(LEVEL, "water_level_m") | dict.fromkeys(ERROR, "water_level_err_m")
 
 
 def targets(answers: DataFrame, schema: str) -> DataFrame:
@@ -31,21 +30,28 @@ def _fields(schema: str) -> str:
     return ", ".join(out)
 
 
-def water_levels(spark: SparkSession, answers: DataFrame, station: str, target: int) -> DataFrame:
-    """An answer's rows in the shipped form: station, dahiti_id, target_*, measures, date, by date.
+def nearest(answers: DataFrame) -> DataFrame:
+    """station, code and data (id, target_name) of the answers that name the nearest target; bad answers have nulls."""
+    parsed = F.from_json("answer", "struct<code: int, data: struct<id: int, target_name: string>>")
+    return answers.select(F.col("name").alias("station"), parsed["code"].alias("code"), parsed["data"].alias("data"))
+
+
+def water_levels(answers: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of all stations' answers in the shipped form (WATER_LEVEL), by station and date.
 
-    The names of the rows' fields are found in the answer itself: the date is the first that holds date or time.
+    answers: name (the station), answer; chosen: station, dahiti_id. A row's fields are found by their names: the date
+    is the first that holds date or time, else the first. A station without an answer, or whose answer is null, not
+    JSON or without rows, gives none.
     """
-    text = answers.filter(F.col("name") == station).select("answer")
-    first = text.first()  # one answer
-    found = spark.range(1).select(F.schema_of_json(F.lit(first["answer"]))).first()[0]
-    parsed = text.select(F.from_json("answer", found).alias("a"))
-    rows = parsed.select("a.*").select(*(["target"] if "target" in parsed.select("a.*").columns else []), F.explode("data").alias("d"))
-    about = rows.schema["target"].dataType.names if "target" in rows.columns and hasattr(rows.schema["target"].dataType, "names") else []
-    head = {"target_name": "target_name", "target_lat": "latitude", "target_lon": "longitude"}
-    lead = [F.lit(station).alias("station"), F.lit(target).alias("dahiti_id"), *[(F.coalesce(F.col(f"target.{n}").cast("string"), F.lit("")) if n in about else F.lit("")).alias(o) for o, n in head.items()]]
-    flat = rows.select(*lead, "d.*")
-    own = [c for c in flat.columns if c not in ("station", "dahiti_id", *head)]
-    date = resolve_date(own)
-    flat = rename_synonyms(flat.withColumn("_date", F.to_timestamp_ntz(date)).drop(date).withColumnRenamed("_date", "date"), SYNONYMS)
-    return flat.orderBy("date")
+    parsed = F.from_json("answer", "struct<data: array<map<string, string>>, target: map<string, string>>")
+    rows = answers.join(chosen.select("station", "dahiti_id"), answers["name"] == chosen["station"]).select("station", "dahiti_id", parsed.alias("a"))
+    rows = rows.select("station", "dahiti_id", F.col("a.target").alias("t"), F.explode("a.data").alias("d"))
+    names = F.map_keys("d")
+    date = F.coalesce(F.get(F.filter(names, lambda k: F.lower(k).contains("date") | F.lower(k).contains("time")), 0), F.get(names, 0))
+    first = lambda *fields: F.coalesce(*[F.try_element_at("d", F.lit(f)) for f in fields]).try_cast("double")
+    about = lambda f: F.coalesce(F.try_element_at("t", F.lit(f)), F.lit(""))
+    out = rows.select(
+        "station", "dahiti_id", about("target_name").alias("target_name"), about("latitude").alias("target_lat"), about("longitude").alias("target_lon"),
+        first(*LEVEL).alias("water_level_m"), first(*ERROR).alias("water_level_err_m"), F.try_element_at("d", date).try_cast("timestamp_ntz").alias("date"),
+    )
+    return out.orderBy("station", F.col("date").asc_nulls_last())
