@@ -23,13 +23,10 @@ def sets(text):
     w = words(text)
     spots = set()
     for i, x in enumerate(w):
-        if x in COMMON:
-            chain = [y for y in w[i + 1 : i + 9] if y not in COMMON][:2]
-            if chain:
-                spots.add((x, *chain))
-    if len(w) < 20 or len(spots) * 8 < len(w):
-        return {("", *w[i : i + 2]) for i in range(len(w))} or {()}
-    return spots
+        chain = [y for y in w[i + 1 : i + 9] if y not in COMMON][:2]
+        if chain and x in COMMON or x not in COMMON and not COMMON.intersection(w[max(0, i - 8) : i]):
+            spots.add((x, *chain))
+    return spots or {("", *w)}
 
 
 def jaccard(a, b):
@@ -63,6 +60,49 @@ def test_empty(none):
     assert spotsigs.edited_likeness(none).count() == 0
 
 
+def test_texts_that_share_two_thirds_are_alike(spark):
+    rows = spotsigs.edited_likeness(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("n_chars > 200")).collect()
+    assert len(rows) > 800 and min(r.near_edited for r in rows) > 0.1 and sum(r.near_edited > r.near_next for r in rows) > 0.95 * len(rows)
+
+
+@pytest.mark.parametrize("frequent", [1000, 20])
+def test_links_of_the_query(tiny, odd, frequent, monkeypatch):
+    monkeypatch.setattr(spotsigs, "FREQUENT", frequent)
+    for docs, every in ((tiny, 5), (odd, 2)):
+        rows = [(r.doc_id, sets(r.text)) for r in docs.collect()]
+        want = sorted((a, sum(jaccard(s, t) >= 0.8 for _, t in rows) - 1) for a, s in rows if a is not None and a % every == 0)
+        got = spotsigs.fingerprinted(docs, every).collect()
+        assert len(got) == len(rows) and sorted((r.doc_id, r.n_similar) for r in got if r.n_similar is not None) == want
+
+
+@pytest.mark.parametrize("name", ["spotsigs", "quality_rules"])
+def test_no_python_in_native_operators(spark, sf, name, monkeypatch):
+    import importlib
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    module = importlib.import_module(f"tidewright.llm.{name}")
+    seen = []
+    for f in ("mapInArrow", "mapInPandas", "toPandas", "toArrow"):
+        monkeypatch.setattr(DataFrame, f, lambda *_, f=f, **__: seen.append(f))
+    written = module.common.written
+
+    def watched(df, name):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(module.common, "written", watched)
+    out = module.query(spark, sf)
+    assert out.count() and not any(w in x for x in [*seen, out._jdf.queryExecution().executedPlan().toString()] for w in ("Python", "Pandas", "Arrow", "mapIn", "RDDScan"))
+
+
+def test_ids_of_any_kind(spark):
+    texts = [f"the house of number {k} stands near the river and the bridge of the town {k * 7}" for k in range(60)]
+    for ids in ([hash((k, "x")) for k in range(60)], [-5, None, *range(58)], [-k for k in range(60)], [None] * 60):
+        rows = spotsigs.edited_likeness(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()
+        assert sorted(r.n_chars for r in rows) == sorted(map(len, texts))
+
+
 def test_search_finds_all(tiny):
     rows = [(r.doc_id, sets(r.text)) for r in tiny.collect()]
     queries = tiny.filter("doc_id % 10 = 0")

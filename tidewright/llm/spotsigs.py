@@ -17,19 +17,25 @@ COMMON = (
     "au ce dans est et il la le les ne par pas pour qui sur un une "
     "con de del el en los las no para por que se su una y"
 ).split()
-#: Content words in a chain, and how many words after its anchor are looked at.
+#: Content words in a chain, and how many words after its anchor are looked at; also, after so many words without a
+#: common one, content words are anchors too.
 CHAIN, REACH = 2, 8
-#: Texts with fewer words, or with fewer than one chain in so many words, take each word for an anchor.
-SHORT, SPARSE = 20, 8
 #: Documents of a range of ids that one task orders.
-BUCKET_ROWS, MAX_BUCKETS = 2000, 20_000
+BUCKET_ROWS = 2000
+#: Signatures with one of so many places or more are frequent, and come last in prefixes; there are at most so many.
+FREQUENT = 1000
+#: Beyond so many texts asked about, their counts meet the rows by a shuffle join and not by a broadcast.
+MAX_ROWS = 1_000_000
 
 
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds `out`, the sorted distinct signatures (32-bit hashes) of a text column (null: empty); never empty.
 
     Words are runs of letters and digits, in lower case. A signature is an anchor with the next CHAIN content words
-    within REACH words. A text without words has one fixed signature, so equal texts always have equal sets.
+    within REACH words, if there is one. Anchors are the common words and, where none of the REACH words before is
+    one, every word; so what a place gives depends on the words around it alone, and texts that share most of their
+    words share most of their signatures, in any language. A text of common words alone, or of none, has one fixed
+    signature, so equal texts always have equal sets.
     """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     df = df.withColumn("_w", common.once(words))
@@ -38,13 +44,13 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     chain = lambda i: F.slice(F.filter(F.slice("_c", i + 2, REACH), lambda x: x != ""), 1, CHAIN)
     digest = lambda *x: F.shiftright(F.xxhash64(*x), 32).cast("int")
-    spots = F.transform(F.filter(places, lambda i: F.get("_c", i) == ""), lambda i: F.struct(F.get("_w", i).alias("a"), chain(i).alias("c")))
-    spots = F.transform(F.filter(spots, lambda s: F.size(s["c"]) > 0), lambda s: digest(s["a"], s["c"]))
+    bare = lambda i: ~F.exists(F.slice("_c", F.greatest(i - REACH + 1, F.lit(1)), F.least(i, F.lit(REACH))), lambda x: x == "")
+    anchors = F.filter(places, lambda i: F.when(F.get("_c", i) == "", F.lit(True)).otherwise(bare(i)))
+    spots = F.transform(anchors, lambda i: F.struct(F.get("_w", i).alias("a"), chain(i).alias("c"), (F.get("_c", i) != "").alias("own")))
+    spots = F.transform(F.filter(spots, lambda s: s["own"] | (F.size(s["c"]) > 0)), lambda s: digest(s["a"], s["c"]))
     df = df.withColumn("_spots", common.once(F.array_distinct(spots)))
-    each = F.transform(places, lambda i: digest(F.lit(""), F.slice("_w", i + 1, CHAIN)))
-    all_words = F.when(n == 0, F.array(F.lit(0))).otherwise(F.array_distinct(each))
-    few = (n < SHORT) | (F.size("_spots") * SPARSE < n)
-    return df.withColumn(out, common.once(F.sort_array(F.when(few, all_words).otherwise(F.col("_spots"))))).drop("_w", "_c", "_spots")
+    none = F.array(F.when(n == 0, F.lit(0)).otherwise(digest("_w")))
+    return df.withColumn(out, common.once(F.sort_array(F.when(F.size("_spots") > 0, F.col("_spots")).otherwise(none)))).drop("_w", "_c", "_spots")
 
 
 def fingerprint(signatures: str) -> Column:
@@ -58,28 +64,53 @@ def likeness(a: str, b: str) -> Column:
     return same / (F.size(a) + F.size(b) - same)
 
 
+def links(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, likeness) of an asked class a and another class b that are at least `threshold` alike.
+
+    classes: key, s (a set of signatures), asked. Sets are partitioned by length: with bounds a factor threshold
+    apart, a set's partners lie in its partition or one beside it. Of each set only a prefix is joined, rare
+    signatures first, so long that sets without a common one in it cannot reach the threshold; pairs whose lengths
+    alone rule it out are pruned before sets are compared.
+    """
+    n = F.size("s")
+    total = classes.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    often = classes.select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * FREQUENT >= total)
+    often = F.broadcast(often.agg(F.collect_list("x").alias("often")).withColumn("one", F.lit(1)))  # FREQUENT at most
+    rare_first = F.concat(F.array_except("s", "often"), F.array_intersect("s", "often"))
+    prefix = F.slice(rare_first, 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
+    part = F.floor(F.log(n) / -math.log(threshold)).cast("int")
+    rows = common.written(classes.withColumn("one", F.lit(1)).join(often, "one").select("key", "asked", n.alias("n"), part.alias("part"), prefix.alias("prefix")), "spotsigs-prefixes")
+    asked = rows.filter("asked").select(F.col("key").alias("a"), F.col("n").alias("na"), F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part"), "prefix")
+    asked = asked.select("a", "na", "part", F.explode("prefix").alias("sig"))
+    every = rows.select(F.col("key").alias("b"), F.col("n").alias("nb"), "part", F.explode("prefix").alias("sig"))
+    pairs = asked.join(every, ["part", "sig"]).filter(F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
+    pairs = common.written(pairs.filter("a <> b").select("a", "b").distinct(), "spotsigs-pairs")
+    sets = lambda side, name: classes.select(F.col("key").alias(side), F.col("s").alias(name))
+    found = pairs.join(sets("a", "sa"), "a").join(sets("b", "sb"), "b")
+    return found.select("a", "b", likeness("sa", "sb").alias("likeness")).filter(F.col("likeness") >= threshold)
+
+
+def classes_of(sets: DataFrame) -> DataFrame:
+    """key (the row's own), s, asked and members of each distinct set of a table with key, s and asked."""
+    return common.written(sets.groupBy("key").agg(F.first("s").alias("s"), F.max("asked").alias("asked"), F.count(F.lit(1)).alias("members")), "spotsigs-classes")
+
+
 def search(queries: DataFrame, docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(query_id, doc_id, likeness) of documents at least `threshold` like a query; ids other than the query's own.
 
-    Sets are partitioned by length: with bounds a factor threshold apart, a set's partners lie in its partition or
-    the one beside it. Of each set only the smallest signatures are joined, so many that a set without one of them
-    in common cannot reach the threshold; pairs whose lengths alone rule it out are pruned before sets are compared.
+    Texts with equal sets are compared once, as a class. Repeated rows count each; a null id is not paired.
     """
-    def prepared(df: DataFrame, name: str) -> DataFrame:
-        df = with_signatures(df.select(F.col("doc_id").alias(name), "text"), "text", "s").drop("text")
-        return common.written(df.withColumn("n", F.size("s")), "spotsigs-sets")
+    def prepared(df: DataFrame, asked: bool) -> DataFrame:
+        df = with_signatures(df.select("doc_id", "text"), "text", "s").drop("text")
+        return df.select("doc_id", F.md5(fingerprint("s")).alias("key"), "s", F.lit(asked).alias("asked"))
 
-    def prefixes(df: DataFrame, name: str) -> DataFrame:
-        part = F.floor(F.log(F.col("n")) / -math.log(threshold)).cast("int")
-        prefix = F.slice("s", 1, F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
-        return df.select(name, F.col("n").alias(f"n_{name}"), part.alias("part"), F.explode(prefix).alias("sig"))
-
-    q, d = prepared(queries, "query_id"), prepared(docs, "doc_id")
-    wide = prefixes(q, "query_id").withColumn("part", F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)))
-    pairs = wide.join(prefixes(d, "doc_id"), ["part", "sig"]).filter(F.least("n_query_id", "n_doc_id") >= F.greatest("n_query_id", "n_doc_id") * threshold)
-    pairs = pairs.filter("query_id <> doc_id").select("query_id", "doc_id").distinct()
-    found = pairs.join(q.select("query_id", F.col("s").alias("a")), "query_id").join(d.select("doc_id", F.col("s").alias("b")), "doc_id")
-    return found.select("query_id", "doc_id", likeness("a", "b").alias("likeness")).filter(F.col("likeness") >= threshold)
+    every = common.written(prepared(queries, True).unionByName(prepared(docs, False)), "spotsigs-sets")
+    classes = classes_of(every)
+    own = classes.filter("asked").select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("likeness"))
+    found = links(classes, threshold).unionByName(own)
+    found = found.join(every.filter("asked").select(F.col("key").alias("a"), F.col("doc_id").alias("query_id")), "a")
+    found = found.join(every.filter("not asked").select(F.col("key").alias("b"), "doc_id"), "b").filter("query_id <> doc_id")
+    return found.select("query_id", "doc_id", "likeness")
 
 
 def range_of(df: DataFrame, buckets: int) -> Column:
@@ -108,7 +139,7 @@ def beside_next(df: DataFrame, carry: list[str]) -> DataFrame:
     rows = df.count()
     if not rows:
         return df.withColumns({f"next_{c}": F.col(c) for c in carry})
-    spark, buckets = df.sparkSession, max(1, min(MAX_BUCKETS, -(-rows // BUCKET_ROWS)))
+    spark, buckets = df.sparkSession, max(1, -(-rows // BUCKET_ROWS))
     dealt = df.withColumn("bucket", range_of(df, buckets))
     heads = {r["bucket"]: r["m"] for r in dealt.groupBy("bucket").agg(F.max(F.struct("_id", "_tie")).alias("m")).collect()}  # a row a bucket
     order = sorted(heads)
@@ -121,10 +152,11 @@ def beside_next(df: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, a row per row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, own, a row per row.
 
     The edited text has its last third replaced by the start of the next document's text, by descending doc_id
     (a null id is the largest; rows of equal id follow a hash of their texts; after the last comes the first).
+    A fingerprint is the whole set of signatures (column own) in hex: as long as the text has anchors.
     Null texts are empty. Other columns are ignored; an empty table gives no row.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -137,9 +169,22 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     df = with_signatures(df, "next_text", "next").drop("next_text")
     df = df.withColumn("edited_sha256", F.sha2("edited", 256))
     df = with_signatures(df, "edited", "new").drop("edited")
-    return df.select("doc_id", "n_chars", "edited_sha256", fingerprint("own").alias("fingerprint"), fingerprint("new").alias("edited_fingerprint"), likeness("own", "new").alias("near_edited"), likeness("own", "next").alias("near_next"))
+    return df.select("doc_id", "n_chars", "edited_sha256", fingerprint("own").alias("fingerprint"), fingerprint("new").alias("edited_fingerprint"), likeness("own", "new").alias("near_edited"), likeness("own", "next").alias("near_next"), "own")
+
+
+def fingerprinted(docs: DataFrame, every: int = 100, threshold: float = 0.8) -> DataFrame:
+    """The columns of edited_likeness without own, and n_similar: for rows whose id `every` divides, how many other
+    rows are at least `threshold` like them; null for others."""
+    asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    rows = common.written(edited_likeness(docs).withColumn("key", F.md5("fingerprint")).withColumn("asked", asked), "spotsigs-rows")
+    classes = classes_of(rows.select("key", F.col("own").alias("s"), "asked"))
+    members = classes.select(F.col("key").alias("b"), "members")
+    found = links(classes, threshold).join(members, "b").groupBy(F.col("a").alias("key")).agg(F.sum("members").alias("others"))
+    counts = classes.filter("asked").join(found, "key", "left").select("key", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"))
+    out = rows.join(common.smaller(common.written(counts, "spotsigs-counts"), MAX_ROWS), "key", "left")
+    return out.withColumn("n_similar", F.when(F.col("asked"), F.col("n_similar"))).drop("key", "asked", "own")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op4."""
-    return edited_likeness(common.documents(spark, sf_dir))
+    """op4; queries of the search are the rows whose id is divisible by 100."""
+    return fingerprinted(common.documents(spark, sf_dir))
