@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tidewright.llm import quality_rules
@@ -36,7 +37,7 @@ def test_empty(none):
 def test_order_does_not_change_verdicts(spark, sf):
     df = quality_rules.measures(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
     rules = quality_rules.default_rules()
-    a = quality_rules.cascade(df, rules).filter("failed_rule is null").select("doc_id")
+    a = quality_rules.cascade(df, df.limit(50), rules).filter("failed_rule is null").select("doc_id")
     any_ = F.lit(False)
     for r in rules:
         any_ = any_ | F.coalesce(r.rejects, F.lit(False))
@@ -44,11 +45,28 @@ def test_order_does_not_change_verdicts(spark, sf):
 
 
 def test_cheap_and_selective_comes_first(spark):
-    df = spark.range(2000).select(F.col("id").alias("x"))
-    slow = F.size(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(3000)), lambda i: i * F.col("x") % 97))) < 0
-    rules = [quality_rules.Rule("slow", slow), quality_rules.Rule("never", F.col("x") < 0), quality_rules.Rule("half", F.col("x") % 2 == 0)]
-    assert quality_rules.ordered(df, rules)[0][0].name == "half"
-    assert {r.failed_rule for r in quality_rules.cascade(df, rules).collect()} == {"half", None}
+    df = spark.range(1000).select(F.col("id").alias("x"))
+    slow = lambda bound: F.size(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(3000)), lambda i: i * F.col("x") % 97))) * (F.col("x") + 1) < bound
+    rules = [quality_rules.Rule("slow", slow(0)), quality_rules.Rule("slow_half", slow(3001 * 500)), quality_rules.Rule("few", F.col("x") < 9), quality_rules.Rule("half", F.col("x") % 2 == 0)]
+    orders = [[r[0].name for r in quality_rules.ordered(df.limit(100), list(reversed(rules)) if k else rules)] for k in range(3)]
+    assert orders[0][0] == "half" and orders[0][-1] == "slow" and orders == [orders[0]] * 3
+    assert {r.failed_rule for r in quality_rules.cascade(df, df.limit(100), rules).collect()} == {"half", "slow_half", "few", None} - ({"few"} if orders[0].index("few") > orders[0].index("slow_half") else set())
+
+
+def brute_kept(text):
+    text = text or ""
+    n, chars, symbols, dup, _, failed = brute(text)
+    letters, upper = len(regex.findall(r"\p{L}", text)), len(regex.findall(r"\p{Lu}", text))
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    rules = [symbols * 10 > n, upper * 2 > letters, text.count("!!") * 10 > n, chars < 2 * n or chars > 20 * n, letters * 2 < chars, dup * 10 > len(lines) * 3 and dup > 2]
+    return not failed and not any(rules)
+
+
+@pytest.mark.parametrize("which", ["sf0.01", "odd"])
+def test_kept_against_brute_force(spark, odd, which):
+    docs = odd if which == "odd" else spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = sorted((r.doc_id or -1, brute_kept(r.text)) for r in docs.collect())
+    assert sorted((r.doc_id or -1, r.kept) for r in quality_rules.judged(docs).collect()) == want
 
 
 def test_clean_texts_are_kept(spark, sf):
