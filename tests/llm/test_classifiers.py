@@ -61,6 +61,8 @@ def test_language_is_filled_and_none_is_needed(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n long")
     kept = {r.doc_id: r.lang for r in language_id.with_language(docs).collect()}
     assert kept == {r[0]: r[2] for r in rows[:40]} | {100: "ru"}
+    wrong = docs.withColumn("lang", F.when(F.col("doc_id") == 0, "ru").otherwise(F.col("lang")))
+    assert {r.doc_id: r.lang for r in language_id.with_language(wrong).collect()}[0] == "en"
     unlabelled = language_id.with_language(docs.withColumn("lang", F.lit(None).cast("string")))
     assert unlabelled.columns == docs.columns and sorted(r.doc_id for r in unlabelled.collect()) == [*range(40), 100]
 

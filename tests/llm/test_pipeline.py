@@ -1,14 +1,30 @@
+import os
+import re
 from collections import defaultdict
 
-import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewright.llm import common, mixing, simhash
+from tidewright.llm import common, language_id, mixing, simhash
 
-from .test_simhash import brute_components, brute_print
 from .test_substring_dedup import brute
 
 
+def alike_firsts(texts):
+    """The least id of each component of texts (by id) that share 0.8 of their five-word shingles."""
+    sets = {}
+    for i, t in sorted(texts.items()):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {i: i for i in sets}
+    for b in sets:
+        for a in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    return set(root.values())
+
+
 def test_stages(spark, sf):
     docs = common.documents(spark, sf)
     columns, seen = docs.columns, {}
@@ -16,12 +32,15 @@ def test_stages(spark, sf):
         docs = common.written(stage(spark, docs, sf), "test")
         seen[name] = docs
         assert docs.columns == columns or name == "packing"
-    start = {r.doc_id: r.text for r in common.documents(spark, sf).collect()}
+    rows = common.documents(spark, sf)
+    start = {r.doc_id: r.text for r in rows.collect()}
+    said = {r.doc_id: r for r in language_id.predictions(rows).collect()}
+    for r in seen["language_id"].join(rows.select("doc_id", F.col("lang").alias("was")), "doc_id").collect():
+        assert r.lang == (said[r.doc_id].lang_pred if said[r.doc_id].score >= 0.5 else r.was)
     one = {r.doc_id: r.text for r in seen["language_id"].collect()}
     assert one == {i: t for i, t in start.items() if any(c.isalpha() for c in t)}
     two = {r.doc_id: r.text for r in seen["near_dedup"].collect()}
-    items = [(i, brute_print(t)) for i, t in sorted(one.items())]
-    assert two == {i: one[i] for i in set(brute_components(items))}
+    assert two == {i: one[i] for i in alike_firsts(one)}
     three = {r.doc_id: r for r in seen["substring_dedup"].collect()}
     for (i, text), (n, removed, _) in brute(list(two.items())).items():
         assert (i in three) == (removed < n or n == 0)
@@ -39,15 +58,24 @@ def test_stages(spark, sf):
 
 
 def test_run(spark, sf):
-    assert corpus_pipeline.run(spark, sf).count() > 0
+    with common.scratch() as tables:
+        assert corpus_pipeline.run(spark, sf).count() > 0
+    left = [t for t in tables if os.path.isdir(t.removeprefix("file://"))]
+    assert len(left) < len(tables) / 4 and sum("pipeline-" in t for t in left) == 1
 
 
 def test_odd(spark, odd, none, sf):
+    left = {}
     for docs in (odd, none):
         columns = docs.columns
         for name, stage in corpus_pipeline.STAGES:
             docs = common.written(stage(spark, docs, sf), "test")
             assert docs.columns == columns or name == "packing"
+            left.setdefault(name, sorted(r.doc_id or -1 for r in docs.collect()))
+    assert left["language_id"] == [-1, 1, 2, 6, 7, 7, 9, 10, 11]  # 3, 4 and 5 have no letter
+    assert left["near_dedup"] == [-1, 1, 6, 7, 9, 11]  # 2 is 1, 10 repeats 1, and the second 7 is the first
+    assert left["substring_dedup"] == [-1, 1, 6, 7, 9, 11]
+    assert set(left["packing"]) <= set(left["mixing"]) <= set(left["substring_dedup"])
 
 
 def test_near_copies_are_one(spark):

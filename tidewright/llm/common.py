@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidewright-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -48,9 +51,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for tables in _scratch:
+        tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The paths of the tables that are written meanwhile, in order."""
+    _scratch.append([])
+    try:
+        yield _scratch[-1]
+    finally:
+        _scratch.pop()
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of the shared folder that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        place = hadoop(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def id_key() -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(NO_ID))
 
@@ -76,9 +102,11 @@ def spread_rank(df: DataFrame, keys: list[str], order: list[str], count: str, ro
     """Adds rank: each row's place, from 0, among the rows of its keys, in an order fixed by the columns `order` (then `ties`).
 
     `count` holds the number of rows of the keys. A large group is split by a hash of the order columns, so that no
-    task sorts much more than `rows` rows of one group; the parts' offsets are running sums over their sizes.
+    task sorts much more than `rows` rows of one group (200,000 of a very large one); the parts' offsets are running
+    sums over their sizes.
     """
-    parts = F.greatest(F.lit(1), F.ceil(F.col(count) / rows)).cast("long")
+    most = F.greatest(F.lit(1024), F.ceil(F.col(count) / 200_000))  # parts of a group, so that their offsets stay few
+    parts = F.greatest(F.lit(1), F.least(most, F.ceil(F.col(count) / rows))).cast("long")
     # dealt out by the salt too: what came from a join on the keys would else stay with its group
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), parts)).repartition(*keys, "_salt")
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

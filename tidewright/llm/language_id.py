@@ -237,16 +237,18 @@ def predictions(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce(common.id_remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
-def with_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs that have a letter, a null lang filled with the predicted one; those without (and null texts) go.
+def with_language(docs: DataFrame, sure: float = 0.5) -> DataFrame:
+    """The rows of docs that have a letter, with lang as it was predicted; those without (and null texts) go.
 
-    Where no language could be learned, lang stays as it is.
+    A prediction with a score under `sure` only fills a null lang. Where no language could be learned, lang stays as
+    it is. Repeated rows and null ids are rows like others; a column of docs may have any name.
     """
     rows, model = docs.select(F.struct(*docs.columns).alias("_row")), held_out_model(docs)
     if not model.languages:
         return rows.filter(F.col("_row.text").cast("string").rlike(r"\p{L}")).select("_row.*")
     found = identify(rows, model, "_row").filter("lang_pred <> 'und'")
-    return found.select(F.col("_row").withField("lang", F.coalesce("_row.lang", "lang_pred")).alias("_row")).select("_row.*")
+    lang = F.when(F.col("score") >= sure, F.col("lang_pred")).otherwise(F.coalesce("_row.lang", "lang_pred"))
+    return found.select(F.col("_row").withField("lang", lang.cast(docs.schema["lang"].dataType)).alias("_row")).select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -136,11 +136,13 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2) -> D
     tail = np.array([end], "<u4").tobytes()
 
     def cut(batches):
-        bpe = byte_bpe(tokenizer)
+        bpe, last, data = byte_bpe(tokenizer), None, memoryview(tail)
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), ([], [], [], [], [])
             for doc, text in zip(ids, batch.column(1), strict=True):
-                data = memoryview(bpe.encode(text.as_py() or "") + tail)
+                text = text.as_py() or ""
+                if text != last:  # copies of a document come one after the other
+                    last, data = text, memoryview(bpe.encode(text) + tail)
                 total, start, k = len(data) // 4, 0, 0
                 stop = total % room or min(room, total)
                 while start < total:
@@ -157,14 +159,18 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2) -> Dat
     """Places every piece of every document: its columns, sequence_id and offset (gapless from 0).
 
     Only the number of pieces of each length (room of them at most) reaches the driver, where dominance reduction
-    and best fit run over counts; pieces then find their place by their rank among those of their length. Null and
-    empty texts are one end id. Repeated rows are packed each; a null doc_id stays null; an empty table gives no row.
+    and best fit run over counts; pieces then find their place by their rank among those of their length. A piece that
+    fills a sequence is placed at once, whatever its rank. Null and empty texts are one end id. Repeated rows are packed each; a null doc_id stays null; an empty table gives no row.
     """
     made = common.written(pieces(docs, tokenizer, room, end), "pack-pieces")
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    runs = docs.sparkSession.sparkContext.broadcast(plan(counts, room))  # some rows for each length up to room
-    sizes = F.broadcast(docs.sparkSession.createDataFrame(sorted(counts.items()), "length long, n long"))
-    ranked = common.spread_rank(made.join(sizes, "length"), ["length"], ["doc_id", "piece", "start", "ids_crc32"], "n")
+    counts.pop(room, None)
+    planned = plan(counts, room)  # some rows for each length below room
+    used = max((int(r[2] + -(-(r[1] - r[0]) // r[3])) for x in planned.values() for r in x), default=0)
+    full = made.filter(F.col("length") == room).withColumn("sequence_id", F.monotonically_increasing_id() + used).withColumn("offset", F.lit(0).cast("long"))
+    runs = docs.sparkSession.sparkContext.broadcast(planned)
+    sizes = F.broadcast(docs.sparkSession.createDataFrame(sorted(counts.items()), "length long, n long"))  # room rows at most
+    ranked = common.spread_rank(made.filter(F.col("length") < room).join(sizes, "length"), ["length"], ["doc_id", "piece", "start", "ids_crc32"], "n")
 
     def place(batches):
         for batch in batches:
@@ -178,7 +184,7 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2) -> Dat
             cols = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.record_batch([*cols, pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, PIECES + ", sequence_id long, offset long").unionByName(full)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ from array import array
 
 import numpy as np
 
-#: Chunks kept by one Python worker: some 50 MB.
-CACHE_ENTRIES = 200_000
+#: Chunks kept by one Python worker, and the longest that is kept: some 50 MB, 100 MB at most.
+CACHE_ENTRIES, CACHE_LENGTH = 200_000, 64
 #: Marks that stand alone behind letters, and the first letter whose class may differ between Unicode versions.
 MARKS, PLAIN = frozenset(".,!?;:"), "\u0530"
 #: A space before white space or at the end: there a cut before each space is not safe.
@@ -25,6 +25,8 @@ class Chunks(dict):
         self.work = work
 
     def __missing__(self, chunk):
+        if len(chunk) > CACHE_LENGTH:
+            return self.work(chunk)
         if len(self) >= CACHE_ENTRIES:
             for old in list(self)[CACHE_ENTRIES // 2 :]:
                 del self[old]
