@@ -2,6 +2,7 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from tidewright.llm import substring_dedup
@@ -91,8 +92,11 @@ def test_windows_across_a_boundary():
 
 
 def test_candidates():
-    found = [(0, 1, 0, 5), (1, 1, 0, 6), (2, 2, 0, 0), (30, 2, 0, 9), (31, 2, 0, 10)]
-    assert substring_dedup.candidates(found, 20) == [(0, 21, 1, 0, 5), (2, 20, 2, 0, 0), (30, 21, 2, 0, 9)]
+    found = [(0, 31, 2, 0, 10), (0, 0, 1, 0, 5), (0, 1, 1, 0, 6), (0, 1, 1, 0, 6), (0, 2, 2, 0, 0), (0, 30, 2, 0, 9), (1, 32, 2, 0, 11), (1, 33, 2, 1, 12)]
+    of, runs = substring_dedup.candidates(*np.array(found).T, 20)
+    want = [(0, 0, 21, 1, 0, 5), (0, 2, 20, 2, 0, 0), (0, 30, 21, 2, 0, 9), (1, 32, 20, 2, 0, 11), (1, 33, 20, 2, 1, 12)]
+    assert list(zip(of, *runs, strict=True)) == want
+    assert not len(substring_dedup.candidates(*np.zeros((5, 0), "i8"), 20)[0])
 
 
 def test_digests_and_stage(tiny, none):

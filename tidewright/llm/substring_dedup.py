@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,18 +77,22 @@ class Batch:
         return low[self.start], grams[best == grams]
 
 
-def candidates(matches: list[tuple[int, int, int, int]], window: int) -> list[tuple[int, int, int, int, int]]:
-    """(start, length, source, its number, source start) of runs of windows that follow each other in one source.
+def candidates(of: np.ndarray, start: np.ndarray, source: np.ndarray, number: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(document, [start, length, source, its number, source start]) of runs of windows that follow each other in one source.
 
-    matches: (start, source, its number, source start) of a document's windows that the index knows, by start.
+    Each window that the index knows comes with its document, its start, and where the index says it first starts;
+    one that comes twice, because rows repeat, counts once.
     """
-    out: list[list[int]] = []
-    for start, *source, at in matches:
-        if out and out[-1][0] + out[-1][1] - window + 1 == start and source == out[-1][2:4] and at - out[-1][4] == start - out[-1][0]:
-            out[-1][1] += 1
-        else:
-            out.append([start, window, *source, at])
-    return [tuple(x) for x in out]
+    order = np.lexsort((start, of))
+    of, start, source, number, at = (x[order] for x in (of, start, source, number, at))
+    step = lambda x: np.diff(x, prepend=x[:1])
+    once = (step(of) != 0) | (step(start) != 0)
+    once[:1] = True
+    of, start, source, number, at = (x[once] for x in (of, start, source, number, at))
+    new = (step(of) != 0) | (step(start) != 1) | (step(source) != 0) | (step(number) != 0) | (step(at) != 1)
+    new[:1] = True
+    first = np.flatnonzero(new)
+    return of[first], [start[first], np.diff(np.append(first, len(of))) + window - 1, source[first], number[first], at[first]]
 
 
 def longest(words: list[bytes], start: int, blocks: dict[tuple, list[bytes]], source: tuple[int, int], at: int) -> int:
@@ -252,8 +257,12 @@ def duplicate_factors(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, m
 
     def join_up(batches):
         for batch in batches:
-            found = [candidates(sorted({tuple(m.values()) for m in row.as_py()}), window) for row in batch.column(2)]
-            yield pa.record_batch([batch.column(0), batch.column(1), as_factors(found)], [*KEY, "runs"])
+            lists, flat = batch.column(2), batch.column(2).flatten()
+            of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            of, found = candidates(of, *(flat.field(c).to_numpy(zero_copy_only=False).astype("i8") for c in ("start", *SOURCE, "source_start")), window)
+            ends = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype("i4")
+            found = pa.StructArray.from_arrays([pa.array(x).cast(f.type) for x, f in zip(found, FACTOR, strict=True)], fields=list(FACTOR))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), found)], [*KEY, "runs"])
 
     runs = common.written(lists.mapInArrow(join_up, f"_id long, _num long, runs {FACTORS}"), "substring-runs")
     r = runs.select(*KEY, F.explode("runs").alias("r"))
