@@ -339,8 +339,8 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2, prior: float = PRIO
       P(w | u v) = (n(u, v, w) + triple_prior * P(w | v)) / (n(u, v) + triple_prior); P(w | v) for a first word,
       P(w | v) = (n(v, w) + prior * P(w)) / (n(v) + prior), and P(w) = (n(w) + 1) / (N + V + 1).
     n are counts as the filter has them (the lower end of their level; a context's is the upper end, so sums over
-    words stay at most 1), exact for frequent words. Every n-gram of the training texts is entered. The priors do best
-    of those tried on held-out texts. base_score takes exact counts: frequent words from the broadcast table, whose
+    words stay at most 1), exact for frequent words. Every n-gram of the training texts is entered. The priors are
+    fixed numbers, picked from a few tried on the synthetic tables. base_score takes exact counts: frequent words from the broadcast table, whose
     length is bounded by `frequent`, others by a join. A filter beyond max_filter bytes is not broadcast; results are
     the same. Null texts are empty, with the end as their token; an empty training set gives the uniform model over
     the unknown. Repeated rows are scored each; other columns are ignored; an empty table gives no row.
