@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, language_model, mixing, packing, quality_classifier, quality_rules, simhash, spotsigs, substring_dedup, token_counts
+from . import language_id, language_model, mixing, oracle, packing, quality_classifier, quality_rules, simhash, spotsigs, substring_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -17,4 +17,5 @@ QUERIES = {
     "op10_source_mixing": mixing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Trained, iterative and hash-defined results have no SQL; tests hold those against brute force.
+ORACLE_SQL = {"op1_substring_dedup": oracle.SUBSTRING_DEDUP, "op9_quality_rules": oracle.QUALITY_RULES}
