@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,14 +131,16 @@ def range_of(df: DataFrame, buckets: int) -> Column:
     return (outer * step + below(within)).cast("int")
 
 
-def beside_next(df: DataFrame, carry: list[str]) -> DataFrame:
+def beside_next(df: DataFrame, carry: list[str], prepared: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Adds next_<column> for `carry`: the values of the next row in descending (_id, _tie); the last row's is the first.
 
     Rows are dealt into ranges with about BUCKET_ROWS rows, so each task orders one range; the first row of a range is
-    copied to the range before it in the order.
+    copied to the range before it in the order. `prepared` adds columns to the rows before they are dealt, so that
+    carried ones are computed once and not for both neighbours.
     """
     rows = df.count()
     if not rows:
+        df = prepared(df)
         return df.withColumns({f"next_{c}": F.col(c) for c in carry})
     spark, buckets = df.sparkSession, max(1, -(-rows // BUCKET_ROWS))
     dealt = df.withColumn("bucket", range_of(df, buckets))
@@ -146,7 +149,7 @@ def beside_next(df: DataFrame, carry: list[str]) -> DataFrame:
     above = [(heads[b]["_id"], heads[b]["_tie"], order[(k + 1) % len(order)]) for k, b in enumerate(order)]
     first = F.broadcast(spark.createDataFrame(above, "_id long, _tie long, bucket int"))
     copies = df.join(first, ["_id", "_tie"]).withColumn("_copy", F.lit(True))
-    every = dealt.withColumn("_copy", F.lit(False)).unionByName(copies)
+    every = prepared(dealt.withColumn("_copy", F.lit(False)).unionByName(copies))
     w = Window.partitionBy("bucket").orderBy("_copy", F.desc("_id"), F.desc("_tie"))
     return every.withColumns({f"next_{c}": F.lead(c).over(w) for c in carry}).filter("not _copy").drop("_copy", "bucket")
 
@@ -161,15 +164,13 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = docs.select("doc_id", common.id_key().alias("_id"), text.alias("text")).withColumn("_tie", F.xxhash64("text"))
-    df = beside_next(df, ["text"])
+    df = beside_next(df, ["text", "own"], lambda rows: with_signatures(rows, "text", "own"))
     cut = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - cut), F.substring(F.col("next_text"), F.lit(1), cut))
     df = df.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", common.once(edited))
-    df = with_signatures(df, "text", "own").drop("text")
-    df = with_signatures(df, "next_text", "next").drop("next_text")
-    df = df.withColumn("edited_sha256", F.sha2("edited", 256))
+    df = df.drop("text", "next_text").withColumn("edited_sha256", F.sha2("edited", 256))
     df = with_signatures(df, "edited", "new").drop("edited")
-    return df.select("doc_id", "n_chars", "edited_sha256", fingerprint("own").alias("fingerprint"), fingerprint("new").alias("edited_fingerprint"), likeness("own", "new").alias("near_edited"), likeness("own", "next").alias("near_next"), "own")
+    return df.select("doc_id", "n_chars", "edited_sha256", fingerprint("own").alias("fingerprint"), fingerprint("new").alias("edited_fingerprint"), likeness("own", "new").alias("near_edited"), likeness("own", "next_own").alias("near_next"), "own")
 
 
 def fingerprinted(docs: DataFrame, every: int = 100, threshold: float = 0.8) -> DataFrame:
