@@ -9,8 +9,8 @@ from array import array
 
 import numpy as np
 
-#: Chunks kept by one Python worker, and the longest that is kept: some 50 MB, 100 MB at most.
-CACHE_ENTRIES, CACHE_LENGTH = 200_000, 64
+#: Chunks kept by one Python worker, and the longest that is kept: some 75 MB, 150 MB at most.
+CACHE_ENTRIES, CACHE_LENGTH = 300_000, 64
 #: Marks that stand alone behind letters, and the first letter whose class may differ between Unicode versions.
 MARKS, PLAIN = frozenset(".,!?;:"), "\u0530"
 #: A space before white space or at the end: there a cut before each space is not safe.
@@ -60,18 +60,33 @@ class ByteBpe:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def chunks(self, text: str) -> list[str] | None:
-        """The text's chunks, each from its space on; None if it has to go whole."""
+        """What stands before the text's first space, then its other chunks without their space; None if it has to go whole."""
         if not self.chunked or UNSAFE.search(text) or any(s in text for s in self.special):
             return None
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + x for x in rest]
+        return text.split(" ")
+
+    def plain(self, line: str, space: str) -> list[str] | None:
+        """The pre-tokens of letters, with one mark behind them or none, after a space (in byte-level letters) or none."""
+        body, last = (line[:-1], line[-1:]) if line[-1:] in MARKS else (line, "")
+        if not body.isalpha():
+            return None
+        if not body.isascii():
+            if max(body) >= PLAIN:
+                return None
+            body = body.encode().decode("latin-1").translate(self.letters)
+        return [space + body, last] if last else [space + body]
 
     def words(self, chunk: str) -> list[str]:
-        """A chunk's pre-tokens in byte-level letters. A space with letters, or those with one mark, need no search."""
-        body, last = (chunk[1:-1], chunk[-1:]) if chunk[-1:] in MARKS else (chunk[1:], "")
-        if chunk[:1] == " " and body.isalpha() and max(body) < PLAIN:
-            word = "\u0120" + body if body.isascii() else (" " + body).encode().decode("latin-1").translate(self.letters)
-            return [word, last] if last else [word]
+        """A chunk's pre-tokens in byte-level letters. A space with letters, or those with one mark, need no search;
+        nor do more such lines behind it: a line feed between characters that are not white space stands alone."""
+        if chunk[:1] == " ":
+            out: list[str] = []
+            for k, line in enumerate(chunk[1:].split("\n")):
+                if (found := self.plain(line, "" if k else "\u0120")) is None:
+                    break
+                out += ["\u010a", *found] if k else found
+            else:
+                return out
         return [word for word, _ in self.split(chunk)]
 
     @functools.cached_property
@@ -82,16 +97,29 @@ class ByteBpe:
         return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
     def ids_of(self, chunk: str) -> bytes:
-        return array("I", [t.id for word in self.words(chunk) for t in self.merge(word)]).tobytes()
+        whole, out = self.whole_ids, []
+        for word in self.words(chunk):
+            if (known := whole.get(word)) is not None:
+                out.append(known)
+            else:
+                out += [t.id for t in self.merge(word)]
+        return array("I", out).tobytes()
+
+    @functools.cached_property
+    def whole_ids(self) -> dict[str, int]:
+        """The id of each whole token."""
+        return {s: self.merge(s)[0].id for s in self.single()}
 
     @functools.cached_property
     def _ids(self) -> Chunks:
-        return Chunks(self.ids_of)
+        return Chunks(lambda rest: self.ids_of(" " + rest))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         parts = self.chunks(text)
-        return np.array(self.whole(text), "<u4").tobytes() if parts is None else b"".join(map(self._ids.__getitem__, parts))
+        if parts is None:
+            return np.array(self.whole(text), "<u4").tobytes()
+        return self.ids_of(parts[0]) + b"".join(map(self._ids.__getitem__, parts[1:]))
 
     def single(self) -> frozenset[str]:
         """Whole tokens, proved here: the vocabulary strings (in byte-level letters) that alone merge to one token."""
@@ -103,11 +131,13 @@ class ByteBpe:
 
     def counter(self, single: frozenset[str]):
         """A function from text to its number of tokens; its cache is kept between calls."""
-        counts = self.counts = self.counts or Chunks(functools.partial(self.count_of, single))
+        counts = self.counts = self.counts or Chunks(lambda rest: self.count_of(single, " " + rest))
 
         def count(text: str) -> int:
             parts = self.chunks(text)
-            return len(self.whole(text)) if parts is None else sum(map(counts.__getitem__, parts))
+            if parts is None:
+                return len(self.whole(text))
+            return self.count_of(single, parts[0]) + sum(map(counts.__getitem__, parts[1:]))
 
         return count
 
