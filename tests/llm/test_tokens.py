@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidewright.llm import packing, token_counts
+from tidewright.llm import packing, token_counts, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -123,3 +123,17 @@ def test_plan_places_each_item_once():
                 gaps.remove(gap)
             gaps.append(gap - s)
     assert len(fill) <= len(gaps)
+
+
+def test_texts_of_lines_and_marks(encode):
+    """Random strings of spaces, line feeds, marks, letters of several kinds, digits and a special string."""
+    bpe = tokens.ByteBpe(PATH)
+    parts = ["", " ", "\n", "word", "Wörter", ".", ",", "'s", "7", "слово", "\t", "\u00a0", "e\u0301", "<|endoftext|>"]
+    single, texts = bpe.single(), {""}
+    rng = np.random.default_rng(0)
+    for _ in range(20_000):
+        texts.add("".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(1, 9))))
+    count = bpe.counter(single)
+    for text in texts:
+        ids = encode(text)
+        assert bpe.encode(text) == np.array(ids, "<u4").tobytes() and count(text) == len(ids)
