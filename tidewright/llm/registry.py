@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, language_model, mixing, oracle, packing, quality_classifier, quality_rules, simhash, spotsigs, substring_dedup, token_counts
+from . import alignment, language_id, language_model, merkle, mixing, oracle, packing, quality_classifier, quality_rules, simhash, spotsigs, substring_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.query,
     "op9_quality_rules": quality_rules.query,
     "op10_source_mixing": mixing.query,
+    "op11_token_alignment": alignment.query,
+    "op13_merkle_manifest": merkle.query,
 }
 
 #: Trained, iterative and hash-defined results have no SQL; tests hold those against brute force.
