@@ -56,3 +56,64 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     or word_chars < 2 * n_words or word_chars > 20 * n_words or letters * 2 < word_chars or n_dup_lines * 10 > n_lines * 3 and n_dup_lines > 2) as kept
 from measured
 """
+
+#: Cosine over all pairs of a label, and the least id over everything reachable.
+EMBEDDING_DEDUP = """
+with recursive sound as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from sound a join sound b on a.label = b.label and a.vec_id <> b.vec_id
+  where len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.98),
+reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join links l on l.a = r.b),
+least as (select a, min(b) as component_id from reach group by a),
+degree as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from embeddings join least on least.a = vec_id left join degree on degree.a = vec_id
+"""
+
+#: Nodes level by level, and each leaf's way up. crc32 by its table of 256 remainders, made here.
+MERKLE = """
+with recursive crc as (
+  select list(c order by i) as t from (
+    select i, list_reduce(list_concat([i], range(8)), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+    from range(256) r(i))),
+rows as (
+  select doc_id, lang, case when lang is null then '' else 'v' || lang end as tree, n_chars,
+    coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') as head,
+    coalesce(strlen(text) || ':' || text, '-') as tail,
+    doc_id is not null and xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::varchar, ''), lambda ch: ascii(ch)::bigint)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 7 = 0 as tampered
+  from documents, crc),
+digests as (
+  select doc_id, tree, sha256(head || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || tail) as leaf,
+    case when tampered then sha256(head || coalesce(strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1), '-') || tail) end as bad
+  from rows),
+leaves as (
+  select row_number() over () as r, doc_id, tree, leaf, coalesce(bad, leaf) as shown,
+    row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by tree) as n
+  from digests),
+nodes as (
+  select 0 as level, tree, i, n, leaf as digest from leaves
+  union all
+  select level + 1, tree, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' order by i)) from nodes where n > 1 group by level, tree, i // 2, n),
+walk as (
+  select 0 as level, r, tree, i, n, shown as node, '' as proof from leaves
+  union all
+  select w.level + 1, w.r, w.tree, w.i // 2, (w.n + 1) // 2,
+    sha256(case when w.i % 2 = 1 then s.digest || w.node else w.node || coalesce(s.digest, '') end), w.proof || coalesce(s.digest, '')
+  from walk w left join nodes s on s.tree = w.tree and s.level = w.level and s.i = xor(w.i, 1) where w.n > 1),
+tops as (select tree, digest as subroot, row_number() over (order by tree) - 1 as i, count(*) over () as n from nodes where n = 1),
+top_nodes as (
+  select 0 as level, i, n, subroot as digest from tops
+  union all
+  select level + 1, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' order by i)) from top_nodes where n > 1 group by level, i // 2, n),
+climb as (
+  select 0 as level, w.r, t.i, t.n, w.node, w.proof from walk w join tops t using (tree) where w.n = 1
+  union all
+  select w.level + 1, w.r, w.i // 2, (w.n + 1) // 2,
+    sha256(case when w.i % 2 = 1 then s.digest || w.node else w.node || coalesce(s.digest, '') end), w.proof || coalesce(s.digest, '')
+  from climb w left join top_nodes s on s.level = w.level and s.i = xor(w.i, 1) where w.n > 1)
+select l.doc_id, l.leaf, t.subroot, root.digest as root, sha256(c.proof) as proof_sha256, c.node as folded_root, c.node = root.digest as verified
+from leaves l join tops t using (tree) join climb c on c.r = l.r and c.n = 1, (select digest from top_nodes where n = 1) root
+"""
