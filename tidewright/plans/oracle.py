@@ -108,4 +108,9 @@ ORACLE_SQL = {
         "from supplier where s_acctbal > 9000 group by 1) select n_name as station, cast(coalesce(c.id, f.id) as int) as dahiti_id, case when c.id is not null then "
         "'chosen' else 'nearest' end as target_name from nation left join c on n_nationkey = c.k left join f on n_nationkey = f.k where coalesce(c.id, f.id) is not null"
     ),
+    "csv_by_name": "select o_orderkey, o_orderstatus as station, cast(o_orderdate as date) as date, case when o_orderstatus <> 'P' then o_totalprice end as value from orders",
+    "csv_quarantine": (
+        "select o_orderkey, case when o_orderpriority <> '1-URGENT' then o_totalprice end as value, case when o_orderpriority = '1-URGENT' then o_orderkey || ',not read' end as line from orders"
+    ),
+    "named_file_round_trip": "select c_name, c_custkey, c_acctbal, 'waterlevel_nation_id' || c_nationkey || '.csv' as file from customer",
 }

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import contains_any_case, falsy_coalesce, holds_none, json_value, key_value, month_floor, month_number
 from ..operators import align, features, report, requests, rollup, targets
-from ..sources import files
+from ..session import shared_folder
+from ..sources import files, named_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -230,3 +231,44 @@ def target_or_nearest(spark, folder):
     chosen = cheap.groupBy(F.col("n_name").alias("station")).agg(F.min("s_suppkey").cast("int").alias("dahiti_id")).withColumn("target_name", F.lit("chosen"))
     spare = near.groupBy(F.col("n_name").alias("station")).agg(F.min("s_suppkey").cast("int").alias("id")).select("station", F.lit(200).alias("code"), F.struct("id", F.lit("nearest").alias("target_name")).alias("data"))
     return targets.with_fallback(stations, chosen, spare)
+
+
+def station_files(spark, folder):
+    """The orders as CSV files by status, whose columns differ in order and names: one has a mark before its header and a
+    column of its own, one lacks the value."""
+    orders, to = table(spark, folder, "orders"), shared_folder(spark)
+    name = F.concat(F.lit("orders_"), "o_orderstatus", F.lit(".csv"))
+    forms = {
+        "F": (["o_orderkey as id", "o_orderstatus as station", "o_orderdate as date", "o_totalprice as value", "o_orderpriority as kind"], True),
+        "O": (["o_totalprice as reading", "o_orderpriority as kind", "o_custkey as extra", "o_orderdate as Time_UTC", "o_orderstatus as station", "o_orderkey as id"], False),
+        "P": (["o_orderpriority as kind", "o_orderstatus as station", "o_orderkey as id", "o_orderdate as date"], False),
+    }
+    for status, (form, bom) in forms.items():
+        some = orders.filter(F.col("o_orderstatus") == status).withColumn("_name", name)
+        named_files.write_named(some.selectExpr("_name", *form), to, "_name", ["id"], bom=bom)
+    return to
+
+
+@query
+def csv_by_name(spark, folder):
+    found = files.read_csv(spark, station_files(spark, folder), "orders_*.csv", "id long, station string, date date, value double", synonyms={"value": ("reading",)}, date="date")
+    return found.withColumnsRenamed({"id": "o_orderkey"})
+
+
+@query
+def csv_quarantine(spark, folder):
+    orders, to = table(spark, folder, "orders"), shared_folder(spark)
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    rows = orders.select(F.concat(F.lit("orders_"), "o_orderstatus", F.lit(".csv")).alias("_name"), F.col("o_orderkey").alias("id"), F.when(urgent, F.lit("not read")).otherwise(F.col("o_totalprice").cast("string")).alias("value"))
+    named_files.write_named(rows, to, "_name", ["id"])
+    sound, others, _ = files.quarantined(files.read_checked(spark, to, "orders_*.csv", "id long, value double"), shared_folder(spark))
+    return sound.select("id", "value", F.lit(None).cast("string").alias("line")).unionByName(others.select("id", "value", "line")).withColumnRenamed("id", "o_orderkey")
+
+
+@query
+def named_file_round_trip(spark, folder):
+    to = shared_folder(spark)
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
+    named_files.write_named(customers, to, F.format_string("waterlevel_%s_id%d.csv", F.lit("nation"), "c_nationkey"), ["c_custkey"], bom=True)
+    found = files.read_csv(spark, to, "waterlevel_*.csv", "c_name string, c_custkey long, c_acctbal double", file_column="file")
+    return found.withColumn("file", F.element_at(F.split("file", "/"), -1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -36,3 +37,14 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(root.parent))
     context.addPyFile(str(archive))
     context._tidewright_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for intermediate files under spark.checkpoint.dir; a temporary one only where that is unset and the
+    master is local (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tidewright-")
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"

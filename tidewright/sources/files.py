@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import holds_none, key_value, missing_to_null, nan_to_null
+from ..functions.columns import key_value
+from .delimited import quarantined, read_checked, read_csv, read_first, resolve_date  # noqa: F401  these are files, too
 
 WATER_LEVEL = "station string, dahiti_id int, target_name string, target_lat string, target_lon string, water_level_m double, water_level_err_m double, date timestamp_ntz"
 CONDUCTIVITY = "station string, date date, conductivity_mS_per_m double"
@@ -21,28 +20,6 @@ CONSTRAINTS = ", ".join(f"{d} array<string>" for d in ("day", "hydrological_mode
 TARGETS = "dahiti_id int, id int, target_name string, type string, latitude double, longitude double, data_access struct<water_level_altimetry: string, discharge: string>"
 
 
-def read_csv(spark: SparkSession, folder: str, glob: str, schema: str, exclude: Iterable[str] = (), file_column: str | None = None) -> DataFrame:
-    """All files of a folder that match, by column name, without those whose path contains an excluded string.
-
-    Strings for missing values and NaN become null; the names of columns are held to the schema, whatever their order
-    in a file is not. A byte order mark is skipped. file_column names a column for each row's file.
-    """
-    df = spark.read.schema(schema).option("header", True).option("nullValue", "NA").option("pathGlobFilter", glob).csv(folder)
-    df = df.filter(holds_none("_metadata.file_path", exclude))
-    clean = [(nan_to_null(f.name) if f.dataType.typeName() in ("double", "float") else missing_to_null(f.name) if f.dataType.typeName() == "string" else F.col(f.name)).alias(f.name) for f in df.schema]
-    return df.select(*clean, *([F.col("_metadata.file_path").alias(file_column)] if file_column else []))
-
-
-def read_first(spark: SparkSession, folder: str, glob: str, schema: str) -> DataFrame:
-    """The first file by name of those that match; an error if none does."""
-    df = spark.read.schema(schema).option("header", True).option("pathGlobFilter", glob).csv(folder)
-    found = sorted(df.inputFiles())
-    if not found:
-        raise FileNotFoundError(f"no {glob} in {folder}")
-    name = unquote(found[0].rpartition("/")[2])
-    return read_csv(spark, folder, "".join(f"\\{c}" if c in "*?[]{}\\^," else c for c in name), schema)
-
-
 def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """The columns that are named, under their new names, in the order given; nothing else is read."""
     return df.select(*[F.col(a).alias(b) for a, b in names.items()])
@@ -67,11 +44,6 @@ def read_settings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(holds).select(k.alias("k"), v.alias("v"))
 
 
-def resolve_date(columns: list[str]) -> str:
-    """The first column whose name holds date or time, else the first."""
-    return next((c for c in columns if "date" in c.lower() or "time" in c.lower()), columns[0])
-
-
 def rename_synonyms(df: DataFrame, synonyms: dict[str, str]) -> DataFrame:
     """Renames the columns that are there; two that would get one name are refused."""
     hits = {a: b for a, b in synonyms.items() if a in df.columns}
