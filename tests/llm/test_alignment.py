@@ -97,6 +97,7 @@ def test_groups_hold_every_overlap():
         cuts = sorted({*a} & {*b})
         want = [(sum(x <= lo for x in a), sum(x <= hi for x in a), sum(x <= lo for x in b), sum(x <= hi for x in b)) for lo, hi in zip([0, *cuts], cuts)]
         assert alignment.groups(a, b) == want
+        assert len(alignment.overlaps(a, b)) == len(a)
         for k, (first, last) in enumerate(alignment.overlaps(a, b)):
             s, e = ([0, *a][k], a[k])
             assert [j for j in range(len(b)) if max(s, [0, *b][j]) < min(e, b[j])] == list(range(first, last + 1))

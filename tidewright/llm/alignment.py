@@ -5,8 +5,8 @@ from __future__ import annotations
 import functools
 import hashlib
 from array import array
-from bisect import bisect_left, bisect_right
-from itertools import accumulate
+from bisect import bisect_left
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import ByteBpe, Chunks
+from .tokens import ByteBpe
 
 #: Id pairs whose counts are broadcast (17 bytes each); more of them meet the documents by a shuffle.
 MAX_PAIRS = 4_000_000
-#: Links of a chunk that is remembered; a chunk with more is aligned with its whole text.
-CHUNK_LINKS = 4096
+#: Links and characters of a chunk that is remembered; a text with a larger one is aligned whole.
+CHUNK_LINKS, CHUNK_LENGTH = 4096, 4096
+#: Chunks kept by one Python worker, some 200 MB.
+KNOWN_CHUNKS = 600_000
 
 
 class PlainBpe(ByteBpe):
@@ -59,19 +61,21 @@ class Pieces:
 def overlaps(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
     """The first and last B token that each A token overlaps. The B tokens' ends are the static interval index (tokens
     follow each other, so an end is the next one's start); each A token stabs it at its first and last byte."""
-    starts = [0, *a_ends[:-1]]
-    return [(bisect_right(b_ends, s), bisect_left(b_ends, e)) for s, e in zip(starts, a_ends, strict=True)]
+    lasts = [bisect_left(b_ends, e) for e in a_ends]
+    return list(zip([0, *[j + (b_ends[j] == e) for j, e in zip(lasts, a_ends[:-1])]], lasts))
 
 
 def groups(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int, int]]:
     """(first A, behind the last A, first B, behind the last B) of each group. The gap behind an A token is spanned
     exactly if the next A token overlaps the same B token; gaps that no token spans are the boundaries."""
     found = overlaps(a_ends, b_ends)
-    out, a0, b0 = [], 0, 0
-    for k, (_, last) in enumerate(found):
-        if k + 1 == len(found) or found[k + 1][0] > last:
-            out.append((a0, k + 1, b0, last + 1))
-            a0, b0 = k + 1, last + 1
+    out, a0, b0, k = [], 0, 0, 0
+    for (_, last), (following, _) in zip(found, found[1:]):
+        k += 1
+        if following > last:
+            out.append((a0, k, b0, following))
+            a0, b0 = k, following
+    out.append((a0, len(a_ends), b0, len(b_ends)))
     return out
 
 
@@ -80,42 +84,61 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = PlainBpe(a_path), Pieces(b_path)
-        self.known = Chunks(self.chunk)
+        self.names = list(map(str, range(max(len(self.a.spelled), len(self.b.spelled)))))
+        self.a_sizes, self.b_sizes = list(map(len, self.a.spelled)), list(map(len, self.b.spelled))
+        #: By chunk: its groups as a string, its A tokens and a key for each link; None if its text has to be aligned whole.
+        self.known: dict[str, tuple[str, int, bytes] | None] = {}
 
-    def grouped(self, text: str, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """The A and B ids of each group; None if the tokens' bytes are not those of space + text."""
-        raw, a_bytes, b_bytes = f" {text}".encode(), [self.a.spelled[i] for i in a], [self.b.spelled[i] for i in b]
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-            return None
+    def spelled_by(self, text: str, a: list[int], b: list[int]) -> bool:
+        raw = f" {text}".encode()
+        return b"".join([self.a.spelled[i] for i in a]) == raw == b"".join([self.b.spelled[i] for i in b])
+
+    def grouped(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
+        """The A and B ids of each group."""
         if len(a) == 1 or len(b) == 1:
             return [(a, b)]
-        ends = [list(accumulate(map(len, x))) for x in (a_bytes, b_bytes)]
+        ends = list(accumulate([self.a_sizes[i] for i in a])), list(accumulate([self.b_sizes[i] for i in b]))
         return [(a[a0:a1], b[b0:b1]) for a0, a1, b0, b1 in groups(*ends)]
 
-    def chunk(self, text: str) -> tuple[str, int, bytes] | None:
-        """Groups as a string, A tokens, and a key for each link; None if the text it stands in has to be aligned whole."""
+    def chunk(self, text: str, b: list[int]) -> tuple[str, int, bytes] | None:
         a = array("I", self.a.ids_of(" " + text)).tolist()
-        found = self.grouped(text, a, self.b.encode(text))
-        if found is None or sum(len(x) * len(y) for x, y in found) > CHUNK_LINKS:
+        if not self.spelled_by(text, a, b):
             return None
-        keys = array("q", [i << 32 | j for x, y in found for i in x for j in y])
-        return written_out(found), len(a), keys.tobytes()
-
-    def text(self, text: str | None) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
-        """n_a, n_b, n_groups, the groups, and the distinct link keys with their occurrences."""
-        if not text:
-            return NOTHING
-        if self.b.chunked and (parts := self.a.chunks(" " + text)) is not None and parts[0] == "":
-            done = list(map(self.known.__getitem__, parts[1:]))
+        found = self.grouped(a, b)
+        keys = [i << 32 | j for x, y in found for i in x for j in y]
+        return (self.said(found), len(a), array("q", keys).tobytes()) if len(keys) <= CHUNK_LINKS else None
+
+    def said(self, found: list[tuple[list[int], list[int]]]) -> str:
+        names = self.names
+        return ";".join([f"{','.join([names[i] for i in x])}|{','.join([names[j] for j in y])}" for x, y in found])
+
+    def texts(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
+        """Of each text n_a, n_b, n_groups, the groups, and the distinct link keys with their occurrences. Chunks that
+        are new are encoded together. When too many are known, the newer half goes: frequent chunks came early."""
+        parts = [self.a.chunks(" " + t) if t and self.b.chunked else None for t in texts]
+        words = {w for p in parts if p for w in p[1:]}
+        new = [w for w in words if w not in self.known]
+        if self.known and len(self.known) + len(new) > KNOWN_CHUNKS:
+            self.known = dict(islice(self.known.items(), KNOWN_CHUNKS // 2))
+            new = [w for w in words if w not in self.known]
+        for w, b in zip(new, self.b.model.encode(new, num_threads=1), strict=True):
+            self.known[w] = self.chunk(w, b) if len(w) <= CHUNK_LENGTH else None
+        return [self.text(t, p) for t, p in zip(texts, parts, strict=True)]
+
+    def text(self, text: str | None, parts: list[str] | None) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
+        if parts is not None and parts[0] == "":
+            done = [self.known[w] for w in parts[1:]]
             if None not in done:
                 said, n_a, keys = zip(*done, strict=True)
                 joined, a = ";".join(said), sum(n_a)
                 n = joined.count(";") + 1
                 return a, joined.count(",") + 2 * n - a, n, joined, *np.unique(np.frombuffer(b"".join(keys), "i8"), return_counts=True)
+        if not text:
+            return NOTHING
         a, b = self.a.whole(" " + text), self.b.encode(text)
-        if not a or (found := self.grouped(text, a, b)) is None:
+        if not a or not self.spelled_by(text, a, b):
             return NOTHING
-        keys, times = [], []
+        found, keys, times = self.grouped(a, b), [], []
         for x, y in found:
             (i, n), (j, m) = np.unique(np.array(x, "i8"), return_counts=True), np.unique(np.array(y, "i8"), return_counts=True)
             keys.append((i[:, None] << 32 | j[None, :]).ravel())
@@ -123,16 +146,12 @@ class Aligner:
         keys, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.zeros(len(keys), "i8")
         np.add.at(total, at, np.concatenate(times))
-        return len(a), len(b), len(found), written_out(found), keys, total
+        return len(a), len(b), len(found), self.said(found), keys, total
 
 
 NOTHING = (0, 0, 0, "", np.zeros(0, "i8"), np.zeros(0, "i8"))
 
 
-def written_out(found: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in found])
-
-
 @functools.lru_cache(maxsize=2)
 def aligner(a_path: str, b_path: str) -> Aligner:
     """One per Python worker and pair of files; kept between tasks."""
@@ -146,8 +165,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, texts: bool = False) -> D
 
     def work(batches):
         align = aligner(a_path, b_path)
-        for batch in common.portions(batches, "text"):
-            found = [align.text(t.as_py()) for t in batch.column(1)]
+        for batch in common.portions(batches, "text", 1 << 20):
+            found = align.texts(batch.column(1).to_pylist())
             digests = [hashlib.sha256(x[3].encode()).hexdigest() if x[0] else "" for x in found]
             counts = [pa.array([x[k] for x in found], pa.int64()) for k in range(3)]
             lists = [pa.array([x[k] for x in found], pa.list_(pa.int64())) for k in (4, 5)]
