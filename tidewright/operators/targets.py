@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.columns import contains_any_case, falsy_coalesce
+from ..session import written
+from .cells import LEAF, cell_tree, nearest
 
 #: Kilometres in a degree, for planar distances.
 KM = 111
@@ -22,50 +23,36 @@ def planar_km(dlat: Column, dlon: Column) -> Column:
 def box_join(stations: DataFrame, targets: DataFrame, at: tuple[str, str], to: tuple[str, str], half: tuple[float, float]) -> DataFrame:
     """Pairs of a station and a target in its box: |to - at| <= half on both axes.
 
-    Stations go to the three cells (as wide as half a box) around theirs on the first axis, so the join is by cell
-    and no pair far apart is looked at.
+    Both axes are cut into cells as wide as half a box. A station goes to the nine cells around its own, a target to its
+    own, and they are joined by cell: where targets lie evenly, 9 / 4 of the pairs that are kept are looked at.
     """
-    width = max(float(half[0]), 1e-12)
-    cell = F.floor(F.col(at[0]) / width)
-    near = stations.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    far = targets.withColumn("_cell", F.floor(F.col(to[0]) / width))
+    cell = lambda c, h: F.floor(F.col(c).cast("double") / max(float(h), 1e-12))
+    around = lambda c, h: F.explode(F.array(*[cell(c, h) + k for k in (-1, 0, 1)]))
+    near = stations.withColumn("_i", around(at[0], half[0])).withColumn("_j", around(at[1], half[1]))
+    far = targets.withColumn("_i", cell(to[0], half[0])).withColumn("_j", cell(to[1], half[1]))
     inside = [F.col(t).between(F.col(a) - h, F.col(a) + h) for a, t, h in zip(at, to, half, strict=True)]
-    return near.join(far, "_cell").filter(inside[0] & inside[1]).drop("_cell")
+    return near.join(far, ["_i", "_j"]).filter(inside[0] & inside[1]).drop("_i", "_j")
 
 
-def best_target(stations: DataFrame, targets: DataFrame, station: str, at: tuple[str, str], to: tuple[str, str], preferred: Column, order: str, keep: list[str]) -> DataFrame:
-    """Per station the nearest of the preferred targets, or of all if none is preferred; ties by `order`.
+def best_target(stations: DataFrame, targets: DataFrame, station: str, at: tuple[str, str], to: tuple[str, str], preferred: Column, order: str, keep: list[str], leaf: int = LEAF) -> DataFrame:
+    """Per station the nearest of the preferred targets, or of all if none is preferred; ties by `order`, then by `keep`.
 
-    Both sides are dealt into square cells, and a station is compared with the targets of the nine cells around it.
-    What it finds there within a cell's width is the nearest; stations that find nothing so near go on with wider
-    cells. The first width is chosen so that a cell holds some targets. Rows with a null in a coordinate are left out.
+    Targets at one place are one point, with the first of them by `order`. Points are dealt into a tree of cells with
+    `leaf` points at most, so that a crowd of targets in one spot is split as often as it takes, and stations look for
+    theirs in rings over its cells (see cells.py). Rows with a null or not finite coordinate are left out.
     """
     spark = stations.sparkSession
-    places = stations.select(station, F.col(at[0]).cast("double").alias("_a"), F.col(at[1]).cast("double").alias("_b")).dropna()
+    finite = lambda *names: reduce(lambda a, b: a & b, [F.abs(F.col(c)) < float("inf") for c in names])  # noqa: E731  false for NaN and null
+    places = stations.select(station, F.col(at[0]).cast("double").alias("a"), F.col(at[1]).cast("double").alias("b")).filter(finite("a", "b"))
     offers = targets.filter(preferred)
-    offers = (targets if offers.isEmpty() else offers).select(F.col(to[0]).cast("double").alias("_x"), F.col(to[1]).cast("double").alias("_y"), F.col(order).alias("_o"), *[F.col(c).alias(f"k_{c}") for c in keep])
-    offers = offers.dropna(subset=["_x", "_y"])
-    bounds = [F.least(F.min("_x"), F.min("_a")), F.greatest(F.max("_x"), F.max("_a")), F.least(F.min("_y"), F.min("_b")), F.greatest(F.max("_y"), F.max("_b"))]
-    n, low, high, left, right = offers.unionByName(places.withColumn("_o", F.lit(None)), allowMissingColumns=True).agg(F.count("_x"), *bounds).first()
-    if not n or low is None:
+    offers = targets if offers.isEmpty() else offers
+    first = F.min(F.struct(F.col(order).alias("o"), *[F.col(c).alias(f"k_{c}") for c in keep])).alias("payload")
+    points = offers.withColumns({"x": F.col(to[0]).cast("double"), "y": F.col(to[1]).cast("double")}).filter(finite("x", "y")).groupBy("x", "y").agg(first)
+    tree = cell_tree(written(points), leaf)
+    if not tree:
         return spark.createDataFrame([], StructType([stations.schema[station], *[targets.schema[c] for c in keep], StructField("dist_km", DoubleType())]))
-    extent = max(high - low, right - left, 1e-9) * (1 + 1e-9)
-    width = max(extent / max(1.0, math.sqrt(n) / 4), 1e-9)
-    found, final = [], False
-    while not final:
-        final = width >= extent  # then nothing lies outside the nine cells
-        cell = lambda c: F.floor(F.col(c) / width)  # noqa: B023, E731
-        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        near = places.withColumn("_n", around).withColumn("_i", cell("_a") + F.col("_n.i")).withColumn("_j", cell("_b") + F.col("_n.j"))
-        pairs = near.join(offers.withColumn("_i", cell("_x")).withColumn("_j", cell("_y")), ["_i", "_j"])
-        rank = F.struct(planar_km(F.col("_x") - F.col("_a"), F.col("_y") - F.col("_b")).alias("dist_km"), "_o", *[f"k_{c}" for c in keep])
-        best = pairs.groupBy(station).agg(F.min(rank).alias("b")).select(station, *[F.col(f"b.k_{c}").alias(c) for c in keep], F.col("b.dist_km").alias("dist_km"))
-        best = best if final else best.filter(F.col("dist_km") <= width * KM * (1 - 1e-9))
-        found.append(best)
-        if not final:
-            places = places.join(best, station, "left_anti")
-            width, final = width * 4, places.isEmpty()
-    return reduce(DataFrame.unionByName, found)
+    best = nearest(places, tree, station, KM)
+    return best.select(station, *[F.col(f"best.payload.k_{c}").alias(c) for c in keep], F.col("best.distance").alias("dist_km"))
 
 
 def public(targets: DataFrame, access: str = "public") -> DataFrame:
