@@ -21,7 +21,7 @@ def odd(spark):
         (10, (prose + " ") * 40, "en", "a", 1, "x"),
         (11, "trailing space \n \n x", "en", "b", 1, "x"),
     ]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id string").selectExpr("*", "1 as size", "2 as rank", "3 as n", "4 as _text", "5 as copies")
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id string").selectExpr("*", "1 as size", "2 as rank", "3 as n", "4 as _text", "5 as copies", "6 as `a b`", "7 as `x.y`", "8 as `q``z`")
 
 
 @pytest.fixture(scope="session")

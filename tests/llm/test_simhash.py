@@ -100,6 +100,45 @@ def test_edited_copies_are_alike(spark, pair_bucket, monkeypatch):
     assert sorted(r.doc_id for r in simhash.one_of_alike(docs).collect()) == sorted(set(root))
 
 
+def kept_of(sets, threshold=0.8):
+    """The least of each component of sets that are alike."""
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    return sorted(set(root))
+
+
+@pytest.mark.parametrize(("pair_bucket", "block", "block_shingles"), [(0, 512, 1 << 20), (8, 512, 1 << 20), (8, 40, 1 << 20), (8, 512, 20_000), (10**6, 512, 1 << 20)])
+def test_dense_groups_lose_no_link(spark, pair_bucket, block, block_shingles, monkeypatch):
+    """300 texts off one of 400 words: most pairs are just under the threshold, some over it."""
+    for name, value in (("PAIR_BUCKET", pair_bucket), ("BLOCK", block), ("BLOCK_SHINGLES", block_shingles)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(11)
+    base, texts = [f"w{x}" for x in rng.integers(0, 9000, 400)], []
+    for k in range(300):
+        words = list(base)
+        for at in np.sort(rng.choice(60, 4 if k % 50 == 0 else 6, replace=False)) * 6 + 10:
+            words[at] = f"e{rng.integers(0, 3) if k % 3 else rng.integers(1 << 30)}"
+        texts.append(" ".join(words))
+    want = kept_of([{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 1 < len(want) < 290
+    assert sorted(r.doc_id for r in simhash.one_of_alike(docs).collect()) == want
+
+
+def test_shared_counts_every_shingle(monkeypatch):
+    monkeypatch.setattr(simhash, "COLUMNS", 7)
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 60, n)).astype("i8") for n in rng.integers(1, 50, 20)] + [np.array([999])]
+    left, right = np.arange(0, 12), np.arange(8, 21)
+    want = [[len(set(rows[i]) & set(rows[j])) for j in right] for i in left]
+    got = simhash.shared(rows, left, right)
+    assert all(got[a][b] == want[a][b] for a, i in enumerate(left) for b, j in enumerate(right) if i != j or len(rows[i]))
+
+
 @pytest.mark.parametrize("one_of", [simhash.one_of_each, simhash.one_of_alike])
 def test_rows_without_or_with_repeated_ids(spark, one_of):
     long = " ".join(f"word{k}" for k in range(300))

@@ -81,10 +81,15 @@ def id_key() -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(NO_ID))
 
 
+def named(column: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
 def row_ties(docs: DataFrame) -> DataFrame:
     """docs with _id and _tie (a hash of the row's columns): rows that agree in both are repeats of one row."""
-    hashed = [F.xxhash64(F.col(f"`{f.name}`")) for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), id_key().alias("_id"), F.xxhash64(*hashed).alias("_tie"))
+    hashed = [F.xxhash64(named(f.name)) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return docs.select(F.struct(*map(named, docs.columns)).alias("_row"), id_key().alias("_id"), F.xxhash64(*hashed).alias("_tie"))
 
 
 def id_remainder(modulus: int) -> Column:

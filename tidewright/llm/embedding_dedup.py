@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .simhash import components
+from .simhash import components, joined
 
 #: Tables of buckets, hashes in a bucket's key, and buckets each vector looks into in a table. Vectors of up to 64, of
 #: 256 and of 768 components at cosine 0.98 share a bucket of a table with probability 0.82, 0.76 and 0.70 (4,000 and
@@ -74,22 +74,6 @@ def units(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def joined(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """The least of n nodes that each one reaches over the links (i, j)."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, label[i], least)
-        np.minimum.at(new, label[j], least)
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def first_met(i: np.ndarray, j: np.ndarray, keys: np.ndarray, table: int, bucket: int) -> np.ndarray:
     """Whether this bucket is the first in which each of the pairs (i, j) meets: two vectors meet in the own bucket of
     either if the other looks into it."""

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -222,7 +223,7 @@ def identify(docs: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(names[pred], pa.string()), pa.array(score), pa.array(spans, kind)], [keep, "lang_pred", "score", "spans"])
 
     rows = common.ready(docs).select(keep, *([] if keep == "_row" else [F.col("text").cast("string").cast("binary").alias("text")]))
-    return rows.mapInArrow(work, f"{keep} {rows.schema[keep].dataType.simpleString()}, {FOUND}")
+    return rows.mapInArrow(work, StructType([rows.schema[keep], *StructType.fromDDL(FOUND)]))
 
 
 def held_out_model(docs: DataFrame, modulus: int = 3, held: int = 1) -> Model:
@@ -243,7 +244,7 @@ def with_language(docs: DataFrame, sure: float = 0.5) -> DataFrame:
     A prediction with a score under `sure` only fills a null lang. Where no language could be learned, lang stays as
     it is. Repeated rows and null ids are rows like others; a column of docs may have any name.
     """
-    rows, model = docs.select(F.struct(*docs.columns).alias("_row")), held_out_model(docs)
+    rows, model = docs.select(F.struct(*map(common.named, docs.columns)).alias("_row")), held_out_model(docs)
     if not model.languages:
         return rows.filter(F.col("_row.text").cast("string").rlike(r"\p{L}")).select("_row.*")
     found = identify(rows, model, "_row").filter("lang_pred <> 'und'")

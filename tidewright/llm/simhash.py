@@ -21,8 +21,10 @@ MAX_ROWS = 1_000_000
 BANDS, WIDTH = 20, 5
 #: Odd multipliers and masks of the BANDS * WIDTH orders of shingles.
 ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * WIDTH)).astype("u8") * np.uint64(2) + np.uint64(1)
-#: Texts of large buckets are compared with so many of theirs, which differ from bucket to bucket.
-HUBS = 2
+#: Texts, and their shingles, that a block of a large bucket has at most.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Shingles that two blocks are compared over at once.
+COLUMNS = 4096
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -178,24 +180,85 @@ def first_rows(docs: DataFrame, members: DataFrame) -> DataFrame:
     return out.select("_row.*")
 
 
-def alike_links(docs: DataFrame, prints: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """Links (a, b) between nodes whose sets of shingles have Jaccard likeness `threshold` or more.
-
-    Candidates share a band. All pairs of a small bucket are compared, and in a large one each text with HUBS of
-    the bucket's, so pairs grow with the texts and not with a bucket's square. prints: node, bands, _id, a row per row.
+def shared(rows: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The numbers of shingles that the rows `left` share with the rows `right`: products of 0/1 blocks, over the shingles
+    of two rows or more, COLUMNS at a time."""
+    sizes = np.array([len(x) for x in rows])
+    _, column, n = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(rows)), sizes)
+    rank = np.cumsum(n > 1) - 1  # among the shingles of two rows or more
+    both = n[column] > 1
+    row, column = row[both], rank[column[both]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), "f4")
+    for first in range(0, int(rank[-1]) + 1, COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        ones = np.zeros((len(rows), COLUMNS), "f4")
+        ones[row[a:b], column[a:b] - first] = 1
+        out += ones[left] @ ones[right].T
+    return out
+
+
+def dense_links(large: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that connect exactly the texts of a large bucket that are `threshold` alike.
+
+    Each text has one block: that of the first of its large buckets, whose texts are dealt into as many blocks as their
+    number and their shingles ask for. Two blocks (or one with itself) are compared if a bucket has texts of both; all
+    texts of the one with all of the other, as matrices. So nothing is left out in a bucket of any size, a text's
+    shingles go to the blocks that meet its own and not to each of its partners, and a task returns no pairs but one
+    connected text for each text.
+    """
+    home = large.groupBy("node").agg(F.min(F.struct("k", "key", "n", "total")).alias("h")).select("node", "h.*")
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES))
+    home = common.written(home.select("node", F.xxhash64("k", "key", F.pmod(F.xxhash64("node"), parts)).alias("block")), "alike-blocks")
+    seen = large.select("k", "key", "node").join(home, "node").groupBy("k", "key").agg(F.collect_set("block").alias("blocks"))
+    meet = seen.select(F.explode("blocks").alias("x"), "blocks").select("x", F.explode("blocks").alias("y")).filter("x <= y").distinct()
+    sent = meet.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block")).join(home, "block").join(own, "node")
+
+    def compare(key, table):
+        x, y = key[0].as_py(), key[1].as_py()
+        block, node = table.column("block").to_numpy(), table.column("node").to_numpy()
+        rows = table.column("own").combine_chunks().to_numpy(zero_copy_only=False)
+        left, right = (np.flatnonzero(block == z) for z in (x, y))
+        same, sizes = shared(list(rows), left, right).astype("f8"), np.array([len(r) for r in rows], "f8")
+        i, j = np.nonzero(same >= threshold * (sizes[left][:, None] + sizes[right][None, :] - same))
+        root = joined(left[i], right[j], len(rows))
+        apart = root != np.arange(len(rows))
+        return pa.table({"a": pa.array(node[root[apart]], pa.int64()), "b": pa.array(node[apart], pa.int64())})
+
+    return sent.select("x", "y", "block", "node", "own").groupBy("x", "y").applyInArrow(compare, "a long, b long")
+
+
+def joined(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The least of n nodes that each one reaches over the links (i, j)."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[i], label[j])
+        new = label.copy()
+        for at in (label[i], label[j], i, j):
+            np.minimum.at(new, at, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def alike_links(docs: DataFrame, prints: DataFrame, shingle: int, threshold: float, pair_bucket: int = -1) -> DataFrame:
+    """Links (a, b) that connect the nodes whose sets of shingles have Jaccard likeness `threshold` or more.
+
+    Candidates share a band. The pairs of a bucket of up to `pair_bucket` texts are joined and compared; larger buckets
+    are compared whole, block by block. prints: node, bands, size, _id, a row per row.
     """
-    classes = common.written(prints.groupBy("node").agg(F.min("_id").alias("_id"), F.first("bands").alias("bands")), "alike-classes")
-    rows = classes.select("node", F.posexplode("bands").alias("k", "key"))
-    order = lambda h: F.min(F.struct(F.xxhash64("node", "k", F.lit(h)).alias("o"), "node")).alias(f"h{h}")
-    sizes = rows.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n"), *map(order, range(HUBS))).filter("n > 1")
-    rows = common.written(rows.join(sizes.select("k", "key", "n", F.array(*[f"h{h}.node" for h in range(HUBS)]).alias("hubs")), ["k", "key"]), "alike-buckets")
-    small = rows.filter(F.col("n") <= PAIR_BUCKET)
+    pair_bucket = PAIR_BUCKET if pair_bucket < 0 else pair_bucket
+    classes = common.written(prints.groupBy("node").agg(F.min("_id").alias("_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "alike-classes")
+    rows = classes.select("node", "size", F.posexplode("bands").alias("k", "key"))
+    sizes = rows.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).filter("n > 1")
+    rows = common.written(rows.join(sizes, ["k", "key"]), "alike-buckets")
+    small, large = rows.filter(F.col("n") <= pair_bucket), rows.filter(F.col("n") > pair_bucket)
     a, b = small.select("k", "key", F.col("node").alias("a")), small.select("k", "key", F.col("node").alias("b"))
-    pairs = a.join(b, ["k", "key"]).filter("a < b").select("a", "b")
-    stars = rows.filter(F.col("n") > PAIR_BUCKET).select("node", F.explode("hubs").alias("hub")).filter("node <> hub")
-    pairs = common.written(pairs.unionByName(stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct(), "alike-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = classes.select("node", "_id").join(asked, "node", "left_semi")
+    pairs = common.written(a.join(b, ["k", "key"]).filter("a < b").select("a", "b").distinct(), "alike-pairs")
+    asked = classes.select("node", "_id").join(rows.select("node").distinct(), "node", "left_semi")
 
     def work(batches):
         for batch in common.portions(batches, "text"):
@@ -208,25 +271,27 @@ def alike_links(docs: DataFrame, prints: DataFrame, shingle: int, threshold: flo
     own = common.written(own.groupBy("node").agg(F.first("own").alias("own")), "alike-shingles")
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("own").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("sb")), "b")
     same = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(same >= threshold * (F.size("sa") + F.size("sb") - same)).select("a", "b")
+    found = both.filter(same >= threshold * (F.size("sa") + F.size("sb") - same)).select("a", "b")
+    return found.unionByName(dense_links(large, own, threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def one_of_alike(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row of docs of each component of texts whose sets of shingles have likeness `threshold` or more.
 
     Texts with the same words, lower case, are one node. The least id stays (null is the largest), then the least
-    hash of the row's columns. Links are verified exactly; candidates share a band of minima over the shingles,
-    because SimHash at a radius that a join can afford misses most copies near the threshold.
+    hash of the row's columns. Links are verified exactly, in buckets of any size; candidates share a band of minima
+    over the shingles (two texts at the threshold share one with probability 0.9996), because SimHash at a radius that
+    a join can afford misses most copies near the threshold.
     """
 
     def work(batches):
         for batch in common.portions(batches, "text"):
             found = [shingles(t.as_py(), shingle) for t in batch.column(2)]
             keys = np.array([bands(x[0]) for x in found]).reshape(len(found), BANDS)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([x[1] for x in found], pa.uint64()).view(pa.int64()), pa.array(list(keys.view("i8")), pa.list_(pa.int64()))], ["_id", "_tie", "node", "bands"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([x[1] for x in found], pa.uint64()).view(pa.int64()), pa.array(list(keys.view("i8")), pa.list_(pa.int64())), pa.array([len(x[0]) for x in found], pa.int64())], ["_id", "_tie", "node", "bands", "size"])
 
     rows = common.row_ties(common.ready(docs)).select("_id", "_tie", F.col("_row.text").cast("string").cast("binary").alias("text"))
-    prints = common.written(rows.mapInArrow(work, "_id long, _tie long, node long, bands array<long>"), "alike-prints")
+    prints = common.written(rows.mapInArrow(work, "_id long, _tie long, node long, bands array<long>, size long"), "alike-prints")
     named = components(alike_links(docs, prints, shingle, threshold)).groupBy("node").agg(F.min("component").alias("component"))
     members = prints.select("node", "_id", "_tie").join(named, "node", "left").select("_id", "_tie", F.coalesce("component", "node").alias("component"))
     return first_rows(docs, members)

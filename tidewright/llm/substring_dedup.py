@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -349,7 +350,7 @@ def deduplicated(docs: DataFrame, window: int = 20, **bounds: int) -> DataFrame:
     found, copies = duplicate_factors(docs, window, shared=shared, **bounds)
     marks = found.drop("factors").withColumn("_copy", F.lit(False)).unionByName(copies.withColumn("_copy", F.lit(True)), allowMissingColumns=True)
     text = F.col("_row.text").cast("string")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), common.id_key().alias("_id"), digest().alias("_digest"))
+    rows = docs.select(F.struct(*map(common.named, docs.columns)).alias("_row"), common.id_key().alias("_id"), digest().alias("_digest"))
     n, entries = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(F.coalesce("spans", F.array().cast("array<bigint>")))), F.lit(0))).first()
     marks = F.broadcast(marks) if n <= limit and entries <= MAX_SPANS else marks  # both bound what is sent
     rows = keyed(rows, shared, limit).join(marks, KEY, "left").withColumn("_text", text.cast("binary"))
@@ -374,7 +375,7 @@ def deduplicated(docs: DataFrame, window: int = 20, **bounds: int) -> DataFrame:
             yield pa.record_batch([batch.column(at["_row"]), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in (n, removed, runs))], ["_row", "kept_text", "n_words", "n_removed", "n_spans"])
 
     inner = rows.select("_row", "spans", "_copy", "_text")
-    return inner.mapInArrow(cut, f"_row {inner.schema['_row'].dataType.simpleString()}, kept_text string, n_words long, n_removed long, n_spans long")
+    return inner.mapInArrow(cut, StructType([inner.schema["_row"], *StructType.fromDDL("kept_text string, n_words long, n_removed long, n_spans long")]))
 
 
 def digests(docs: DataFrame) -> DataFrame:
