@@ -237,58 +237,6 @@ def test_all_stations(spark):
     assert said["stations"]["B"] == {"dahiti_id": 9, "target_name": "near"} and dt.datetime.strptime(said["downloaded_at"], "%Y-%m-%d %H:%M")
 
 
-class Grid:
-    """A dataset in memory with the parts of one that are read: named axes, slices along one, values."""
-
-    def __init__(self, dims, values, coords, name="dis24"):
-        self.dims, self.values, self.coords, self.data_vars = dims, values, coords, ["crs", name]
-
-    def __getitem__(self, name):
-        return Grid((name,), self.coords[name], {}) if name in self.coords else Grid(self.dims, self.values, self.coords)
-
-    def isel(self, at):
-        ((axis, part),) = at.items()
-        return Grid(self.dims, self.values[tuple(part if d == axis else slice(None) for d in self.dims)], self.coords)
-
-    def transpose(self, *dims):
-        return Grid(dims, np.transpose(self.values, [self.dims.index(d) for d in dims]), self.coords)
-
-
-def grid_of(content):
-    if content.startswith(b"bad"):
-        raise OSError("not a grid")
-    times = np.array(["2020-01-01", "2020-01-02", "2020-02-01"], "M8[ns]")
-    if content.startswith(b"late"):  # the last of its times cannot be read
-        times = np.array(["2020-01-01", "x"], object)
-    return Grid(("latitude", "time", "lon"), np.arange(18, dtype="f4").reshape(2, 3, 3), {"time": times, "valid_time": times, "latitude": np.array([1.0, 2.0]), "lon": np.array([3.0, 4.0, 5.0])})
-
-
-@pytest.mark.parametrize("cells", [1, 6, 12, 1000])
-def test_grid_slices(cells):
-    parts = list(services.slices(grid_of(b""), cells=cells))
-    rows = [tuple(r.values()) for p in parts for r in p.to_pylist()]
-    want = [(dt.datetime(2020, *d), lat, lon, float(9 * i + 3 * k + j)) for k, d in enumerate(((1, 1), (1, 2), (2, 1))) for i, lat in enumerate((1.0, 2.0)) for j, lon in enumerate((3.0, 4.0, 5.0))]
-    assert rows == want and len(parts) == {1: 3, 6: 3, 12: 2, 1000: 1}[cells]
-    flat = services.slices(Grid(("valid_time",), np.array([1.0, 2.0]), {"valid_time": np.array(["2020-01-01", "2020-01-02"], "M8[ns]")}))
-    assert [tuple(r.values())[1:] for p in flat for r in p.to_pylist()] == [(None, None, 1.0), (None, None, 2.0)]
-    with pytest.raises(ValueError):
-        list(services.slices(Grid(("lat",), np.array([1.0]), {"lat": np.array([1.0])})))
-
-
-def test_grid_files(spark, tmp_path):
-    for name, content in {"glofas_1.nc": b"good", "glofas_2.nc": b"bad", "glofas_3.nc": b"late", "other.txt": b"good"}.items():
-        (tmp_path / name).write_bytes(content)
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    df = services.read_grids(spark, str(tmp_path), "glofas_*.nc", opener=grid_of)
-    rows = {(r.file.rpartition("/")[2], r.error is not None): r.n for r in df.groupBy("file", "error").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert rows == {("glofas_1.nc", False): 18, ("glofas_2.nc", True): 1, ("glofas_3.nc", True): 1}
-    month = monthly.discharge_by_month(df.filter("error is null")).orderBy("month_start").collect()
-    assert [r.glofas_discharge_m3s for r in month] == [np.mean([np.mean([0, 1, 2, 9, 10, 11]), np.mean([3, 4, 5, 12, 13, 14])]), np.mean([6, 7, 8, 15, 16, 17])]
-    assert services.read_grids(spark, str(tmp_path), "none_*.nc").count() == 0
-
-
 def test_names(spark):
     assert files.resolve_date(["x", "Valid_TIME"]) == "Valid_TIME" and files.resolve_date(["x", "y"]) == "x"
     df = spark.createDataFrame([(1, 2)], "time int, valid_time int")

@@ -113,4 +113,10 @@ ORACLE_SQL = {
         "select o_orderkey, case when o_orderpriority <> '1-URGENT' then o_totalprice end as value, case when o_orderpriority = '1-URGENT' then o_orderkey || ',not read' end as line from orders"
     ),
     "named_file_round_trip": "select c_name, c_custkey, c_acctbal, 'waterlevel_nation_id' || c_nationkey || '.csv' as file from customer",
+    "gridded_monthly_mean": (
+        "with cells as (select l_returnflag as f, l_shipdate as t, l_linenumber, l_suppkey, max(l_quantity) as v from lineitem group by 1, 2, 3, 4), "
+        "steps as (select f, t, avg(v) as v from cells where t >= timestamp '1994-03-10 00:00:00' and t < timestamp '1997-06-15 00:00:00' group by 1, 2), "
+        "months as (select f, cast(date_trunc('month', t) as date) as month_start, avg(v) as v from steps group by 1, 2) "
+        "select 'lines' as station, month_start, round(avg(v), 6) as mean_value from months group by month_start"
+    ),
 }

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import contains_any_case, falsy_coalesce, holds_none, json_value, key_value, month_floor, month_number
 from ..operators import align, features, report, requests, rollup, targets
 from ..session import shared_folder
-from ..sources import files, named_files
+from ..sources import files, grids, named_files
+from . import monthly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -272,3 +273,18 @@ def named_file_round_trip(spark, folder):
     named_files.write_named(customers, to, F.format_string("waterlevel_%s_id%d.csv", F.lit("nation"), "c_nationkey"), ["c_custkey"], bom=True)
     found = files.read_csv(spark, to, "waterlevel_*.csv", "c_name string, c_custkey long, c_acctbal double", file_column="file")
     return found.withColumn("file", F.element_at(F.split("file", "/"), -1))
+
+
+def cell_files(spark, folder):
+    """The line items as gridded files, one for each flag: a cell for each time, line number and supplier."""
+    lines, to = table(spark, folder, "lineitem"), shared_folder(spark)
+    cells = lines.groupBy("l_returnflag", F.col("l_shipdate").alias("time"), F.col("l_linenumber").cast("double").alias("lat"), F.col("l_suppkey").cast("double").alias("lon")).agg(F.max("l_quantity").alias("quantity"))
+    cells.repartition("l_returnflag").sortWithinPartitions("l_returnflag", "time", "lat", "lon").write.partitionBy("l_returnflag").parquet(to)
+    return to
+
+
+@query
+def gridded_monthly_mean(spark, folder):
+    cells = grids.read_grids(spark, cell_files(spark, folder), "*.parquet", opener=grids.CellFile, columns=("file", "time", "value"), cells=5000)
+    some = cells.filter((F.col("time") >= F.lit("1994-03-10").cast("timestamp_ntz")) & (F.col("time") < F.lit("1997-06-15").cast("timestamp_ntz")))
+    return monthly.discharge_by_month(some, "lines", "mean_value").withColumn("mean_value", F.round("mean_value", 6))

@@ -1,18 +1,14 @@
-"""A JSON service as a Python data source, and gridded files."""
+"""A JSON service as a Python data source."""
 
 from __future__ import annotations
 
 import importlib
-import io
 import json
-import math
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -75,71 +71,6 @@ class ServiceSource(DataSource):
         return ServiceReader(self.options)
 
 
-def dataset_of(content: bytes):
-    """A gridded file's content as a dataset, by xarray where that is installed."""
-    return importlib.import_module("xarray").open_dataset(io.BytesIO(content))
-
-
-GRID = "time timestamp_ntz, lat double, lon double, value double"
-
-
-def slices(dataset, variable: str | None = None, cells: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """The cells of a dataset's variable (the first that is not crs unless named) in the columns of GRID.
-
-    Times are read some at a time, so that a batch has about `cells` cells at most. time goes before valid_time.
-    """
-    name = variable or next(v for v in dataset.data_vars if v != "crs")
-    times = next((t for t in ("time", "valid_time") if t in dataset.coords), None)
-    if times is None:
-        raise ValueError(f"no time among {list(dataset.coords)}")
-    axes = {c: next((n for n in names if n in dataset[name].dims), None) for c, names in (("lat", ("lat", "latitude")), ("lon", ("lon", "longitude")))}
-    stamps = np.atleast_1d(np.asarray(dataset[times].values)).astype("datetime64[us]")
-    by_time = times in dataset[name].dims
-    order = [*([times] if by_time else []), *[d for d in axes.values() if d]]
-    area = math.prod(len(np.atleast_1d(np.asarray(dataset[d].values))) for d in axes.values() if d)
-    step = max(1, cells // max(1, area)) if by_time else 1
-    for k in range(0, len(stamps) if by_time else 1, step):
-        part = dataset[name].isel({times: slice(k, k + step)}) if by_time else dataset[name]
-        values = np.asarray(part.transpose(*order).values, "f8")
-        values = values if by_time else values[None]
-        shape = [values.shape[0], *[len(np.asarray(dataset[d].values)) for d in axes.values() if d]]
-        values, n, at = values.reshape(shape), values.size, 1
-        columns = [pa.array(np.broadcast_to(stamps[k : k + shape[0]].reshape(-1, *[1] * (len(shape) - 1)), shape).ravel(), pa.timestamp("us"))]
-        for d in axes.values():
-            if d is None:
-                columns.append(pa.nulls(n, pa.float64()))
-                continue
-            own = np.asarray(dataset[d].values, "f8")
-            columns.append(pa.array(np.broadcast_to(own.reshape([-1 if i == at else 1 for i in range(len(shape))]), shape).ravel()))
-            at += 1
-        yield pa.record_batch([*columns, pa.array(values.ravel())], ["time", "lat", "lon", "value"])
-
-
-def read_grids(spark: SparkSession, folder: str, glob: str = "*.nc", variable: str | None = None, opener: Callable = dataset_of) -> DataFrame:
-    """file, time, lat, lon, value and error of gridded files, which Spark lists and reads wherever they are.
-
-    A file that fails gives one row with its error and none of its cells: it is looked through once before any row is
-    given. opener makes a dataset of a file's content.
-    """
-
-    def read(batches):
-        for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                try:
-                    dataset = opener(content.as_py())
-                    for _ in slices(dataset, variable):
-                        pass
-                except Exception as e:  # a bad file is reported as a row, and the others are read
-                    yield pa.record_batch([pa.array([path.as_py()]), pa.nulls(1, pa.timestamp("us")), *[pa.nulls(1, pa.float64())] * 3, pa.array([f"{type(e).__name__}: {e}"])], ["file", "time", "lat", "lon", "value", "error"])
-                    continue
-                for part in slices(dataset, variable):
-                    yield pa.record_batch([pa.array([path.as_py()] * part.num_rows), *part.columns, pa.nulls(part.num_rows, pa.string())], ["file", *part.schema.names, "error"])
-
-    ship(spark)
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    return found.select("path", "content").mapInArrow(read, f"file string, {GRID}, error string")
-
-
 def register(spark: SparkSession) -> None:
     ship(spark)
     spark.dataSource.register(ServiceSource)
