@@ -8,7 +8,7 @@ from tidewright.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ROWS = {"feature_pipeline": 77, "outer_join_two_keys": 487, "outer_join_chain": 84, "lag_features": 80, "request_grid": 14_274, "explode_cross_product": 32_000}
+ROWS = {"feature_pipeline": 77, "outer_join_two_keys": 487, "outer_join_chain": 84, "lag_features": 80, "request_grid": 7 * 366, "explode_cross_product": 32_000}
 
 
 @pytest.fixture(scope="module")

@@ -85,7 +85,7 @@ ORACLE_SQL = {
     "coalesce_falsy_id": 'select c_custkey, coalesce(nullif(c_nationkey, 0), cast(c_custkey as int)) as target_id from customer',
     "request_grid": (
         "select y, g.name, lpad(cast(m as varchar), 2, '0') as mm, lpad(cast(d as varchar), 2, '0') as dd, concat('glofas_', cast(y as varchar), '_', g.name, "
-        "'.nc') as out_file from (select cast(unnest(range(1985, 2024)) as int) as y) cross join (select name, unnest(ms) as m, lim from (values ('31days', "
+        "'.nc') as out_file from (select distinct cast(year(o_orderdate) as int) as y from orders) cross join (select name, unnest(ms) as m, lim from (values ('31days', "
         "[1,3,5,7,8,10,12], 31), ('30days', [4,6,9,11], 30), ('29days', [2], 29)) v(name, ms, lim)) g cross join lateral (select unnest(range(1, g.lim + 1)) as "
         'd)'
     ),
@@ -119,4 +119,8 @@ ORACLE_SQL = {
         "months as (select f, cast(date_trunc('month', t) as date) as month_start, avg(v) as v from steps group by 1, 2) "
         "select 'lines' as station, month_start, round(avg(v), 6) as mean_value from months group by month_start"
     ),
+    "valid_requests": (
+        "with c as (select c_custkey, c_nationkey as n, c_mktsegment as s, cast(floor(c_acctbal / 1000) as int) as b from customer) "
+        "select c_custkey from c a where exists (select 1 from c r where r.n = a.n % 24 and r.s = a.s) and exists (select 1 from c r where r.n = a.n % 24 and r.b = a.b * 2 - 3)"
+    ),
 }

@@ -178,7 +178,8 @@ def coalesce_falsy_id(spark, folder):
 
 @query
 def request_grid(spark, folder):
-    return requests.request_days(requests.requests(spark))
+    years = table(spark, folder, "orders").select(F.year("o_orderdate").alias("y"))
+    return requests.request_days(requests.requests(spark, years=years))
 
 
 @query
@@ -288,3 +289,14 @@ def gridded_monthly_mean(spark, folder):
     cells = grids.read_grids(spark, cell_files(spark, folder), "*.parquet", opener=grids.CellFile, columns=("file", "time", "value"), cells=5000)
     some = cells.filter((F.col("time") >= F.lit("1994-03-10").cast("timestamp_ntz")) & (F.col("time") < F.lit("1997-06-15").cast("timestamp_ntz")))
     return monthly.discharge_by_month(some, "lines", "mean_value").withColumn("mean_value", F.round("mean_value", 6))
+
+
+@query
+def valid_requests(spark, folder):
+    """Customers asking for a nation, a segment and a band of balances, of records that list what each nation has."""
+    customers = table(spark, folder, "customer")
+    band = F.floor(F.col("c_acctbal") / 1000).cast("int")
+    records = customers.groupBy("c_nationkey").agg(F.collect_set("c_mktsegment").alias("segment"), F.collect_set(band.cast("string")).alias("band"))
+    records = records.select(F.array(F.col("c_nationkey").cast("string")).alias("nation"), "segment", "band")
+    asked = customers.select("c_custkey", (F.col("c_nationkey") % 24).alias("nation"), F.col("c_mktsegment").alias("segment"), (band * 2 - 3).alias("band"))
+    return requests.valid(asked, records, {"nation": "nation", "segment": "segment", "band": "band"}).select("c_custkey")
