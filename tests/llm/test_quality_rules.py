@@ -53,6 +53,19 @@ def test_cheap_and_selective_comes_first(spark):
     assert {r.failed_rule for r in quality_rules.cascade(df, df.limit(100), rules).collect()} == {"half", "slow_half", "few", None} - ({"few"} if orders[0].index("few") > orders[0].index("slow_half") else set())
 
 
+def test_sample_covers_a_sorted_table(spark):
+    """In a table sorted by quality, the first rows would put the rule that never fires on the others first."""
+    df = spark.range(0, 40_000, 1, 16).select(F.col("id").alias("doc_id"), (F.col("id") < 2000).alias("bad"))
+    few, rest = quality_rules.Rule("few", F.col("bad")), quality_rules.Rule("rest", ~F.col("bad"))
+    sample = quality_rules.sampled(df)
+    assert 350 < sample.count() < 650 and sample.select(F.spark_partition_id()).distinct().count() == 16
+    assert sample.collect() == quality_rules.sampled(df).collect()
+    share = {r[0].name: r[1] for r in quality_rules.ordered(sample, [few, rest])}
+    assert 0.01 < share["few"] < 0.12 and share["rest"] > 0.85
+    assert {r[0].name: r[1] for r in quality_rules.ordered(df.limit(500), [few, rest])} == {"few": 1.0, "rest": 0.0}
+    assert quality_rules.sampled(df.limit(100)).count() == 100
+
+
 def brute_kept(text):
     text = text or ""
     n, chars, symbols, dup, _, failed = brute(text)

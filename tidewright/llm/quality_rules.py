@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Cost and selectivity are estimated on so many rows at most (a bounded sample; verdicts never depend on it), each
-#: taken so many times in a run, and so many runs.
+#: Cost and selectivity are estimated on some so many rows (a sample over the whole table, which verdicts never depend
+#: on), each taken so many times in a run, and so many runs.
 SAMPLE_ROWS, REPEATS, RUNS = 500, 20, 2
 
 
@@ -109,6 +109,12 @@ def ordered(sample: DataFrame, rules: list[Rule]) -> list[tuple[Rule, float, flo
     return sorted(found, key=lambda x: (-x[1] / x[2], x[0].name))
 
 
+def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Some `rows` rows, each drawn by itself wherever it lies; all of a smaller table. A rerun draws the same ones."""
+    n = docs.count()
+    return docs if n <= rows else docs.sample(False, rows / n, 42)
+
+
 def cascade(measured: DataFrame, sample: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Adds failed_rule: the first rule, in the order found best on the sample, that rejects the row; null if none does.
 
@@ -129,7 +135,7 @@ def judged(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """
     base = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     ready = lambda df: measures(df.select("doc_id", "text")).withColumn("base_failed", base)
-    df = cascade(ready(docs), ready(docs.limit(SAMPLE_ROWS)), [Rule("base", F.col("base_failed")), *(default_rules() if rules is None else rules)])
+    df = cascade(ready(docs), ready(sampled(docs)), [Rule("base", F.col("base_failed")), *(default_rules() if rules is None else rules)])
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return df.select("doc_id", *counts, "base_failed", F.col("failed_rule").isNull().alias("kept"), "failed_rule")
 
