@@ -123,4 +123,13 @@ ORACLE_SQL = {
         "with c as (select c_custkey, c_nationkey as n, c_mktsegment as s, cast(floor(c_acctbal / 1000) as int) as b from customer) "
         "select c_custkey from c a where exists (select 1 from c r where r.n = a.n % 24 and r.s = a.s) and exists (select 1 from c r where r.n = a.n % 24 and r.b = a.b * 2 - 3)"
     ),
+    "lags_by_range": (
+        "select event_id, ts, value, lag(value, 1) over w as value_lag_1, lag(value, 2) over w as value_lag_2, lag(value, 7) over w as value_lag_7 "
+        "from events window w as (order by ts nulls last, event_id)"
+    ),
+    "incremental_rollup": (
+        "select o_orderpriority as station, cast(date_trunc('month', o_orderdate) as date) as month_start, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as total, "
+        "cast(sum(cast(o_totalprice as decimal(18,2))) as double) / count(o_totalprice) as mean_value, max(o_totalprice) as highest, min(o_totalprice) as lowest, "
+        "count(o_totalprice) as n from orders group by 1, 2"
+    ),
 }

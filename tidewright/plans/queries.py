@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import contains_any_case, falsy_coalesce, holds_none, json_value, key_value, month_floor, month_number
-from ..operators import align, features, report, requests, rollup, targets
+from ..operators import align, features, incremental, report, requests, rollup, targets
 from ..session import shared_folder
 from ..sources import files, grids, named_files
 from . import monthly
@@ -300,3 +300,23 @@ def valid_requests(spark, folder):
     records = records.select(F.array(F.col("c_nationkey").cast("string")).alias("nation"), "segment", "band")
     asked = customers.select("c_custkey", (F.col("c_nationkey") % 24).alias("nation"), F.col("c_mktsegment").alias("segment"), (band * 2 - 3).alias("band"))
     return requests.valid(asked, records, {"nation": "nation", "segment": "segment", "band": "band"}).select("c_custkey")
+
+
+@query
+def lags_by_range(spark, folder):
+    events = table(spark, folder, "events").select("event_id", "ts", "value")
+    return features.add_lags_by_range(events, "ts", {"value": [1, 2, 7]}, ("event_id",), part_rows=1000)
+
+
+@query
+def incremental_rollup(spark, folder):
+    """Orders as CSV files that arrive in three loads, the last of which changes a file; the state is then finished."""
+    orders, to, state = table(spark, folder, "orders"), shared_folder(spark), shared_folder(spark)
+    rows = orders.select(F.concat(F.lit("orders_"), "o_orderstatus", F.lit(".csv")).alias("_name"), F.col("o_orderpriority").alias("station"), F.col("o_orderdate").alias("date"), F.col("o_totalprice").alias("value"))
+    loads = [rows.filter("_name like '%F.csv' and station > '3'"), rows.filter("_name like '%P.csv' or _name like '%O.csv'"), rows.filter("_name like '%F.csv'")]
+    for load in loads:
+        named_files.write_named(load, to, "_name", ["date", "station", "value"])
+        read = lambda names: files.read_csv(spark, to, "*.csv", "station string, date date, value double", file_column="file", only=names)
+        incremental.update(spark, state, to, "*.csv", read, ["station"], "date", ["value"], decimals=2)
+    spec = {"total": ("value", "sum"), "mean_value": ("value", "mean"), "highest": ("value", "max"), "lowest": ("value", "min"), "n": ("value", "count")}
+    return incremental.monthly(spark, state, ["station"], spec)

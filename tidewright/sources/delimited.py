@@ -37,13 +37,20 @@ def first_line(spark: SparkSession, uri: str) -> str | None:
         reader.close()
 
 
-def headers(spark: SparkSession, folder: str, glob: str, exclude: Iterable[str] = ()) -> dict[tuple[str, ...], list[str]]:
-    """The files of a folder that match, by the names in their first line; empty files and excluded paths are left out.
+def plain(uri: str) -> str:
+    """A listed file's address as _metadata.file_path has it."""
+    return uri.replace("file:///", "file:/", 1)
+
+
+def headers(spark: SparkSession, folder: str, glob: str, exclude: Iterable[str] = (), only: Iterable[str] | None = None) -> dict[tuple[str, ...], list[str]]:
+    """The files of a folder that match, by the names in their first line; empty files and excluded paths are left out,
+    and with `only` those that it does not name (as _metadata.file_path has them).
 
     Spark lists the files; of each the first buffer is read, as in the inference of a schema.
     """
     found = spark.read.schema("value string").option("pathGlobFilter", glob).text(_escaped(folder)).inputFiles()
     found = sorted(f for f in found if not any(part in unquote(f) for part in exclude))
+    found = found if only is None else [f for f in found if plain(f) in set(only)]
     with ThreadPoolExecutor(THREADS) as pool:
         lines = list(pool.map(lambda f: first_line(spark, f), found))
     out: dict[tuple[str, ...], list[str]] = {}
@@ -94,7 +101,7 @@ def _typed(value: Column, field: StructField) -> Column:
 
 def read_checked(
     spark: SparkSession, folder: str, glob: str, schema: str | StructType, exclude: Iterable[str] = (), file_column: str = "file", synonyms: Mapping[str, Iterable[str]] | None = None,
-    date: str | None = None, prefer: bool = False, required: Iterable[str] = (), separator: str = ",", multi_line: bool = False,
+    date: str | None = None, prefer: bool = False, required: Iterable[str] = (), separator: str = ",", multi_line: bool = False, only: Iterable[str] | None = None,
 ) -> DataFrame:
     """The columns of `schema` of every file that matches, by name, with file_column, and with `wrong` and `line`.
 
@@ -108,7 +115,7 @@ def read_checked(
     """
     wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     scans = []
-    for header, paths in headers(spark, folder, glob, exclude).items():
+    for header, paths in headers(spark, folder, glob, exclude, only).items():
         at = positions(header, wanted.names, synonyms, date, prefer)
         if lacking := set(required) - set(at):
             raise ValueError(f"no {sorted(lacking)} in {paths[0]}: {list(header)}")
@@ -149,7 +156,7 @@ def quarantined(checked: DataFrame, path: str, file_column: str = "file") -> tup
     Both sides are written in the same pass, under path. counts comes from an observation of that pass: rows, wrong, and
     for each file (up to COUNTED_FILES of them) its path with the number of its wrong rows.
     """
-    files = [f.replace("file:///", "file:/", 1) for f in checked.inputFiles()]  # as _metadata.file_path has it
+    files = [plain(f) for f in checked.inputFiles()]
     spark, watch = checked.sparkSession, Observation("quarantine")
     each = [F.count_if(F.col("wrong").isNotNull() & (F.col(file_column) == f)).alias(f"file{k}") for k, f in enumerate(files)] if len(files) <= COUNTED_FILES else []
     seen = checked.observe(watch, F.count(F.lit(1)).alias("rows"), F.count("wrong").alias("wrong"), *each)
