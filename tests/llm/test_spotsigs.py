@@ -65,9 +65,10 @@ def test_texts_that_share_two_thirds_are_alike(spark):
     assert len(rows) > 800 and min(r.near_edited for r in rows) > 0.1 and sum(r.near_edited > r.near_next for r in rows) > 0.95 * len(rows)
 
 
-@pytest.mark.parametrize("frequent", [1000, 20])
-def test_links_of_the_query(tiny, odd, frequent, monkeypatch):
-    monkeypatch.setattr(spotsigs, "FREQUENT", frequent)
+@pytest.mark.parametrize(("frequent", "slots", "together", "max_rows"), [(1000, 16_384, 256, 10**6), (20, 8, 2, 0)])
+def test_links_of_the_query(tiny, odd, frequent, slots, together, max_rows, monkeypatch):
+    for name, value in (("FREQUENT", frequent), ("SLOTS", slots), ("TOGETHER", together), ("MAX_ROWS", max_rows)):
+        monkeypatch.setattr(spotsigs, name, value)
     for docs, every in ((tiny, 5), (odd, 2)):
         rows = [(r.doc_id, sets(r.text)) for r in docs.collect()]
         want = sorted((a, sum(jaccard(s, t) >= 0.8 for _, t in rows) - 1) for a, s in rows if a is not None and a % every == 0)
@@ -103,6 +104,26 @@ def test_ids_of_any_kind(spark):
         assert sorted(r.n_chars for r in rows) == sorted(map(len, texts))
 
 
+def test_pairs_of_a_dense_group_are_made_once(spark, monkeypatch):
+    """120 near copies, all asked about: a pair comes out of the join at its first common signature only."""
+    base = [f"word{k}" for k in range(200)]
+    texts = [" ".join(w if j != 3 * k % 200 else f"other{k}" for j, w in enumerate(base)) for k in range(120)] + ["a text of its own " * 9]
+    docs = spark.createDataFrame([(k * 5, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    made, written = [], spotsigs.common.written
+
+    def watched(df, name):
+        out = written(df, name)
+        if name == "spotsigs-pairs":
+            made.append((out.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(spotsigs.common, "written", watched)
+    got = {r.doc_id: r.n_similar for r in spotsigs.fingerprinted(docs, 5).collect()}
+    own = [sets(t) for t in texts]
+    assert got == {k * 5: sum(jaccard(s, t) >= 0.8 for t in own) - 1 for k, s in enumerate(own)}
+    assert made[0][0] == made[0][1] <= 121 * 120
+
+
 def test_search_finds_all(tiny):
     rows = [(r.doc_id, sets(r.text)) for r in tiny.collect()]
     queries = tiny.filter("doc_id % 10 = 0")

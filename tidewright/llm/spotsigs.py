@@ -27,6 +27,8 @@ BUCKET_ROWS = 2000
 FREQUENT = 1000
 #: Beyond so many texts asked about, their counts meet the rows by a shuffle join and not by a broadcast.
 MAX_ROWS = 1_000_000
+#: Slots in which signatures are counted first, and asked sets of one signature that are kept in one row, about.
+SLOTS, TOGETHER = 16_384, 256
 
 
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -65,27 +67,44 @@ def likeness(a: str, b: str) -> Column:
     return same / (F.size(a) + F.size(b) - same)
 
 
+def frequent(classes: DataFrame) -> DataFrame:
+    """often: the array of signatures with one of FREQUENT places or more; FREQUENT of them at most.
+
+    Places are counted by slots of signatures first, so that only signatures of full slots are counted by themselves.
+    """
+    each = classes.select(F.explode("s").alias("x"))
+    slots = common.written(each.groupBy(F.pmod("x", F.lit(SLOTS)).alias("slot")).agg(F.count(F.lit(1)).alias("n")), "spotsigs-slots")
+    least = (slots.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + FREQUENT - 1) // FREQUENT
+    full = F.broadcast(slots.filter(F.col("n") >= max(1, least)).select("slot"))  # FREQUENT at most
+    counts = each.withColumn("slot", F.pmod("x", F.lit(SLOTS))).join(full, "slot", "left_semi").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter(F.col("n") >= max(1, least)).agg(F.collect_list("x").alias("often"))
+
+
 def links(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b, likeness) of an asked class a and another class b that are at least `threshold` alike.
 
     classes: key, s (a set of signatures), asked. Sets are partitioned by length: with bounds a factor threshold
     apart, a set's partners lie in its partition or one beside it. Of each set only a prefix is joined, rare
     signatures first, so long that sets without a common one in it cannot reach the threshold; pairs whose lengths
-    alone rule it out are pruned before sets are compared.
+    alone rule it out are pruned before sets are compared. The asked sets of a partition and signature stand together
+    in rows of some TOGETHER, so a set meets rows and not pairs, and a pair is made at its first common signature only.
     """
     n = F.size("s")
-    total = classes.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
-    often = classes.select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * FREQUENT >= total)
-    often = F.broadcast(often.agg(F.collect_list("x").alias("often")).withColumn("one", F.lit(1)))  # FREQUENT at most
+    often = F.broadcast(frequent(classes).withColumn("one", F.lit(1)))  # a row
     rare_first = F.concat(F.array_except("s", "often"), F.array_intersect("s", "often"))
     prefix = F.slice(rare_first, 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
     part = F.floor(F.log(n) / -math.log(threshold)).cast("int")
     rows = common.written(classes.withColumn("one", F.lit(1)).join(often, "one").select("key", "asked", n.alias("n"), part.alias("part"), prefix.alias("prefix")), "spotsigs-prefixes")
-    asked = rows.filter("asked").select(F.col("key").alias("a"), F.col("n").alias("na"), F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part"), "prefix")
-    asked = asked.select("a", "na", "part", F.explode("prefix").alias("sig"))
-    every = rows.select(F.col("key").alias("b"), F.col("n").alias("nb"), "part", F.explode("prefix").alias("sig"))
-    pairs = asked.join(every, ["part", "sig"]).filter(F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
-    pairs = common.written(pairs.filter("a <> b").select("a", "b").distinct(), "spotsigs-pairs")
+    placed = lambda df, *more: df.select(*more, F.posexplode("prefix").alias("at", "sig"))
+    asked = rows.filter("asked").select("key", "n", "prefix", F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part"))
+    asked = placed(asked, "key", "n", "part", "prefix").withColumn("before", F.slice("prefix", 1, F.col("at"))).drop("prefix", "at")
+    crowd = asked.groupBy("part", "sig").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("crowd"))
+    asked = asked.join(crowd, ["part", "sig"]).withColumn("salt", F.pmod(F.xxhash64("key"), F.col("crowd")))
+    who = common.written(asked.groupBy("part", "sig", "salt").agg(F.collect_list(F.struct("key", "n", "before")).alias("who")), "spotsigs-asked")
+    every = placed(rows, F.col("key").alias("b"), F.col("n").alias("nb"), "part", "prefix").withColumn("own_before", F.slice("prefix", 1, F.col("at")))
+    met = every.drop("prefix", "at").join(common.smaller(who.drop("salt"), MAX_ROWS), ["part", "sig"])
+    fits = lambda w: (w["key"] != F.col("b")) & (F.least(w["n"], F.col("nb")) >= F.greatest(w["n"], F.col("nb")) * threshold) & ~F.arrays_overlap(w["before"], F.col("own_before"))
+    pairs = common.written(met.select(F.explode(F.transform(F.filter("who", fits), lambda w: w["key"])).alias("a"), "b"), "spotsigs-pairs")
     sets = lambda side, name: classes.select(F.col("key").alias(side), F.col("s").alias(name))
     found = pairs.join(sets("a", "sa"), "a").join(sets("b", "sb"), "b")
     return found.select("a", "b", likeness("sa", "sb").alias("likeness")).filter(F.col("likeness") >= threshold)
@@ -154,14 +173,9 @@ def beside_next(df: DataFrame, carry: list[str], prepared: Callable[[DataFrame],
     return every.withColumns({f"next_{c}": F.lead(c).over(w) for c in carry}).filter("not _copy").drop("_copy", "bucket")
 
 
-def edited_likeness(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, own, a row per row.
-
-    The edited text has its last third replaced by the start of the next document's text, by descending doc_id
-    (a null id is the largest; rows of equal id follow a hash of their texts; after the last comes the first).
-    A fingerprint is the whole set of signatures (column own) in hex: as long as the text has anchors.
-    Null texts are empty. Other columns are ignored; an empty table gives no row.
-    """
+def edited_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, own and new (the signatures of the text and of the edited text), near_edited and
+    near_next; see edited_likeness."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     df = docs.select("doc_id", common.id_key().alias("_id"), text.alias("text")).withColumn("_tie", F.xxhash64("text"))
     df = beside_next(df, ["text", "own"], lambda rows: with_signatures(rows, "text", "own"))
@@ -170,22 +184,42 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     df = df.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", common.once(edited))
     df = df.drop("text", "next_text").withColumn("edited_sha256", F.sha2("edited", 256))
     df = with_signatures(df, "edited", "new").drop("edited")
-    return df.select("doc_id", "n_chars", "edited_sha256", fingerprint("own").alias("fingerprint"), fingerprint("new").alias("edited_fingerprint"), likeness("own", "new").alias("near_edited"), likeness("own", "next_own").alias("near_next"), "own")
+    return df.select("doc_id", "n_chars", "edited_sha256", "own", "new", likeness("own", "new").alias("near_edited"), likeness("own", "next_own").alias("near_next"))
+
+
+def shown(sets: DataFrame, *more: str) -> DataFrame:
+    return sets.select("doc_id", "n_chars", "edited_sha256", fingerprint("own").alias("fingerprint"), fingerprint("new").alias("edited_fingerprint"), "near_edited", "near_next", *more)
+
+
+def edited_likeness(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, own, a row per row.
+
+    The edited text has its last third replaced by the start of the next document's text, by descending doc_id
+    (a null id is the largest; rows of equal id follow a hash of their texts; after the last comes the first).
+    A fingerprint is the whole set of signatures (column own) in hex: as long as the text has anchors.
+    Null texts are empty. Other columns are ignored; an empty table gives no row.
+    """
+    return shown(edited_sets(docs), "own")
 
 
 def fingerprinted(docs: DataFrame, every: int = 100, threshold: float = 0.8) -> DataFrame:
     """The columns of edited_likeness without own, and n_similar: for rows whose id `every` divides, how many other
-    rows are at least `threshold` like them; null for others."""
+    rows are at least `threshold` like them; null for others.
+
+    Rows with equal sets are one class, whose set is that of one of them; classes are searched and not rows.
+    """
     asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
-    rows = common.written(edited_likeness(docs).withColumn("key", F.md5("fingerprint")).withColumn("asked", asked), "spotsigs-rows")
-    classes = classes_of(rows.select("key", F.col("own").alias("s"), "asked"))
-    members = classes.select(F.col("key").alias("b"), "members")
-    found = links(classes, threshold).join(members, "b").groupBy(F.col("a").alias("key")).agg(F.sum("members").alias("others"))
-    counts = classes.filter("asked").join(found, "key", "left").select("key", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"))
+    rows = edited_sets(docs).withColumn("key", F.md5(F.col("own").cast("string"))).withColumn("asked", asked)
+    rows = common.written(rows.withColumn("_row", F.monotonically_increasing_id()), "spotsigs-rows")
+    sizes = rows.groupBy("key").agg(F.min("_row").alias("_row"), F.max("asked").alias("asked"), F.count(F.lit(1)).alias("members"))
+    sizes = common.written(sizes, "spotsigs-classes")
+    classes = rows.select("_row", F.col("own").alias("s")).join(common.smaller(sizes, MAX_ROWS), "_row").select(F.col("_row").alias("key"), "s", "asked")
+    found = links(classes, threshold).join(sizes.select(F.col("_row").alias("b"), "members"), "b").groupBy(F.col("a").alias("_row")).agg(F.sum("members").alias("others"))
+    counts = sizes.filter("asked").join(found, "_row", "left").select("key", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"))
     out = rows.join(common.smaller(common.written(counts, "spotsigs-counts"), MAX_ROWS), "key", "left")
-    return out.withColumn("n_similar", F.when(F.col("asked"), F.col("n_similar"))).drop("key", "asked", "own")
+    return shown(out.withColumn("n_similar", F.when(F.col("asked"), F.col("n_similar"))), "n_similar")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op4: the contract's columns."""
-    return edited_likeness(common.documents(spark, sf_dir)).drop("own")
+    """op4: the contract's columns, and for every id that 100 divides the number of rows like it at 0.8 or more."""
+    return fingerprinted(common.documents(spark, sf_dir))
