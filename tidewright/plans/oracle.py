@@ -132,4 +132,15 @@ ORACLE_SQL = {
         "cast(sum(cast(o_totalprice as decimal(18,2))) as double) / count(o_totalprice) as mean_value, max(o_totalprice) as highest, min(o_totalprice) as lowest, "
         "count(o_totalprice) as n from orders group by 1, 2"
     ),
+    "public_targets": (
+        "select cast(s_suppkey as int) as input_pos, cast(case when s_suppkey % 3 > 0 then s_suppkey else s_suppkey + 1000 end as int) as dahiti_id, "
+        "case when s_nationkey > 5 then s_name else '' end as target_name, 'River' as type, case when s_nationkey > 3 then cast(s_nationkey as double) else 0.0e0 end as latitude, "
+        "0.0e0 as longitude from supplier where s_acctbal > 2000"
+    ),
+    "outlier_flag": "select c_custkey, c_acctbal, coalesce(c_acctbal > 8000, false) as is_outlier from customer",
+    "first_file": "select s_name, s_suppkey from supplier where s_nationkey = (select min(s_nationkey) from supplier)",
+    "water_level_answers": (
+        "select cast(user_id as varchar) as station, cast(user_id as int) as dahiti_id, 'user ' || user_id as target_name, '' as target_lat, value as water_level_m, "
+        "cast(null as double) as water_level_err_m, cast(date_trunc('second', ts) as timestamp) as date from events where user_id % 7 <> 0"
+    ),
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import contains_any_case, falsy_coalesce, holds_none, json_value, key_value, month_floor, month_number
 from ..operators import align, features, incremental, report, requests, rollup, targets
 from ..session import shared_folder
-from ..sources import files, grids, named_files
+from ..sources import files, grids, named_files, water_levels
 from . import monthly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -320,3 +320,40 @@ def incremental_rollup(spark, folder):
         incremental.update(spark, state, to, "*.csv", read, ["station"], "date", ["value"], decimals=2)
     spec = {"total": ("value", "sum"), "mean_value": ("value", "mean"), "highest": ("value", "max"), "lowest": ("value", "min"), "n": ("value", "count")}
     return incremental.monthly(spark, state, ["station"], spec)
+
+
+@query
+def public_targets(spark, folder):
+    """Suppliers as targets, some closed, some without an id, a name or a place of their own."""
+    s = table(spark, folder, "supplier")
+    offers = s.select(
+        F.col("s_suppkey").cast("int").alias("input_pos"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey")).otherwise(0).cast("int").alias("dahiti_id"), (F.col("s_suppkey") + 1000).cast("int").alias("id"),
+        F.when(F.col("s_nationkey") > 5, F.col("s_name")).alias("target_name"), F.lit("River").alias("type"), F.when(F.col("s_nationkey") > 3, F.col("s_nationkey").cast("double")).alias("latitude"),
+        F.lit(None).cast("double").alias("longitude"), F.struct(F.when(F.col("s_acctbal") > 2000, "public").when(F.col("s_acctbal") > 0, "restricted").alias("water_level_altimetry")).alias("data_access"),
+    )
+    return targets.public(offers)
+
+
+@query
+def outlier_flag(spark, folder):
+    return features.flag_above(table(spark, folder, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", 8000.0)
+
+
+@query
+def first_file(spark, folder):
+    to = shared_folder(spark)
+    rows = table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    named_files.write_named(rows, to, F.format_string("dahiti_waterlevel_n_id%02d.csv", "s_nationkey"), ["s_suppkey"])
+    return files.read_first(spark, to, "dahiti_waterlevel_*.csv", "s_name string, s_suppkey long")
+
+
+@query
+def water_level_answers(spark, folder):
+    """Each user's events as a service's answer, whose fields go by several names; one in seven has no target."""
+    events = table(spark, folder, "events")
+    of = lambda date, level: F.create_map(F.lit("id"), F.col("event_id").cast("string"), F.lit(date), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(level), F.col("value").cast("string"))
+    row = F.when(F.col("user_id") % 2 == 0, of("datetime", "wse")).otherwise(of("Time_UTC", "water_level"))
+    answers = events.groupBy("user_id").agg(F.to_json(F.struct(F.collect_list(row).alias("data"), F.create_map(F.lit("target_name"), F.concat(F.lit("user "), F.first("user_id").cast("string"))).alias("target"))).alias("answer"))
+    answers = answers.select(F.col("user_id").cast("string").alias("name"), "answer")
+    chosen = events.filter(F.col("user_id") % 7 != 0).select(F.col("user_id").cast("string").alias("station"), F.col("user_id").cast("int").alias("dahiti_id")).distinct()
+    return water_levels.water_levels(answers, chosen).select("station", "dahiti_id", "target_name", "target_lat", "water_level_m", "water_level_err_m", "date")
