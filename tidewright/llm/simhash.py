@@ -22,9 +22,11 @@ BANDS, WIDTH = 20, 5
 #: Odd multipliers and masks of the BANDS * WIDTH orders of shingles.
 ORDERS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * WIDTH)).astype("u8") * np.uint64(2) + np.uint64(1)
 #: Texts, and their shingles, that a block of a large bucket has at most.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+#: Rounds in which texts of shared buckets gather in homes.
+GATHER = 2
 #: Shingles that two blocks are compared over at once.
-COLUMNS = 4096
+COLUMNS = 2048
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -203,15 +205,24 @@ def shared(rows: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.nd
 def dense_links(large: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) that connect exactly the texts of a large bucket that are `threshold` alike.
 
-    Each text has one block: that of the first of its large buckets, whose texts are dealt into as many blocks as their
-    number and their shingles ask for. Two blocks (or one with itself) are compared if a bucket has texts of both; all
-    texts of the one with all of the other, as matrices. So nothing is left out in a bucket of any size, a text's
+    Each text has one block. It takes the largest of its buckets as its home, and then, GATHER times, the home that most
+    texts have among those it shares a bucket with, so that texts which share buckets have few homes; the texts of a
+    home are dealt into as many blocks as their number and their shingles ask for.
+    Two blocks (or one with itself) are compared if a bucket has texts of both; all texts of the one with all of the
+    other, as matrices. So nothing is left out in a bucket of any size, a text's
     shingles go to the blocks that meet its own and not to each of its partners, and a task returns no pairs but one
     connected text for each text.
     """
-    home = large.groupBy("node").agg(F.min(F.struct("k", "key", "n", "total")).alias("h")).select("node", "h.*")
-    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES))
-    home = common.written(home.select("node", F.xxhash64("k", "key", F.pmod(F.xxhash64("node"), parts)).alias("block")), "alike-blocks")
+    home = large.groupBy("node").agg(F.max(F.struct("n", "k", "key")).alias("h")).select("node", "h.k", "h.key")
+    members = large.select("node", "size", F.col("k").alias("bk"), F.col("key").alias("bkey"))
+    for _ in range(GATHER):
+        chosen = home.join(home.groupBy("k", "key").agg(F.count(F.lit(1)).alias("m")), ["k", "key"])
+        first = members.join(chosen, "node").groupBy("bk", "bkey").agg(F.max(F.struct("m", "k", "key")).alias("h"))
+        home = common.written(members.join(first, ["bk", "bkey"]).groupBy("node").agg(F.max("h").alias("h")).select("node", "h.k", "h.key"), "alike-homes")
+    home = home.join(members.groupBy("node").agg(F.first("size").alias("size")), "node")
+    homes = home.groupBy("k", "key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("parts"))
+    home = home.join(homes, ["k", "key"])
+    home = common.written(home.select("node", F.xxhash64("k", "key", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block")), "alike-blocks")
     seen = large.select("k", "key", "node").join(home, "node").groupBy("k", "key").agg(F.collect_set("block").alias("blocks"))
     meet = seen.select(F.explode("blocks").alias("x"), "blocks").select("x", F.explode("blocks").alias("y")).filter("x <= y").distinct()
     sent = meet.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block")).join(home, "block").join(own, "node")
@@ -225,6 +236,8 @@ def dense_links(large: DataFrame, own: DataFrame, threshold: float) -> DataFrame
         i, j = np.nonzero(same >= threshold * (sizes[left][:, None] + sizes[right][None, :] - same))
         root = joined(left[i], right[j], len(rows))
         apart = root != np.arange(len(rows))
+        if sizes.sum() > BLOCK_SHINGLES // 4:
+            common.give_back()
         return pa.table({"a": pa.array(node[root[apart]], pa.int64()), "b": pa.array(node[apart], pa.int64())})
 
     return sent.select("x", "y", "block", "node", "own").groupBy("x", "y").applyInArrow(compare, "a long, b long")
@@ -253,7 +266,7 @@ def alike_links(docs: DataFrame, prints: DataFrame, shingle: int, threshold: flo
     pair_bucket = PAIR_BUCKET if pair_bucket < 0 else pair_bucket
     classes = common.written(prints.groupBy("node").agg(F.min("_id").alias("_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "alike-classes")
     rows = classes.select("node", "size", F.posexplode("bands").alias("k", "key"))
-    sizes = rows.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).filter("n > 1")
+    sizes = rows.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = common.written(rows.join(sizes, ["k", "key"]), "alike-buckets")
     small, large = rows.filter(F.col("n") <= pair_bucket), rows.filter(F.col("n") > pair_bucket)
     a, b = small.select("k", "key", F.col("node").alias("a")), small.select("k", "key", F.col("node").alias("b"))
