@@ -67,7 +67,7 @@ def test_texts_that_share_two_thirds_are_alike(spark):
 
 @pytest.mark.parametrize(("frequent", "slots", "together", "max_rows"), [(1000, 16_384, 256, 10**6), (20, 8, 2, 0)])
 def test_links_of_the_query(tiny, odd, frequent, slots, together, max_rows, monkeypatch):
-    for name, value in (("FREQUENT", frequent), ("SLOTS", slots), ("TOGETHER", together), ("MAX_ROWS", max_rows)):
+    for name, value in (("FREQUENT", frequent), ("SLOTS", slots), ("TOGETHER", together), ("MAX_ROWS", max_rows), ("MAX_HELD", max_rows)):
         monkeypatch.setattr(spotsigs, name, value)
     for docs, every in ((tiny, 5), (odd, 2)):
         rows = [(r.doc_id, sets(r.text)) for r in docs.collect()]

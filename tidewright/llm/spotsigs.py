@@ -29,6 +29,8 @@ FREQUENT = 1000
 MAX_ROWS = 1_000_000
 #: Slots in which signatures are counted first, and asked sets of one signature that are kept in one row, about.
 SLOTS, TOGETHER = 16_384, 256
+#: Numbers (four or eight bytes each) in the asked sets' rows that are broadcast at most; more of them are shuffled.
+MAX_HELD = 4_000_000
 
 
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -102,7 +104,9 @@ def links(classes: DataFrame, threshold: float) -> DataFrame:
     asked = asked.join(crowd, ["part", "sig"]).withColumn("salt", F.pmod(F.xxhash64("key"), F.col("crowd")))
     who = common.written(asked.groupBy("part", "sig", "salt").agg(F.collect_list(F.struct("key", "n", "before")).alias("who")), "spotsigs-asked")
     every = placed(rows, F.col("key").alias("b"), F.col("n").alias("nb"), "part", "prefix").withColumn("own_before", F.slice("prefix", 1, F.col("at")))
-    met = every.drop("prefix", "at").join(common.smaller(who.drop("salt"), MAX_ROWS), ["part", "sig"])
+    held = F.sum(F.aggregate("who", F.lit(0).cast("long"), lambda a, w: a + F.size(w["before"]) + 8))
+    who = F.broadcast(who.drop("salt")) if (who.agg(held).first()[0] or 0) <= MAX_HELD else who.drop("salt")
+    met = every.drop("prefix", "at").join(who, ["part", "sig"])
     fits = lambda w: (w["key"] != F.col("b")) & (F.least(w["n"], F.col("nb")) >= F.greatest(w["n"], F.col("nb")) * threshold) & ~F.arrays_overlap(w["before"], F.col("own_before"))
     pairs = common.written(met.select(F.explode(F.transform(F.filter("who", fits), lambda w: w["key"])).alias("a"), "b"), "spotsigs-pairs")
     sets = lambda side, name: classes.select(F.col("key").alias(side), F.col("s").alias(name))
