@@ -13,7 +13,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts that share 0.8 of their five-word shingles the document of least id stays."""
+    """Of each component of texts that share 0.8 of their five-word shingles the document of least id stays.
+    Candidates are near SimHash fingerprints, and texts in a band of minima for likeness beyond their radius."""
     return simhash.one_of_alike(docs)
 
 

@@ -147,3 +147,20 @@ def test_rows_without_or_with_repeated_ids(spark, one_of):
     assert sorted(r.source for r in one_of(docs).collect()) == ["a", "c", "d", "e", "f"]
     groups = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
     assert groups == {(1, 1), (None, 1), (None, None), (7, 7)}
+
+
+@pytest.mark.parametrize("pair_bucket", [0, 8])
+def test_alike_links_come_from_fingerprints(spark, pair_bucket):
+    """Texts that share no band: near fingerprints alone bring them together, and their shingles decide."""
+    base = [f"w{k}" for k in range(2000)]
+    texts = [" ".join(base), " ".join([*base[:-1], "x"]), " ".join([*base[:-1], "y"]), "quite another text than those", " ".join(f"v{k}" for k in range(400))]
+    found = [simhash.shingles(t.encode()) for t in texts]
+    fps = [simhash.majority(x[0]) for x in found]
+    assert all((fps[0] ^ f).bit_count() <= 2 for f in fps[1:3])
+    fps[3] = fps[0]  # near, but not alike
+    as_long = lambda x: int(np.uint64(x).view("i8"))
+    prints = [(as_long(x[1]), as_long(f), [k * 100 + b for b in range(simhash.BANDS)], len(x[0]), k) for k, (x, f) in enumerate(zip(found, fps, strict=True))]
+    prints = spark.createDataFrame(prints, "node long, fp long, bands array<long>, size long, _id long")
+    links = simhash.alike_links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), prints, 5, 0.8, pair_bucket)
+    of = {r.node: r.component for r in simhash.components(links).collect()}
+    assert set(of) == {as_long(x[1]) for x in found[:3]} and len(set(of.values())) == 1

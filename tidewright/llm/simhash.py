@@ -39,12 +39,17 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
         return xxhash.xxh64_intdigest(joined, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1)
     begin = [0, *ends[: n - 1].tolist()]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, "i8")
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(begin, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-    for k in range(0, n, 65536):
+    digest = xxhash.xxh64_intdigest
+    return majority([digest(joined[a:b], SEED) for a, b in zip(begin, (ends[shingle - 1 :] - 1).tolist(), strict=True)])
+
+
+def majority(hashes) -> int:
+    """The SimHash of 64-bit hashes: each bit that is set in over half of them."""
+    ones = np.zeros(64, "i8")
+    for k in range(0, len(hashes), 65536):
         part = np.array(hashes[k : k + 65536], ">u8")
         ones += np.unpackbits(part.view("u1").reshape(-1, 8), axis=1).sum(axis=0, dtype="i8")
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, *carry: str) -> DataFrame:
@@ -59,6 +64,18 @@ def fingerprints(docs: DataFrame, shingle: int = 3, *carry: str) -> DataFrame:
     return common.ready(docs).select(F.col("doc_id").cast("long"), *carry, F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(work, ", ".join(f"{c} long" for c in ("doc_id", *carry, "fp")))
 
 
+def signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
+def block_masks(bits: int, blocks: int) -> list[int]:
+    """Masks of each choice of blocks - bits of the blocks: fingerprints at `bits` or fewer bits agree under one at least."""
+    if not 1 <= bits <= 2 or 64 % blocks or blocks <= bits:
+        raise ValueError("bits must be 1 or 2, and blocks a divisor of 64 above bits")
+    width = 64 // blocks
+    return [sum(((1 << width) - 1) << (width * b) for b in chosen) for chosen in combinations(range(blocks), blocks - bits)]
+
+
 def near_links(classes: DataFrame, bits: int = 2, blocks: int = 4, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
     """Links (a, b) between classes (fp, node) that connect exactly the fingerprints at `bits` (1 or 2) or fewer bits.
 
@@ -68,11 +85,7 @@ def near_links(classes: DataFrame, bits: int = 2, blocks: int = 4, pair_bucket:
     value exactly if they are two bits or fewer apart, and no value is named by more fingerprints than it has
     neighbours, so groups stay small whatever the bucket's size.
     """
-    if not 1 <= bits <= 2 or 64 % blocks or blocks <= bits:
-        raise ValueError("bits must be 1 or 2, and blocks a divisor of 64 above bits")
-    width = 64 // blocks
-    masks = [sum(((1 << width) - 1) << (width * b) for b in chosen) for chosen in combinations(range(blocks), blocks - bits)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    masks = block_masks(bits, blocks)
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(masks)])
     rows = classes.select("fp", "node", F.explode(keys).alias("x")).select("fp", "node", "x.k", "x.key")
     sizes = rows.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -257,20 +270,24 @@ def joined(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def alike_links(docs: DataFrame, prints: DataFrame, shingle: int, threshold: float, pair_bucket: int = -1) -> DataFrame:
+def alike_links(docs: DataFrame, prints: DataFrame, shingle: int, threshold: float, pair_bucket: int = -1, bits: int = 2, blocks: int = 4) -> DataFrame:
     """Links (a, b) that connect the nodes whose sets of shingles have Jaccard likeness `threshold` or more.
 
-    Candidates share a band. The pairs of a bucket of up to `pair_bucket` texts are joined and compared; larger buckets
-    are compared whole, block by block. prints: node, bands, size, _id, a row per row.
+    Candidates are the fingerprints within `bits` bits (joined on near_links' blocks, verified by Hamming distance) and,
+    as likeness reaches further than that, the texts that share a band. The pairs of a bucket of up to `pair_bucket` texts
+    are joined and compared; larger buckets are compared whole, block by block. prints: node, fp, bands, size, _id, a
+    row per row.
     """
     pair_bucket = PAIR_BUCKET if pair_bucket < 0 else pair_bucket
-    classes = common.written(prints.groupBy("node").agg(F.min("_id").alias("_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "alike-classes")
-    rows = classes.select("node", "size", F.posexplode("bands").alias("k", "key"))
+    classes = common.written(prints.groupBy("node").agg(F.min("_id").alias("_id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "alike-classes")
+    near = F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in block_masks(bits, blocks)])
+    rows = classes.select("node", "size", "fp", F.posexplode(F.concat("bands", near)).alias("k", "key"))  # blocks come behind the bands
     sizes = rows.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = common.written(rows.join(sizes, ["k", "key"]), "alike-buckets")
     small, large = rows.filter(F.col("n") <= pair_bucket), rows.filter(F.col("n") > pair_bucket)
-    a, b = small.select("k", "key", F.col("node").alias("a")), small.select("k", "key", F.col("node").alias("b"))
-    pairs = common.written(a.join(b, ["k", "key"]).filter("a < b").select("a", "b").distinct(), "alike-pairs")
+    a, b = (small.select("k", "key", F.col("node").alias(x), F.col("fp").alias("f" + x)) for x in "ab")
+    kept = (F.col("k") < BANDS) | (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= bits)
+    pairs = common.written(a.join(b, ["k", "key"]).filter("a < b").filter(kept).select("a", "b").distinct(), "alike-pairs")
     asked = classes.select("node", "_id").join(rows.select("node").distinct(), "node", "left_semi")
 
     def work(batches):
@@ -292,19 +309,19 @@ def one_of_alike(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> D
     """One row of docs of each component of texts whose sets of shingles have likeness `threshold` or more.
 
     Texts with the same words, lower case, are one node. The least id stays (null is the largest), then the least
-    hash of the row's columns. Links are verified exactly, in buckets of any size; candidates share a band of minima
-    over the shingles (two texts at the threshold share one with probability 0.9996), because SimHash at a radius that
-    a join can afford misses most copies near the threshold.
+    hash of the row's columns. Candidates are near SimHash fingerprints of the sets and, because SimHash at a radius
+    that a join can afford misses most copies near the threshold, texts that share a band of minima over the shingles
+    (two texts at the threshold share one with probability 0.9996). All are verified exactly, in buckets of any size.
     """
 
     def work(batches):
         for batch in common.portions(batches, "text"):
             found = [shingles(t.as_py(), shingle) for t in batch.column(2)]
             keys = np.array([bands(x[0]) for x in found]).reshape(len(found), BANDS)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([x[1] for x in found], pa.uint64()).view(pa.int64()), pa.array(list(keys.view("i8")), pa.list_(pa.int64())), pa.array([len(x[0]) for x in found], pa.int64())], ["_id", "_tie", "node", "bands", "size"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([x[1] for x in found], pa.uint64()).view(pa.int64()), pa.array(np.array([majority(x[0]) for x in found], "u8").view("i8")), pa.array(list(keys.view("i8")), pa.list_(pa.int64())), pa.array([len(x[0]) for x in found], pa.int64())], ["_id", "_tie", "node", "fp", "bands", "size"])
 
     rows = common.row_ties(common.ready(docs)).select("_id", "_tie", F.col("_row.text").cast("string").cast("binary").alias("text"))
-    prints = common.written(rows.mapInArrow(work, "_id long, _tie long, node long, bands array<long>, size long"), "alike-prints")
+    prints = common.written(rows.mapInArrow(work, "_id long, _tie long, node long, fp long, bands array<long>, size long"), "alike-prints")
     named = components(alike_links(docs, prints, shingle, threshold)).groupBy("node").agg(F.min("component").alias("component"))
     members = prints.select("node", "_id", "_tie").join(named, "node", "left").select("_id", "_tie", F.coalesce("component", "node").alias("component"))
     return first_rows(docs, members)
