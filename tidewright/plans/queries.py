@@ -276,11 +276,18 @@ def named_file_round_trip(spark, folder):
     return found.withColumn("file", F.element_at(F.split("file", "/"), -1))
 
 
+#: Rows of a row group of a gridded file.
+GROUP_ROWS = 20_000
+
+
 def cell_files(spark, folder):
-    """The line items as gridded files, one for each flag: a cell for each time, line number and supplier."""
+    """The line items as gridded files, one for each flag and year, so that no file grows with the table alone and no
+    month lies in two of a flag's: a cell for each time, line number and supplier. Row groups are small, for tasks read whole ones."""
     lines, to = table(spark, folder, "lineitem"), shared_folder(spark)
     cells = lines.groupBy("l_returnflag", F.col("l_shipdate").alias("time"), F.col("l_linenumber").cast("double").alias("lat"), F.col("l_suppkey").cast("double").alias("lon")).agg(F.max("l_quantity").alias("quantity"))
-    cells.repartition("l_returnflag").sortWithinPartitions("l_returnflag", "time", "lat", "lon").write.partitionBy("l_returnflag").parquet(to)
+    cells = cells.withColumn("year", F.year("time"))
+    placed = cells.repartition("l_returnflag", "year").sortWithinPartitions("l_returnflag", "year", "time", "lat", "lon")
+    placed.write.option("parquet.block.row.count.limit", GROUP_ROWS).partitionBy("l_returnflag", "year").parquet(to)
     return to
 
 

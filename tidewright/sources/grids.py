@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 import json
 import math
@@ -63,8 +64,9 @@ class LabelledGrid:
 
 
 class CellFile:
-    """A Parquet file of cells (time, lat, lon and values), whose rows ascend by time. Only the time column is read to
-    plan, and then the row groups that hold the steps asked for."""
+    """A Parquet file of cells (time, lat, lon and values), whose rows ascend by time. To plan, only the time column is
+    read, a row group at a time; a task then reads the row groups that hold its rows, and no time axis. `least` keeps
+    tasks from sharing a row group among many of them, as each would read all of it."""
 
     def __init__(self, path: str, variable: str | None = None):
         import pyarrow.parquet as pq
@@ -75,19 +77,45 @@ class CellFile:
         self.variable = variable or next(n for n in names if n not in ("time", "lat", "lon"))
         if "time" not in names:
             raise ValueError(f"no time among {names}")
-        time = self.file.read(["time"]).column(0).cast(pa.timestamp("us")).to_numpy()
-        if len(time) and (time[1:] < time[:-1]).any():
-            raise ValueError("rows do not ascend by time")
-        self.times, first = np.unique(time, return_index=True)
-        self.rows = np.append(first, len(time))
-        self.area = max(1, len(time) // max(1, len(self.times)))
+        groups = [self.file.metadata.row_group(k).num_rows for k in range(self.file.num_row_groups)]
+        self.ends, self.least = np.cumsum([0, *groups]), max(groups, default=0)
+
+    @functools.cached_property
+    def axis(self) -> tuple[np.ndarray, np.ndarray]:
+        """The steps, and the first row of each, with the number of rows behind them."""
+        times, rows = [np.zeros(0, "M8[us]")], [np.zeros(0, "i8")]
+        for k in range(self.file.num_row_groups):
+            time = self.file.read_row_group(k, ["time"]).column(0).cast(pa.timestamp("us")).to_numpy()
+            if len(time) and ((time[1:] < time[:-1]).any() or (len(times[-1]) and time[0] < times[-1][-1])):
+                raise ValueError("rows do not ascend by time")
+            new = np.flatnonzero(np.append(np.ones(min(1, len(time)), bool), time[1:] != time[:-1]))
+            if len(new) and len(times[-1]) and time[0] == times[-1][-1]:
+                new = new[1:]
+            if len(new):
+                times.append(time[new])
+                rows.append(new + self.ends[k])
+        return np.concatenate(times), np.append(np.concatenate(rows), self.ends[-1])
+
+    @property
+    def times(self) -> np.ndarray:
+        return self.axis[0]
+
+    @property
+    def area(self) -> int:
+        return max(1, int(self.ends[-1]) // max(1, len(self.times)))
+
+    def extent(self, start: int, stop: int) -> tuple[int, int]:
+        """The rows of the steps from start to stop."""
+        return int(self.axis[1][start]), int(self.axis[1][stop])
 
     def cells(self, start: int, stop: int, columns: tuple[str, ...]) -> dict[str, pa.Array]:
-        begin, end = int(self.rows[start]), int(self.rows[stop])
-        ends = np.cumsum([self.file.metadata.row_group(k).num_rows for k in range(self.file.num_row_groups)])
-        groups = [k for k, e in enumerate(ends.tolist()) if e > begin and e - self.file.metadata.row_group(k).num_rows < end]
+        return self.between(*self.extent(start, stop), columns)
+
+    def between(self, begin: int, end: int, columns: tuple[str, ...]) -> dict[str, pa.Array]:
+        """The columns of the rows from begin to end."""
+        groups = list(range(int(np.searchsorted(self.ends, begin, "right")) - 1, int(np.searchsorted(self.ends, end, "left"))))
         names = ["time", *[c for c in ("lat", "lon") if c in columns and c in self.file.schema_arrow.names], self.variable]
-        before = int(ends[groups[0]]) - self.file.metadata.row_group(groups[0]).num_rows
+        before = int(self.ends[groups[0]])
         table = self.file.read_row_groups(groups, names).slice(begin - before, end - begin).combine_chunks()
         return {("value" if n == self.variable else n): table.column(n).combine_chunks().cast(ARROW["value" if n == self.variable else n]) for n in names}
 
@@ -100,8 +128,8 @@ def labelled(path: str, variable: str | None = None) -> LabelledGrid:
 
 
 class Steps(InputPartition):
-    def __init__(self, file: str, start: int, stop: int, error: str | None = None):
-        self.file, self.start, self.stop, self.error = file, start, stop, error
+    def __init__(self, file: str, start: int, stop: int, error: str | None = None, rows: tuple[int, int] | None = None):
+        self.file, self.start, self.stop, self.error, self.rows = file, start, stop, error, rows
 
 
 class GridReader(DataSourceReader):
@@ -135,9 +163,11 @@ class GridReader(DataSourceReader):
             asked = np.ones(len(grid.times), bool)
             for f in self.times:
                 asked &= COMPARE[type(f)](grid.times, np.datetime64(f.value, "us"))
-            steps, out = max(1, self.cells // max(1, grid.area)), []
+            steps, out = max(1, max(self.cells, getattr(grid, "least", 0)) // max(1, grid.area)), []
+            rows = getattr(grid, "extent", lambda start, stop: None)
             for run in np.split(np.flatnonzero(asked), np.flatnonzero(np.diff(np.flatnonzero(asked)) > 1) + 1):
-                out += [Steps(file, int(run[k]), int(run[min(k + steps, len(run)) - 1]) + 1) for k in range(0, len(run), steps)]
+                parts = [(int(run[k]), int(run[min(k + steps, len(run)) - 1]) + 1) for k in range(0, len(run), steps)]
+                out += [Steps(file, *part, rows=rows(*part)) for part in parts]
             return out
         except Exception as e:  # a file that cannot be opened is a row with its error
             return [] if self.sound else [Steps(file, 0, 0, f"{type(e).__name__}: {e}")]
@@ -154,7 +184,8 @@ class GridReader(DataSourceReader):
         error, found, n = partition.error, {}, 1
         if not error:
             try:
-                found = self.opener(partition.file, self.variable).cells(partition.start, partition.stop, self.columns)
+                grid = self.opener(partition.file, self.variable)
+                found = grid.between(*partition.rows, self.columns) if partition.rows else grid.cells(partition.start, partition.stop, self.columns)
                 n = len(found["value"])
             except Exception as e:  # the range is a row with its error; other ranges are read
                 error = f"{type(e).__name__}: {e}"
