@@ -68,7 +68,8 @@ class CellFile:
     read, a row group at a time; a task then reads the row groups that hold its rows, and no time axis. `least` keeps
     tasks from sharing a row group among many of them, as each would read all of it."""
 
-    def __init__(self, path: str, variable: str | None = None):
+    def __init__(self, path: str, variable: str | None = None, planned: bool = False):
+        """planned: rows are known, and the time axis is not read."""
         import pyarrow.parquet as pq
 
         files, place = store(path)
@@ -79,6 +80,8 @@ class CellFile:
             raise ValueError(f"no time among {names}")
         groups = [self.file.metadata.row_group(k).num_rows for k in range(self.file.num_row_groups)]
         self.ends, self.least = np.cumsum([0, *groups]), max(groups, default=0)
+        if not planned:
+            self.axis  # noqa: B018
 
     @functools.cached_property
     def axis(self) -> tuple[np.ndarray, np.ndarray]:
@@ -184,8 +187,10 @@ class GridReader(DataSourceReader):
         error, found, n = partition.error, {}, 1
         if not error:
             try:
-                grid = self.opener(partition.file, self.variable)
-                found = grid.between(*partition.rows, self.columns) if partition.rows else grid.cells(partition.start, partition.stop, self.columns)
+                if partition.rows:
+                    found = self.opener(partition.file, self.variable, planned=True).between(*partition.rows, self.columns)
+                else:
+                    found = self.opener(partition.file, self.variable).cells(partition.start, partition.stop, self.columns)
                 n = len(found["value"])
             except Exception as e:  # the range is a row with its error; other ranges are read
                 error = f"{type(e).__name__}: {e}"
