@@ -20,6 +20,8 @@ FREQUENT = 2_000_000
 BLOCK_BYTES = 8 << 20
 #: Bytes of the filter that are broadcast; a larger one stays in its blocks, and the n-grams are sent to them.
 MAX_FILTER = 256 << 20
+#: Text bytes that a worker scores at once beside the filter: some forty times as many bytes of arrays.
+SCORED_BYTES = 1 << 20
 #: Bits set for an entry, all in one 64-bit word, and bits for each of the filter's entries: some 2 % false positives a level.
 PROBES, BITS = 4, 10
 #: Counts that a word's share in all tokens (then the pair model's probability) weighs in the pair (triple) model.
@@ -173,6 +175,8 @@ def learned(train: DataFrame) -> tuple[DataFrame, int]:
                 for k in range(0, len(some), 64):
                     part = slice(k, k + 64)
                     yield pa.record_batch([pa.array(np.full(len(at[part]), kind, "i4")), pa.array(at[part]), pa.array(packed[part], pa.binary()), pa.array(counts[part], pa.binary())], ["kind", "block", "keys", "counts"])
+                del keys, n, own, times, more, packed, counts
+            del words, both, three, batch  # else they outlive portions' give_back
 
     def build(table):
         kind, block = table.column("kind")[0].as_py(), table.column("block")[0].as_py()
@@ -269,10 +273,11 @@ def scored_by_broadcast(rows: DataFrame, blocks: DataFrame, n_blocks: int, model
 
     def work(batches):
         row, look = TaskContext.get().partitionId() << 40, lambda kind, keys: known.value[kind].levels(keys)
-        for batch in common.portions(batches, "text", 3 << 20):
+        for batch in common.portions(batches, "text", SCORED_BYTES):
             words, lengths = tokens(batch.column("text"))
             yield sums(row, batch.column("doc_id"), batch.column("held_out"), words, lengths, model.value, look)
             row += len(lengths)
+            del words, batch
 
     return rows.mapInArrow(work, SCORES)
 
