@@ -175,7 +175,7 @@ def learned(train: DataFrame) -> tuple[DataFrame, int]:
                 for k in range(0, len(some), 64):
                     part = slice(k, k + 64)
                     yield pa.record_batch([pa.array(np.full(len(at[part]), kind, "i4")), pa.array(at[part]), pa.array(packed[part], pa.binary()), pa.array(counts[part], pa.binary())], ["kind", "block", "keys", "counts"])
-                del keys, n, own, times, more, packed, counts
+                keys = n = own = times = more = packed = counts = None
             del words, both, three, batch  # else they outlive portions' give_back
 
     def build(table):
