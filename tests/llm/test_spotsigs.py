@@ -158,3 +158,25 @@ def test_no_pair_or_set_is_shuffled(spark, held, monkeypatch):
     own = [sets(t) for t in texts]
     assert got == {k: sum(jaccard(own[k], t) >= 0.8 for t in own) - 1 for k in range(0, 30, 5)}
     assert len(plans) == 1 and plans[0].count("strategy=broadcast") >= 2 * (1 if held > 10**5 else 2)
+
+
+def test_near_copies_meet_by_rare_signatures(spark, monkeypatch):
+    """Copies of one text with a tenth of their words changed are not alike: what all share keeps out of their prefixes,
+    though it is no such part of all places as makes signatures frequent (as in a large table)."""
+    monkeypatch.setattr(spotsigs, "FREQUENT", 2)
+    base, kept, written = [f"word{k}" for k in range(200)], [], spotsigs.common.written
+    texts = [" ".join(f"own{j}x{k}" if (j + k) % 10 == 0 else w for j, w in enumerate(base)) for k in range(50)]
+    texts += [" ".join(f"one{k}" if j == 4 * k else w for j, w in enumerate(base[::-1])) for k in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def watched(df, name):
+        out = written(df, name)
+        if name == "spotsigs-prefixes":
+            kept.extend(set(r.s[: r.reach]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(spotsigs.common, "written", watched)
+    got = {r.doc_id: r.n_similar for r in spotsigs.fingerprinted(docs, 1).collect()}
+    own = [sets(t) for t in texts]
+    assert got == {k: sum(jaccard(s, t) >= 0.8 for t in own) - 1 for k, s in enumerate(own)} and max(got.values()) >= 9
+    assert sum(len(a & b) for a in kept for b in kept if a is not b) < 3 * len(kept) ** 2

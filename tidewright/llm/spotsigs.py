@@ -27,7 +27,8 @@ BUCKET_ROWS = 2000
 FREQUENT = 1000
 #: Beyond so many texts asked about, their counts meet the rows by a shuffle join and not by a broadcast.
 MAX_ROWS = 1_000_000
-#: Slots in which signatures are counted first, and asked sets of one signature that are kept in one row, about.
+#: Slots in which signatures are counted first, whose counts order the signatures of prefixes; and asked sets of one
+#: signature that are kept in one row, about.
 SLOTS, TOGETHER = 16_384, 256
 #: Numbers (four or eight bytes each) of asked sets that are broadcast at once; more of them go in portions of so many,
 #: or of MIN_HELD if that is more.
@@ -71,7 +72,8 @@ def likeness(a: str, b: str) -> Column:
 
 
 def frequent(classes: DataFrame) -> DataFrame:
-    """often: the array of signatures with one of FREQUENT places or more; FREQUENT of them at most.
+    """A row: often, the array of signatures with one of FREQUENT places or more (FREQUENT of them at most), and weight,
+    the number of places of each of the SLOTS slots.
 
     Places are counted by slots of signatures first, so that only signatures of full slots are counted by themselves.
     """
@@ -80,7 +82,18 @@ def frequent(classes: DataFrame) -> DataFrame:
     least = (slots.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + FREQUENT - 1) // FREQUENT
     full = F.broadcast(slots.filter(F.col("n") >= max(1, least)).select("slot"))  # FREQUENT at most
     counts = each.withColumn("slot", F.pmod("x", F.lit(SLOTS))).join(full, "slot", "left_semi").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    return counts.filter(F.col("n") >= max(1, least)).agg(F.collect_list("x").alias("often"))
+    often = counts.filter(F.col("n") >= max(1, least)).agg(F.collect_list("x").alias("often"))
+    every = classes.sparkSession.range(SLOTS).select(F.col("id").alias("slot")).join(F.broadcast(slots), "slot", "left")
+    most = F.least(F.coalesce("n", F.lit(0)), F.lit((1 << 31) - 1)).cast("int")
+    weight = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", most.alias("n")))), lambda x: x["n"]).alias("weight"))
+    return often.crossJoin(F.broadcast(weight))
+
+
+def rarest_first(signatures: Column) -> Column:
+    """The signatures by the weight of their slots (column weight), then by themselves; as numbers that sort so."""
+    low = F.lit(1 << 31)
+    keyed = F.transform(signatures, lambda x: F.get("weight", F.pmod(x, F.lit(SLOTS))).cast("long") * F.lit(1 << 32) + (x.cast("long") + low))
+    return F.transform(F.sort_array(keyed), lambda v: (v.bitwiseAND(F.lit((1 << 32) - 1)) - low).cast("int"))
 
 
 def links(classes: DataFrame, threshold: float) -> DataFrame:
@@ -88,31 +101,33 @@ def links(classes: DataFrame, threshold: float) -> DataFrame:
 
     classes: key, s (a set of signatures), asked. Sets are partitioned by length: with bounds a factor threshold
     apart, a set's partners lie in its partition or one beside it. Of each set only a prefix is joined, rare
-    signatures first, so long that sets without a common one in it cannot reach the threshold; pairs whose lengths
-    alone rule it out are pruned before sets are compared. The asked sets of a partition and signature stand together
+    signatures first, so long that sets without a common one in it cannot reach the threshold. How rare one is, its
+    slot's count tells: so near copies of one text first join what is their own, and meet by what they all share only
+    if little is. What stands behind a common signature in the shorter rest bounds how many there are in common (none
+    stands before the first); pairs that cannot reach the threshold are pruned before sets are compared. The asked sets of a partition and signature stand together
     in rows of some TOGETHER, so a set meets rows and not pairs, and a pair is made at its first common signature only.
     The asked sets are broadcast, in portions of a bounded size; every set is read beside each portion and compared
     there, so neither sets nor candidate pairs are shuffled, however many pairs a dense group has.
     """
     n = F.size("s")
     often = F.broadcast(frequent(classes).withColumn("one", F.lit(1)))  # a row
-    rare_first = F.concat(F.array_except("s", "often"), F.array_intersect("s", "often"))
+    rare_first = F.concat(rarest_first(F.array_except("s", "often")), rarest_first(F.array_intersect("s", "often")))
     part = F.floor(F.log(n) / -math.log(threshold)).cast("int")
     reach = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
     rows = common.written(classes.withColumn("one", F.lit(1)).join(often, "one").select("key", "asked", n.alias("n"), part.alias("part"), reach.alias("reach"), rare_first.alias("s")), "spotsigs-prefixes")
-    held = rows.filter("asked").agg(F.sum(F.col("n") + 12 * F.col("reach") + 8)).first()[0] or 0
+    held = rows.filter("asked").agg(F.sum(F.col("n") + 15 * F.col("reach") + 8)).first()[0] or 0
     portions = -(-held // max(MAX_HELD, MIN_HELD)) or 1
     every = rows.select(F.col("key").alias("b"), F.col("n").alias("nb"), "part", F.col("s").alias("sb"), F.posexplode(F.slice("s", F.lit(1), F.col("reach"))).alias("at", "sig"))
     found = None
     for k in range(portions):
         own = rows.filter("asked").filter(F.pmod(F.xxhash64("key"), F.lit(portions)) == k)
         near = own.select("key", "n", F.slice("s", F.lit(1), F.col("reach")).alias("prefix"), F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1)).alias("part"))
-        near = near.select("key", "n", "part", F.explode("prefix").alias("sig"))
+        near = near.select("key", "n", "part", F.posexplode("prefix").alias("at", "sig")).withColumn("rest", F.col("n") - F.col("at"))
         crowd = near.groupBy("part", "sig").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("crowd"))
         near = near.join(crowd, ["part", "sig"]).withColumn("salt", F.pmod(F.xxhash64("key"), F.col("crowd")))
-        who = F.broadcast(near.groupBy("part", "sig", "salt").agg(F.collect_list(F.struct("key", "n")).alias("who")).drop("salt"))
+        who = F.broadcast(near.groupBy("part", "sig", "salt").agg(F.collect_list(F.struct("key", "n", "rest")).alias("who")).drop("salt"))
         sets = F.broadcast(own.select(F.col("key").alias("a"), F.col("s").alias("sa"), F.slice("s", F.lit(1), F.col("reach")).alias("pa")))
-        fits = lambda w: (w["key"] != F.col("b")) & (F.least(w["n"], F.col("nb")) >= F.greatest(w["n"], F.col("nb")) * threshold)
+        fits = lambda w: (w["key"] != F.col("b")) & (F.least(w["rest"], F.col("nb") - F.col("at")) >= (w["n"] + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6)
         met = every.join(who, ["part", "sig"]).select("b", "sb", "at", F.explode(F.transform(F.filter("who", fits), lambda w: w["key"])).alias("a"))
         met = met.join(sets, "a").filter(~F.arrays_overlap(F.slice("sb", F.lit(1), F.col("at")), "pa")).select("a", "b", common.once(likeness("sa", "sb")).alias("likeness"))
         found = met if found is None else found.unionByName(met)
