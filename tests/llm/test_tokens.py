@@ -137,3 +137,21 @@ def test_texts_of_lines_and_marks(encode):
     for text in texts:
         ids = encode(text)
         assert bpe.encode(text) == np.array(ids, "<u4").tobytes() and count(text) == len(ids)
+
+
+def test_a_rare_word_is_merged_once_for_all_its_marks(encode, monkeypatch):
+    bpe, merged = tokens.ByteBpe(PATH), []
+    assert bpe.whole_ids
+    merge = bpe.merge
+    monkeypatch.setattr(bpe, "merge", lambda word: merged.append(word) or merge(word))
+    text = "x ouéaieuxlepa, ouéaieuxlepa. oftionntenerst; ouéaieuxlepa oftionntenerst! ouéaieuxlepa: оченьредкое, a, a. \u00aa, ouéaieuxlepa.. .,"
+    assert bpe.encode(text) == np.array(encode(text), "<u4").tobytes()
+    assert sum("lepa" in word for word in merged) == 2 and sum("nerst" in word for word in merged) == 1  # with two marks it goes by itself
+
+
+@pytest.mark.parametrize("entries", [1, 2, 50])
+def test_a_full_cache_of_ids(encode, entries, monkeypatch):
+    monkeypatch.setattr(tokens, "ID_ENTRIES", entries)
+    bpe = tokens.ByteBpe(PATH)
+    text = " ".join(f"word{'abcdefg'[k % 7]}{'' if k % 3 else ','} {'Wörtchen' * (k % 11)}{'.' * (k % 2)}x" for k in range(300))
+    assert bpe.encode(text) == np.array(encode(text), "<u4").tobytes()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import functools
 import json
 import re
@@ -11,6 +12,8 @@ import numpy as np
 
 #: Chunks kept by one Python worker, and the longest that is kept: some 75 MB, 150 MB at most.
 CACHE_ENTRIES, CACHE_LENGTH = 300_000, 64
+#: As many where ids are kept and no other cache is beside them: twice that memory.
+ID_ENTRIES = 600_000
 #: Marks that stand alone behind letters, and the first letter whose class may differ between Unicode versions.
 MARKS, PLAIN = frozenset(".,!?;:"), "\u0530"
 #: A space before white space or at the end: there a cut before each space is not safe.
@@ -20,15 +23,15 @@ UNSAFE = re.compile(r" (?:\s|\Z)")
 class Chunks(dict):
     """What `work` gives for each chunk, remembered. When full, the newer half goes: frequent chunks came early."""
 
-    def __init__(self, work):
+    def __init__(self, work, entries: int | None = None):
         super().__init__()
-        self.work = work
+        self.work, self.entries = work, entries or CACHE_ENTRIES
 
     def __missing__(self, chunk):
         if len(chunk) > CACHE_LENGTH:
             return self.work(chunk)
-        if len(self) >= CACHE_ENTRIES:
-            for old in list(self)[CACHE_ENTRIES // 2 :]:
+        if len(self) >= self.entries:
+            for old in list(self)[self.entries // 2 :]:
                 del self[old]
         value = self[chunk] = self.work(chunk)
         return value
@@ -68,14 +71,18 @@ class ByteBpe:
     def plain(self, line: str, space: str) -> list[str] | None:
         """The pre-tokens of letters, with one mark behind them or none, after a space (in byte-level letters) or none."""
         body, last = (line[:-1], line[-1:]) if line[-1:] in MARKS else (line, "")
-        if not body.isalpha():
+        if (body := self.lettered(body)) is None:
             return None
-        if not body.isascii():
-            if max(body) >= PLAIN:
-                return None
-            body = body.encode().decode("latin-1").translate(self.letters)
         return [space + body, last] if last else [space + body]
 
+    def lettered(self, word: str) -> str | None:
+        """A word of plain letters in byte-level letters, else None."""
+        if not word.isalpha():
+            return None
+        if word.isascii():
+            return word
+        return codecs.charmap_decode(word.encode(), "strict", self.letter_table)[0] if max(word) < PLAIN else None
+
     def words(self, chunk: str) -> list[str]:
         """A chunk's pre-tokens in byte-level letters. A space with letters, or those with one mark, need no search;
         nor do more such lines behind it: a line feed between characters that are not white space stands alone."""
@@ -96,6 +103,10 @@ class ByteBpe:
         hidden = [b for b in range(256) if b not in set(shown)]
         return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
+    @functools.cached_property
+    def letter_table(self) -> str:
+        return "".join(self.letters[b] for b in range(256))
+
     def ids_of(self, chunk: str) -> bytes:
         whole, out = self.whole_ids, []
         for word in self.words(chunk):
@@ -110,9 +121,22 @@ class ByteBpe:
         """The id of each whole token."""
         return {s: self.merge(s)[0].id for s in self.single()}
 
+    @functools.cached_property
+    def mark_ids(self) -> dict[str, bytes]:
+        return {mark: self.ids_of(mark) for mark in MARKS}
+
     @functools.cached_property
     def _ids(self) -> Chunks:
-        return Chunks(lambda rest: self.ids_of(" " + rest))
+        return Chunks(self.ids_after_space, ID_ENTRIES)
+
+    def ids_after_space(self, rest: str) -> bytes:
+        """The ids of a space and `rest`. One mark behind letters stands alone, so the letters are merged once for all marks."""
+        if rest[-1:] in MARKS and self.lettered(rest[:-1]) is not None:
+            return self._ids[rest[:-1]] + self.mark_ids[rest[-1]]
+        if (word := self.lettered(rest)) is None:
+            return self.ids_of(" " + rest)
+        known = self.whole_ids.get(word := "\u0120" + word)
+        return array("I", [t.id for t in self.merge(word)] if known is None else [known]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
