@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import common, language_id, mixing, packing, simhash, substring_dedup
 
+#: Chunks of text whose ids packing remembers: a quarter of op3's, as its executors have grown over the stages before.
+REMEMBERED = 150_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go; lang becomes the predicted one where the prediction is sure, or there was none."""
@@ -32,7 +35,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece, with its sequence and offset."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), entries=REMEMBERED)
 
 
 STAGES = [("language_id", language), ("near_dedup", near_dedup), ("substring_dedup", substring), ("mixing", mix), ("packing", pack)]

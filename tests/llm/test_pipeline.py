@@ -2,10 +2,11 @@ import os
 import re
 from collections import defaultdict
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewright.llm import common, language_id, mixing, simhash
+from tidewright.llm import common, language_id, mixing, simhash, tokens
 
 from .test_substring_dedup import brute
 
@@ -85,3 +86,22 @@ def test_near_copies_are_one(spark):
     groups = simhash.near_duplicates(docs, bits=2).collect()
     assert {r.component_id for r in groups if r.doc_id % 2 == 0 and r.doc_id < 20} == {0}
     assert 50 in {r.doc_id for r in simhash.one_of_each(docs).collect()}
+
+
+def test_stages_free_what_packing_left(spark, sf, monkeypatch):
+    """A Python worker lives on from the last run's packing: each stage that looks at texts frees its tokens first."""
+    docs, tasks, path = common.documents(spark, sf), {}, public_tokenizers.path("byte_bpe_50k.json")
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **b: tasks.setdefault(f.__qualname__.replace(".<locals>", ""), f) and plain(self, f, *a, **b))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        tasks.clear()
+        stage(spark, docs, sf)
+        for task in {"language_id": ("train.count", "identify.work"), "near_dedup": ("one_of_alike.work", "alike_links.work"), "substring_dedup": ("duplicate_factors.index",)}[name]:
+            tokens.byte_bpe(path)
+            assert not list(tasks[task](iter(()))) and tokens.byte_bpe.cache_info().currsize == 0
+    pack = corpus_pipeline.STAGES[-1][1]
+    tasks.clear()
+    pack(spark, docs, sf)
+    list(tasks["pieces.cut"](iter(())))
+    hits = tokens.byte_bpe.cache_info().hits
+    assert tokens.byte_bpe(path, corpus_pipeline.REMEMBERED).entries == corpus_pipeline.REMEMBERED < tokens.ID_ENTRIES and tokens.byte_bpe.cache_info().hits == hits + 1

@@ -1,3 +1,4 @@
+import weakref
 import zlib
 from collections import defaultdict
 
@@ -6,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidewright.llm import packing, token_counts, tokens
+from tidewright.llm import common, packing, token_counts, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -155,3 +156,16 @@ def test_a_full_cache_of_ids(encode, entries, monkeypatch):
     bpe = tokens.ByteBpe(PATH)
     text = " ".join(f"word{'abcdefg'[k % 7]}{'' if k % 3 else ','} {'Wörtchen' * (k % 11)}{'.' * (k % 2)}x" for k in range(300))
     assert bpe.encode(text) == np.array(encode(text), "<u4").tobytes()
+
+
+def test_fewer_chunks_are_remembered_on_request(encode):
+    bpe = tokens.ByteBpe(PATH, 20)
+    text = " ".join(f"rare{k:x}word{k % 3 * '.'}" for k in range(300))
+    assert bpe.encode(text) == np.array(encode(text), "<u4").tobytes() and len(bpe._ids) <= 20
+
+
+def test_what_is_remembered_is_freed():
+    kept = weakref.ref(tokens.byte_bpe(PATH))
+    assert kept().encode("some words are remembered") and kept() is tokens.byte_bpe(PATH)
+    common.forget()
+    assert kept() is None

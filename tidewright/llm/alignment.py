@@ -152,7 +152,7 @@ class Aligner:
 NOTHING = (0, 0, 0, "", np.zeros(0, "i8"), np.zeros(0, "i8"))
 
 
-@functools.lru_cache(maxsize=2)
+@common.remembered
 def aligner(a_path: str, b_path: str) -> Aligner:
     """One per Python worker and pair of files; kept between tasks."""
     return Aligner(a_path, b_path)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -151,3 +153,21 @@ def give_back() -> None:
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
+
+
+_remembered: list = []
+
+
+def remembered(f: Callable) -> Callable:
+    """f, with what it returned kept by a Python worker between tasks, until a task that has no use for it calls forget()."""
+    _remembered.append(f := functools.lru_cache(maxsize=2)(f))
+    return f
+
+
+def forget() -> None:
+    """Lets go of what the tasks of earlier stages remembered in this Python worker; it would stand beside this stage's arrays."""
+    if any(f.cache_info().currsize for f in _remembered):
+        for f in _remembered:
+            f.cache_clear()
+        gc.collect()  # what is remembered refers to itself
+        give_back()

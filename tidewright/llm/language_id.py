@@ -22,7 +22,7 @@ MAX_LANGUAGES = 500
 #: Rows of the table of hashed character sequences.
 TABLE = 1 << 16
 #: Bytes of text looked at together, and code points whose features are made at a time.
-PORTION, STEP = 2 << 20, 1 << 18
+PORTION, STEP = 3 << 19, 1 << 18
 #: The least and the most a word can tell against a language, and what a change of language costs (nats).
 FLOOR, SWITCH = -8.0, 10.0
 #: First code points of runs of scripts, with the script's number; 0 is any other.
@@ -55,7 +55,7 @@ class Words:
     def __init__(self, texts: list[str]):
         letter, script = code_points()
         lower = [t.lower() for t in texts]
-        codes = np.frombuffer(("  " + "  ".join(lower) + "  ").encode("utf-32-le", "replace"), "<u4")
+        codes = np.frombuffer(bytearray(("  " + "  ".join(lower) + "  ").encode("utf-32-le", "replace")), "<u4")
         alpha = letter[codes]
         edge = np.flatnonzero(np.diff(alpha.astype("i1")))
         self.first, last = edge[::2] + 1, edge[1::2] + 1
@@ -64,7 +64,8 @@ class Words:
         self.doc = np.searchsorted(starts, self.first, "right") - 1
         self.n = np.bincount(self.doc, minlength=len(texts)).astype("i8")
         self.script = script[codes[self.first]]
-        self.codes, self.alpha = np.where(alpha, codes, np.uint32(32)), alpha
+        codes[~alpha] = 32
+        self.codes, self.alpha = codes, alpha
 
     def features(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(features, the word of each, ascending) of some code points at a time, so that arrays stay small.
@@ -159,6 +160,7 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     rows = rows.filter(F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
 
     def count(batches):
+        common.forget()
         for batch in common.portions(batches, "text", PORTION):
             langs = np.array(batch.column(0).to_pylist(), object)
             for lang in sorted(set(langs)):
@@ -192,6 +194,7 @@ def identify(docs: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
     kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("words", pa.int32())]))
 
     def work(batches):
+        common.forget()
         model = known.value
         names = np.array([*model.languages, "und"], object)
         if keep == "_row":  # the text is in it, and does not come twice
@@ -202,15 +205,16 @@ def identify(docs: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
             pred, score, spans = np.full(size, many), np.zeros(size), [[] for _ in range(size)]
             if many and len(words.first):
                 s = model.scores(words)
+                del words.codes, words.alpha  # a third of what is held, and no longer needed
                 label = viterbi(s, words.n)
                 held = np.bincount(words.doc * many + label, words.letters, minlength=size * many).reshape(size, many)
                 some = words.n > 0
                 pred[some] = held[some].argmax(axis=1)
                 share = held.max(axis=1) / np.maximum(held.sum(axis=1), 1)
                 mine = pred[words.doc]
-                rival = s.copy()
-                rival[np.arange(len(s)), mine] = -np.inf
-                clear = np.bincount(words.doc, s[np.arange(len(s)), mine] - (rival.max(axis=1) if many > 1 else FLOOR), minlength=size) / np.maximum(words.n, 1)
+                own = s[np.arange(len(s)), mine]
+                s[np.arange(len(s)), mine] = -np.inf  # what is left are the rivals
+                clear = np.bincount(words.doc, own - (s.max(axis=1) if many > 1 else FLOOR), minlength=size) / np.maximum(words.n, 1)
                 score[some] = (share / (1 + np.exp(-clear)))[some]
                 new = np.ones(len(label), bool)
                 new[1:] = (label[1:] != label[:-1]) | (words.doc[1:] != words.doc[:-1])

@@ -128,15 +128,16 @@ def plan(counts: dict[int, int], room: int) -> dict[int, np.ndarray]:
     return {s: np.array(r, "i8").reshape(-1, 5) for s, r in runs.items()}
 
 
-def pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, entries: int | None = None) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32. Whole texts (null: empty), then the end id.
 
-    A document over room is cut into pieces of room tokens, the first one taking the remainder.
+    A document over room is cut into pieces of room tokens, the first one taking the remainder. Each Python worker
+    remembers the ids of up to `entries` chunks of text (ID_ENTRIES by default): fewer take less memory and more time.
     """
     tail = np.array([end], "<u4").tobytes()
 
     def cut(batches):
-        bpe, last, data = byte_bpe(tokenizer), None, memoryview(tail)
+        bpe, last, data = byte_bpe(tokenizer, entries), None, memoryview(tail)
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), ([], [], [], [], [])
             for doc, text in zip(ids, batch.column(1), strict=True):
@@ -155,14 +156,14 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2) -> D
     return common.ready(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, room: int = 1024, end: int = 2, entries: int | None = None) -> DataFrame:
     """Places every piece of every document: its columns, sequence_id and offset (gapless from 0).
 
     Only the number of pieces of each length (room of them at most) reaches the driver, where dominance reduction
     and best fit run over counts; pieces then find their place by their rank among those of their length. A piece that
     fills a sequence is placed at once, whatever its rank. Null and empty texts are one end id. Repeated rows are packed each; a null doc_id stays null; an empty table gives no row.
     """
-    made = common.written(pieces(docs, tokenizer, room, end), "pack-pieces")
+    made = common.written(pieces(docs, tokenizer, room, end, entries), "pack-pieces")
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts.pop(room, None)
     planned = plan(counts, room)  # some rows for each length below room

@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, *carry: str) -> DataFrame:
     """doc_id, the columns `carry` (longs) and fp (the fingerprint as a signed long), a row per row."""
 
     def work(batches):
+        common.forget()
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], "u8").view("i8")
             yield pa.record_batch([*(batch.column(c) for c in ("doc_id", *carry)), pa.array(fps)], ["doc_id", *carry, "fp"])
@@ -291,6 +292,7 @@ def alike_links(docs: DataFrame, prints: DataFrame, shingle: int, threshold: flo
     asked = classes.select("node", "_id").join(rows.select("node").distinct(), "node", "left_semi")
 
     def work(batches):
+        common.forget()
         for batch in common.portions(batches, "text"):
             found = [shingles(t.as_py(), shingle) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array([x[1] for x in found], pa.uint64()).view(pa.int64()), pa.array([x[0].view("i8") for x in found], pa.list_(pa.int64()))], ["_id", "node", "own"])
@@ -315,6 +317,7 @@ def one_of_alike(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> D
     """
 
     def work(batches):
+        common.forget()
         for batch in common.portions(batches, "text"):
             found = [shingles(t.as_py(), shingle) for t in batch.column(2)]
             keys = np.array([bands(x[0]) for x in found]).reshape(len(found), BANDS)

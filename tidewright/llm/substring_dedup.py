@@ -196,6 +196,7 @@ def duplicate_factors(docs: DataFrame, window: int = 20, anchor: int = ANCHOR, m
     rest = rows.drop("_digest").join(common.smaller(copies, max_rows), KEY, "left_anti")
 
     def index(batches):
+        common.forget()
         for batch in common.portions(batches, "text", PORTION):
             _, found = Batch(batch.column(0).to_pylist(), window, anchor, bits).anchors()
             anchors, n = np.unique(found, return_counts=True)

@@ -10,6 +10,8 @@ from array import array
 
 import numpy as np
 
+from . import common
+
 #: Chunks kept by one Python worker, and the longest that is kept: some 75 MB, 150 MB at most.
 CACHE_ENTRIES, CACHE_LENGTH = 300_000, 64
 #: As many where ids are kept and no other cache is beside them: twice that memory.
@@ -45,7 +47,7 @@ class ByteBpe:
     once. Texts with other spaces or with a special string go through the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,6 +60,7 @@ class ByteBpe:
         self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.chunked else None
         self.merge = self.tokenizer.model.tokenize
         self.counts: Chunks | None = None
+        self.entries = entries or ID_ENTRIES
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -127,7 +130,7 @@ class ByteBpe:
 
     @functools.cached_property
     def _ids(self) -> Chunks:
-        return Chunks(self.ids_after_space, ID_ENTRIES)
+        return Chunks(self.ids_after_space, self.entries)
 
     def ids_after_space(self, rest: str) -> bytes:
         """The ids of a space and `rest`. One mark behind letters stands alone, so the letters are merged once for all marks."""
@@ -166,7 +169,7 @@ class ByteBpe:
         return count
 
 
-@functools.lru_cache(maxsize=2)
-def byte_bpe(path: str) -> ByteBpe:
-    """One per Python worker and file; kept between tasks."""
-    return ByteBpe(path)
+@common.remembered
+def byte_bpe(path: str, entries: int | None = None) -> ByteBpe:
+    """One per Python worker and file, with up to `entries` chunks whose ids are remembered; kept between tasks."""
+    return ByteBpe(path, entries)
