@@ -1,4 +1,6 @@
 import datetime as dt
+import glob
+import os
 import sys
 
 import numpy as np
@@ -8,7 +10,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from tidewright.plans import monthly
+from tidewright.plans import monthly, queries
 from tidewright.sources import grids
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -138,3 +140,36 @@ def test_tasks_share_no_row_group_and_read_no_time_axis(spark, tmp_path, monkeyp
     monkeypatch.setattr(grids.CellFile, "axis", property(lambda self: 1 / 0))
     (batch,) = reader.read(part)
     assert batch.column(0).to_pylist() == [28.0, 29.0, 30.0, 31.0]
+
+
+@pytest.mark.parametrize(("name", "error"), [("glofas_2.nc", "OSError: not a grid"), ("glofas*3*x.nc", "ZeroDivisionError")])
+def test_a_filter_on_time_hides_no_failure(spark, folder, name, error):
+    df = grids.read_grids(spark, folder, name, opener=opened, columns=("file", "time", "value"))
+    at = F.lit("2020-01-02").cast("timestamp_ntz")
+    for some in (df.filter(F.col("time") >= at), df.filter("time is not null"), monthly.discharge_by_month(df)):
+        with pytest.raises(Exception, match=error):
+            some.collect()
+
+
+@pytest.mark.parametrize("failure", ["cut", "unordered", "gone"])
+def test_gridded_monthly_mean_fails_with_a_file_of_cells(spark, monkeypatch, failure):
+    def broken(spark, folder):
+        to = cell_files(spark, folder)
+        path = sorted(glob.glob(f"{to.removeprefix('file:')}/*/year=1995/*.parquet"))[0]
+        if failure == "gone":  # once the files are listed
+            gone.append(path)
+        elif failure == "unordered":
+            table = pq.ParquetFile(path).read()
+            pq.write_table(table.take(list(range(len(table) - 1, -1, -1))), path)
+        else:
+            with open(path, "r+b") as f:
+                f.truncate(1000)
+        return to
+
+    gone, cell_files = [], queries.cell_files
+    monkeypatch.setattr(queries, "cell_files", broken)
+    df = queries.gridded_monthly_mean(spark, "/root/testdata/sf0.001")
+    for path in gone:
+        os.remove(path)
+    with pytest.raises(Exception, match="rows do not ascend" if failure == "unordered" else "year=1995"):
+        df.collect()

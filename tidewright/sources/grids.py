@@ -144,6 +144,7 @@ class GridReader(DataSourceReader):
         self.cells, self.columns, self.opener = int(options.get("cells", CELLS)), tuple(options["columns"].split(",")), opener
         self.times: list[Filter] = []
         self.names: set[str] | None = None
+        self.loud = "error" not in self.columns  # nothing but a failure of the query tells of an error
         self.sound = False  # only rows with a time are asked for, so none with an error
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -173,7 +174,7 @@ class GridReader(DataSourceReader):
                 out += [Steps(file, *part, rows=rows(*part)) for part in parts]
             return out
         except Exception as e:  # a file that cannot be opened is a row with its error
-            return [] if self.sound else [Steps(file, 0, 0, f"{type(e).__name__}: {e}")]
+            return [] if self.sound and not self.loud else [Steps(file, 0, 0, f"{type(e).__name__}: {e}")]
 
     def partitions(self) -> list[InputPartition]:
         asked = [f for f in self.files if self.names is None or f in self.names]
@@ -194,10 +195,10 @@ class GridReader(DataSourceReader):
                 n = len(found["value"])
             except Exception as e:  # the range is a row with its error; other ranges are read
                 error = f"{type(e).__name__}: {e}"
+        if error and self.loud:
+            raise RuntimeError(f"{partition.file}: {error}")
         if error and self.sound:
             return
-        if error and "error" not in self.columns:
-            raise RuntimeError(f"{partition.file}: {error}")
         fixed = {"file": partition.file, "error": error}
         columns = [found[c] if c in found and not error else pa.array([fixed[c]] * n, ARROW[c]) if fixed.get(c) is not None else pa.nulls(n, ARROW[c]) for c in self.columns]
         yield pa.record_batch(columns, list(self.columns))
@@ -225,8 +226,10 @@ def read_grids(spark: SparkSession, folder: str, glob: str = "*.nc", variable: s
 
     A task reads a range of time steps of one file, some `cells` cells. Filters on time and file are pushed into the plan
     (spark.sql.python.filterPushdown.enabled is set in the session for that). A range that fails gives one row with its
-    error and none of its cells; without an error column it fails the query. whole_files() leaves out what else a
-    file with an error gave. opener makes a grid of a path and a variable: by default what xarray can open.
+    error and none of its cells; without an error column it fails the query, whatever the filters on time (a file that
+    does not open may hold any time). With one, a filter on time leaves out the rows with an error, as they have none.
+    whole_files() leaves out what else a file with an error gave, and goes before filters on time. opener makes a grid
+    of a path and a variable: by default what xarray can open.
     """
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
