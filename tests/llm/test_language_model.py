@@ -1,12 +1,15 @@
+import glob
 import math
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
-from tidewright.llm import language_model
+from tidewright.llm import common, language_model
 
 
 def tokens(text):
@@ -85,3 +88,28 @@ def test_score_against_brute_force(tiny):
     got = {r.doc_id: r for r in language_model.scored(tiny).collect()}
     over = np.array([abs(got[r.doc_id].score - score(own)) / len(own) for r in rows if len(own := tokens(r.text)) > 50])
     assert over.mean() < 0.02 and over.max() < 0.15  # what is left are false positives of the filter
+
+
+def test_portions_survive_their_packing():
+    rng = np.random.default_rng(3)
+    for vocabulary, lengths in ((50, [3, 1, 900]), (90_000, [200_000, 1])):
+        words, ids, held = rng.integers(1, vocabulary, sum(lengths)).astype("u8") << np.uint64(30), pa.array([None, 7, 8][: len(lengths)], pa.int64()), pa.array([False, True, True][: len(lengths)])
+        packed = language_model.closed(ids, held, words, np.array(lengths, "i8"))
+        own = language_model.opened(pa.scalar(packed, pa.binary()))
+        assert own[0].equals(ids) and own[1].equals(held) and (own[2] == words).all() and own[3].tolist() == lengths and len(packed) < words.nbytes
+
+
+def test_shuffled_tables_have_no_large_rows_or_row_groups(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id % 2 = 0")  # some 12 MB of text in one task
+    with common.scratch() as tables:
+        language_model.scored(docs, max_filter=0)
+    seen = 0
+    for path in tables:
+        for file in glob.glob(f"{path.removeprefix('file:')}/*.parquet"):
+            meta = pq.ParquetFile(file).metadata
+            seen += meta.num_rows
+            groups = [meta.row_group(k) for k in range(meta.num_row_groups)]
+            assert max((g.total_byte_size for g in groups), default=0) < 12 << 20, path  # executors hold a few of them
+            if "lm-portions" in path:
+                assert all(g.total_byte_size < (3 << 20) * g.num_rows for g in groups)
+    assert seen > 0

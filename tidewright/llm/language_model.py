@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -22,6 +23,11 @@ BLOCK_BYTES = 8 << 20
 MAX_FILTER = 256 << 20
 #: Text bytes that a worker scores at once beside the filter: some forty times as many bytes of arrays.
 SCORED_BYTES = 1 << 20
+#: Text bytes of a portion whose n-grams are sent to the filter's blocks, and n-grams that a block looks up at once.
+SENT_BYTES, LOOKED_UP = 4 << 20, 1 << 18
+#: For tables with rows of megabytes: pages and row groups are checked at every row (not every hundred), as the JVM
+#: keeps a direct buffer of the largest page for each column that it compresses, and reads row groups whole.
+LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.block.size": str(8 << 20)}
 #: Bits set for an entry, all in one 64-bit word, and bits for each of the filter's entries: some 2 % false positives a level.
 PROBES, BITS = 4, 10
 #: Counts that a word's share in all tokens (then the pair model's probability) weighs in the pair (triple) model.
@@ -192,7 +198,7 @@ def learned(train: DataFrame) -> tuple[DataFrame, int]:
 
     packed = train.select("text").mapInArrow(count, "kind int, block long, keys binary, counts binary")
     made = packed.groupBy("kind", "block").applyInArrow(build, "kind int, block long, bits binary, keys binary, counts binary")
-    return common.written(made, "lm-blocks"), blocks
+    return common.written(made, "lm-blocks", LARGE_ROWS), blocks
 
 
 def vocabulary(blocks: DataFrame) -> DataFrame:
@@ -288,52 +294,81 @@ def asked(words: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
     return [np.unique(words), np.unique(both), np.unique(three[~first])]
 
 
+TEXTS = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("distinct", pa.binary()), ("at", pa.binary())])
+
+
+def closed(ids: pa.Array, held: pa.Array, words: np.ndarray, lengths: np.ndarray) -> bytes:
+    """A portion of texts as bytes, a quarter of its words' hashes or less: which of its distinct words each word is."""
+    distinct, at = np.unique(words, return_inverse=True)
+    at = at.astype("<u2" if len(distinct) <= 1 << 16 else "<u4")
+    row = [[ids.to_pylist()], [held.to_pylist()], *([x.tobytes()] for x in (lengths, distinct, at))]
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, TEXTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(pa.record_batch(row, schema=TEXTS))
+    return out.getvalue().to_pybytes()
+
+
+def opened(texts: pa.Scalar) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """What closed() was given."""
+    with pa.ipc.open_stream(texts.as_buffer()) as stream:
+        batch = stream.read_next_batch()
+    lengths, distinct, at = (np.frombuffer(batch.column(c)[0].as_buffer(), t) for c, t in (("lengths", "i8"), ("distinct", "u8"), ("at", "u1")))
+    at = at.view("<u2" if len(at) == 2 * lengths.sum() else "<u4")
+    return batch.column("ids")[0].values, batch.column("held")[0].values, distinct[at], lengths
+
+
 def scored_by_shuffle(rows: DataFrame, blocks: DataFrame, n_blocks: int, model) -> DataFrame:
     """The columns of SCORES; each portion of texts sends its n-grams to the filter's blocks and gets their levels back."""
 
     def cut(batches):
-        part = TaskContext.get().partitionId() << 30
-        for batch in common.portions(batches, "text", 6 << 20):
+        part = TaskContext.get().partitionId() << 40  # the number of a portion is that of its first row
+        for batch in common.portions(batches, "text", SENT_BYTES):
             words, lengths = tokens(batch.column("text"))
-            yield pa.record_batch([pa.array([part]), *(pa.array([batch.column(c).to_pylist()], pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()))), *(pa.array([x.tobytes()], pa.binary()) for x in (words, lengths))], ["part", "ids", "held", "words", "lengths"])
-            part += 1
+            yield pa.record_batch([pa.array([part]), pa.array([closed(batch.column("doc_id"), batch.column("held_out"), words, lengths)], pa.binary())], ["part", "texts"])
+            part += len(lengths)
+            del words, batch
 
-    portions = common.written(rows.mapInArrow(cut, "part long, ids array<long>, held array<boolean>, words binary, lengths binary"), "lm-portions")
-    unpacked = lambda batch, k: (np.frombuffer(batch.column("words")[k].as_py(), "u8"), np.frombuffer(batch.column("lengths")[k].as_py(), "i8"))
+    portions = common.written(rows.mapInArrow(cut, "part long, texts binary"), "lm-portions", LARGE_ROWS)
 
     def ask(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                for kind, keys in enumerate(asked(*unpacked(batch, k))):
-                    for b, run in runs(keys, n_blocks):
-                        yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([b]), batch.column("part").slice(k, 1), pa.array([keys[run].tobytes()], pa.binary())], ["kind", "block", "part", "keys"])
+            for part, texts in zip(batch.column("part"), batch.column("texts"), strict=True):
+                for kind, keys in enumerate(asked(*opened(texts)[2:])):
+                    some = runs(keys, n_blocks)
+                    for k in range(0, len(some), 64):
+                        own = some[k : k + 64]
+                        yield pa.record_batch([pa.array([kind] * len(own), pa.int32()), pa.array([b for b, _ in own]), pa.array([part.as_py()] * len(own)), pa.array([packed_keys(keys[run]) for _, run in own], pa.binary())], ["kind", "block", "part", "keys"])
+                    keys = some = own = None
+        common.give_back()
 
     def answer(asks, own):
-        if not asks.num_rows:
-            return pa.table({"part": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "levels": pa.array([], pa.binary())})
-        block = Filter(1, [(0, b.as_py()) for b in own.column("bits")])
-        levels = [block.levels(np.frombuffer(k.as_py(), "<u8")).astype("u1").tobytes() for k in asks.column("keys")]
+        block, levels, rows = Filter(1, [(0, b.as_py()) for b in own.column("bits")]), [], asks.column("keys")
+        ends = np.cumsum(pc.binary_length(rows).to_numpy().astype("i8")) if len(rows) else np.zeros(0, "i8")
+        start = 0
+        while start < len(rows):  # many short rows are looked up at once
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + LOOKED_UP * KEY_BYTES, "right")))
+            found = block.levels(unpacked_keys(b"".join(rows.slice(start, stop - start).to_pylist()))).astype("u1").tobytes()
+            at = [0, *((ends[start:stop] - before) // KEY_BYTES).tolist()]
+            levels += [found[i:j] for i, j in zip(at, at[1:])]  # noqa: B905
+            start = stop
         return pa.table({"part": asks.column("part"), "kind": asks.column("kind"), "block": asks.column("block"), "levels": pa.array(levels, pa.binary())})
 
-    asks = portions.select("part", "words", "lengths").mapInArrow(ask, "kind int, block long, part long, keys binary").groupBy("kind", "block")
+    asks = portions.mapInArrow(ask, "kind int, block long, part long, keys binary").groupBy("kind", "block")
     answers = asks.cogroup(blocks.select("kind", "block", "bits").groupBy("kind", "block")).applyInArrow(answer, "part long, kind int, block long, levels binary")
-    found = answers.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("kind", "block", "levels"))).alias("found"))
-
-    def work(batches):
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for k in range(batch.num_rows):
-                words, lengths = unpacked(batch, k)
-                levels = {kind: [] for kind in (WORDS, PAIRS, TRIPLES)}
-                for x in batch.column("found")[k]:
-                    levels[x["kind"].as_py()].append(np.frombuffer(x["levels"].as_py(), "u1"))
-                levels = {kind: np.concatenate([np.zeros(0, "u1"), *x]).astype("i4") for kind, x in levels.items()}
-                keys = asked(words, lengths)
-                look = lambda kind, some: levels[kind][np.searchsorted(keys[kind], some)]  # noqa: B023, E731
-                yield sums(row, *(pa.array(batch.column(c)[k].as_py(), t) for c, t in (("ids", pa.int64()), ("held", pa.bool_()))), words, lengths, model.value, look)
-                row += len(lengths)
-
-    return portions.join(found, "part").mapInArrow(work, SCORES)
+    answers = common.written(answers, "lm-levels")  # the n-grams' shuffle ends here
+
+    def work(own, found):
+        found = found.sort_by([("kind", "ascending"), ("block", "ascending")])
+        of, levels = found.column("kind").to_numpy(), found.column("levels").to_pylist()
+        kinds = np.searchsorted(of, [WORDS, PAIRS, TRIPLES, TRIPLES + 1])
+        levels = [np.frombuffer(b"".join(levels[i:j]), "u1") for i, j in zip(kinds, kinds[1:])]  # noqa: B905
+        ids, held, words, lengths = opened(own.column("texts")[0])
+        keys = asked(words, lengths)
+        look = lambda kind, some: levels[kind][np.searchsorted(keys[kind], some)].astype("i4")
+        return pa.Table.from_batches([sums(own.column("part")[0].as_py(), ids, held, words, lengths, model.value, look)])
+
+    return portions.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(work, SCORES)
 
 
 def scored(docs: DataFrame, modulus: int = 7, held: int = 2, prior: float = PRIOR, triple_prior: float = TRIPLE_PRIOR, max_filter: int = MAX_FILTER, frequent: int = FREQUENT) -> DataFrame:
