@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -79,6 +80,13 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def collected(spark: SparkSession) -> None:
+    """Collects the driver's garbage: Spark deletes shuffle files that nothing refers to any more only when that happens."""
+    time.sleep(0.5)  # what ended last is still being told to listeners
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_key() -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(NO_ID))
 

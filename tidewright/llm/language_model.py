@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -36,6 +37,9 @@ PRIOR, TRIPLE_PRIOR = 300.0, 10.0
 END = np.uint64(xxhash.xxh64_intdigest(b""))
 ODD = np.uint64(0x9E3779B97F4A7C15)
 WORDS, PAIRS, TRIPLES = range(3)
+#: (kind, k, n): n-grams are sent in rounds, the k-th of n parts of a kind's blocks in each, so that no more of them are on
+#: disk at once; a round reads the portions again.
+ROUNDS = ((WORDS, 0, 1), (PAIRS, 0, 1), (TRIPLES, 0, 2), (TRIPLES, 1, 2))
 #: Bytes that tell the n-grams of a block apart; the bits above choose the block, so blocks of a bounded size keep
 #: about one pair in a million n-grams from being told apart, whatever the corpus.
 KEY_BYTES = 5
@@ -288,20 +292,26 @@ def scored_by_broadcast(rows: DataFrame, blocks: DataFrame, n_blocks: int, model
     return rows.mapInArrow(work, SCORES)
 
 
-def asked(words: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-    """By kind, the distinct n-grams whose levels a portion needs."""
+def asked(kind: int, words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The distinct n-grams of a kind whose levels a portion needs."""
+    if kind == WORDS:
+        return np.unique(words)
     both, three, first = grams(words, lengths)
-    return [np.unique(words), np.unique(both), np.unique(three[~first])]
+    return np.unique(both if kind == PAIRS else three[~first])
 
 
 TEXTS = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("distinct", pa.binary()), ("at", pa.binary())])
 
 
 def closed(ids: pa.Array, held: pa.Array, words: np.ndarray, lengths: np.ndarray) -> bytes:
-    """A portion of texts as bytes, a quarter of its words' hashes or less: which of its distinct words each word is."""
-    distinct, at = np.unique(words, return_inverse=True)
-    at = at.astype("<u2" if len(distinct) <= 1 << 16 else "<u4")
-    row = [[ids.to_pylist()], [held.to_pylist()], *([x.tobytes()] for x in (lengths, distinct, at))]
+    """A portion of texts as bytes: which of its distinct words each word is, frequent ones by small numbers, and the
+    numbers' low bytes apart from their high ones, so that they pack well."""
+    distinct, at, times = np.unique(words, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(order), "<u4")
+    rank[order] = np.arange(len(order))
+    planes = rank[at].view("u1").reshape(-1, 4).T
+    row = [[ids.to_pylist()], [held.to_pylist()], *([x.tobytes()] for x in (lengths, distinct[order], planes))]
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, TEXTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
         stream.write_batch(pa.record_batch(row, schema=TEXTS))
@@ -312,8 +322,8 @@ def opened(texts: pa.Scalar) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray
     """What closed() was given."""
     with pa.ipc.open_stream(texts.as_buffer()) as stream:
         batch = stream.read_next_batch()
-    lengths, distinct, at = (np.frombuffer(batch.column(c)[0].as_buffer(), t) for c, t in (("lengths", "i8"), ("distinct", "u8"), ("at", "u1")))
-    at = at.view("<u2" if len(at) == 2 * lengths.sum() else "<u4")
+    lengths, distinct, planes = (np.frombuffer(batch.column(c)[0].as_buffer(), t) for c, t in (("lengths", "i8"), ("distinct", "u8"), ("at", "u1")))
+    at = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
     return batch.column("ids")[0].values, batch.column("held")[0].values, distinct[at], lengths
 
 
@@ -330,16 +340,19 @@ def scored_by_shuffle(rows: DataFrame, blocks: DataFrame, n_blocks: int, model)
 
     portions = common.written(rows.mapInArrow(cut, "part long, texts binary"), "lm-portions", LARGE_ROWS)
 
-    def ask(batches):
-        for batch in batches:
-            for part, texts in zip(batch.column("part"), batch.column("texts"), strict=True):
-                for kind, keys in enumerate(asked(*opened(texts)[2:])):
-                    some = runs(keys, n_blocks)
+    def ask(kind, low, high):
+        def work(batches):
+            for batch in batches:
+                for part, texts in zip(batch.column("part"), batch.column("texts"), strict=True):
+                    keys = asked(kind, *opened(texts)[2:])
+                    some = [x for x in runs(keys, n_blocks) if low <= x[0] < high]
                     for k in range(0, len(some), 64):
                         own = some[k : k + 64]
-                        yield pa.record_batch([pa.array([kind] * len(own), pa.int32()), pa.array([b for b, _ in own]), pa.array([part.as_py()] * len(own)), pa.array([packed_keys(keys[run]) for _, run in own], pa.binary())], ["kind", "block", "part", "keys"])
+                        yield pa.record_batch([pa.array([b for b, _ in own]), pa.array([part.as_py()] * len(own)), pa.array([packed_keys(keys[run]) for _, run in own], pa.binary())], ["block", "part", "keys"])
                     keys = some = own = None
-        common.give_back()
+            common.give_back()
+
+        return work
 
     def answer(asks, own):
         block, levels, rows = Filter(1, [(0, b.as_py()) for b in own.column("bits")]), [], asks.column("keys")
@@ -352,11 +365,18 @@ def scored_by_shuffle(rows: DataFrame, blocks: DataFrame, n_blocks: int, model)
             at = [0, *((ends[start:stop] - before) // KEY_BYTES).tolist()]
             levels += [found[i:j] for i, j in zip(at, at[1:])]  # noqa: B905
             start = stop
-        return pa.table({"part": asks.column("part"), "kind": asks.column("kind"), "block": asks.column("block"), "levels": pa.array(levels, pa.binary())})
-
-    asks = portions.mapInArrow(ask, "kind int, block long, part long, keys binary").groupBy("kind", "block")
-    answers = asks.cogroup(blocks.select("kind", "block", "bits").groupBy("kind", "block")).applyInArrow(answer, "part long, kind int, block long, levels binary")
-    answers = common.written(answers, "lm-levels")  # the n-grams' shuffle ends here
+        return pa.table({"part": asks.column("part"), "block": asks.column("block"), "levels": pa.array(levels, pa.binary())})
+
+    answers = []
+    for kind, k, of in ROUNDS:
+        low, high = n_blocks * k // of, n_blocks * (k + 1) // of
+        if low < high:
+            asks = portions.mapInArrow(ask(kind, low, high), "block long, part long, keys binary").groupBy("block")
+            own = blocks.filter((F.col("kind") == kind) & F.col("block").between(low, high - 1)).select("block", "bits").groupBy("block")
+            answers.append(common.written(asks.cogroup(own).applyInArrow(answer, "part long, block long, levels binary"), "lm-levels").withColumn("kind", F.lit(kind)))
+            del asks, own
+            common.collected(rows.sparkSession)
+    found = functools.reduce(DataFrame.unionByName, answers)
 
     def work(own, found):
         found = found.sort_by([("kind", "ascending"), ("block", "ascending")])
@@ -364,11 +384,11 @@ def scored_by_shuffle(rows: DataFrame, blocks: DataFrame, n_blocks: int, model)
         kinds = np.searchsorted(of, [WORDS, PAIRS, TRIPLES, TRIPLES + 1])
         levels = [np.frombuffer(b"".join(levels[i:j]), "u1") for i, j in zip(kinds, kinds[1:])]  # noqa: B905
         ids, held, words, lengths = opened(own.column("texts")[0])
-        keys = asked(words, lengths)
+        keys = [asked(kind, words, lengths) for kind in (WORDS, PAIRS, TRIPLES)]
         look = lambda kind, some: levels[kind][np.searchsorted(keys[kind], some)].astype("i4")
         return pa.Table.from_batches([sums(own.column("part")[0].as_py(), ids, held, words, lengths, model.value, look)])
 
-    return portions.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(work, SCORES)
+    return portions.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(work, SCORES)
 
 
 def scored(docs: DataFrame, modulus: int = 7, held: int = 2, prior: float = PRIOR, triple_prior: float = TRIPLE_PRIOR, max_filter: int = MAX_FILTER, frequent: int = FREQUENT) -> DataFrame:
@@ -398,7 +418,11 @@ def scored(docs: DataFrame, modulus: int = 7, held: int = 2, prior: float = PRIO
     model = spark.sparkContext.broadcast(Smoothing(denominator, often_words[order], often.column("c").to_numpy().astype("i8")[order], prior, triple_prior))
     size = blocks.agg(F.sum(F.length("bits"))).first()[0] or 0
     score = scored_by_broadcast if size <= max_filter else scored_by_shuffle
-    done = common.written(score(rows, blocks, n_blocks, model), "lm-scores")
+    with common.scratch() as tables:
+        done = common.written(score(rows, blocks, n_blocks, model), "lm-scores")
+    if tables[:-1]:  # nothing reads what was sent any more
+        common.removed(spark, tables[:-1])
+        common.collected(spark)
 
     tail = done.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     tail = tail.join(vocab.filter(F.col("c") * frequent < total), "word")  # words without a count add log10(1)
