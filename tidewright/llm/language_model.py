@@ -338,6 +338,7 @@ def scored_by_shuffle(rows: DataFrame, blocks: DataFrame, n_blocks: int, model)
             part += len(lengths)
             del words, batch
 
+    common.collected(rows.sparkSession)  # the counts' shuffle
     portions = common.written(rows.mapInArrow(cut, "part long, texts binary"), "lm-portions", LARGE_ROWS)
 
     def ask(kind, low, high):
